@@ -234,4 +234,6 @@ def with_ctes(body: str) -> str:
     visit(body)
     if not needed:
         return body
-    return "WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in needed) + " " + body.strip()
+    own = body.strip()
+    glue = ", " + own[5:] if own.startswith("WITH ") else " " + own
+    return "WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in needed) + glue
