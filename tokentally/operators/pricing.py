@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,14 +185,14 @@ def resolve_rates(models: DataFrame, cards: DataFrame) -> DataFrame:
     )
 
 
-_resolved: dict[tuple, pa.Table] = {}
+_resolved: dict[tuple, DataFrame] = {}
 
 
 def resolved_dimension(requests: DataFrame, cards: DataFrame) -> DataFrame:
     """resolve_rates over the distinct ids in use, broadcast after a size check.
 
     The result is a small dimension that depends only on the ids and the cards,
-    so it is kept for the life of the process.
+    so it is kept for the life of the application.
     """
     spark = requests.sparkSession
     models = requests.select("model").where("model is not null").distinct()
@@ -201,10 +200,10 @@ def resolved_dimension(requests: DataFrame, cards: DataFrame) -> DataFrame:
     if ids is None:
         return resolve_rates(models, cards)
     key = (spark.sparkContext.applicationId, frozenset(ids["model"].to_pylist()), cards.semanticHash())
-    lazy = resolve_rates(spark.createDataFrame(ids, models.schema), cards)
     if key not in _resolved:
-        _resolved[key] = lazy.toArrow()
-    return F.broadcast(spark.createDataFrame(_resolved[key], lazy.schema))
+        lazy = resolve_rates(spark.createDataFrame(ids, models.schema), cards)
+        _resolved[key] = spark.createDataFrame(lazy.toArrow(), lazy.schema)
+    return F.broadcast(_resolved[key])
 
 
 # ---------------------------------------------------------------- request cost

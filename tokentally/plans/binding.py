@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokentally import rates
 from tokentally.operators import pricing
-from tokentally.runtime import use_utc
+from tokentally.runtime import prepare
 
 # Model of a line item, by l_partkey % 12; the last one is not recorded.
 MODELS = [
@@ -23,20 +23,17 @@ MODELS = [
 SOURCES = ["codex", "claude", "copilot", "cursor"]
 
 
-def pick(number: Column, values: list) -> Column:
-    """values[number % len(values)] as a column."""
-    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), F.pmod(number, F.lit(len(values))).cast("int"))
-
-
-def utc(column: str) -> Column:
-    return F.col(column).cast("timestamp")
+def pick_sql(number: str, values: list) -> str:
+    """values[number % len(values)] as Spark SQL."""
+    items = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"get(array({items}), cast(pmod({number}, {len(values)}) AS int))"
 
 
 class Tables:
     """The driver's tables under one folder, and the proxies built on them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        use_utc(spark)
+        prepare(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
@@ -49,39 +46,38 @@ class Tables:
     @cached_property
     def requests(self) -> DataFrame:
         """One row per line item: a billed request of session l_orderkey."""
-        q = F.col("l_quantity").cast("bigint")
-        d = F.round(F.col("l_discount") * 100).cast("bigint")
-        t = F.round(F.col("l_tax") * 100).cast("bigint")
-        slot = F.pmod(F.col("l_partkey"), F.lit(12))
-        cached, written = q * d * 500, q * t * 100
-        claude, gpt = slot.isin(0, 1, 2, 8), slot.isin(3, 4, 5, 6)
-        day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
-        output = F.floor(F.col("l_extendedprice") / 100).cast("bigint")
-        reasoning = F.when(F.col("l_returnflag") == "R", F.floor(F.col("l_extendedprice") / 400).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        base = self.table("lineitem").select(
-            F.col("l_orderkey").cast("string").alias("session_id"),
-            F.col("l_orderkey").alias("request_id"),
-            F.col("l_linenumber").cast("bigint").alias("message_id"),
-            (F.shiftleft(day, 44) + F.shiftleft(F.col("l_partkey"), 8) + F.col("l_linenumber")).alias("ord"),
-            utc("l_shipdate").alias("ts"),
-            pick(F.col("l_partkey"), MODELS).alias("model"),
-            F.when(F.pmod(F.col("l_suppkey"), F.lit(10)) == 0, "fast").otherwise("standard").alias("speed"),
-            F.when(F.pmod(F.col("l_suppkey"), F.lit(7)) == 0, None).when(F.col("l_linestatus") == "O", "priority").otherwise("Standard").alias("service_tier"),
-            F.col("l_suppkey").alias("slot_key"),
-            cached.alias("cached_input_tokens"),
-            written.alias("cache_write_tokens"),
-            (q * 5000 + cached + written).alias("input_tokens"),
-            F.when(claude, written).otherwise(F.lit(0)).cast("bigint").alias("cache_write_5m"),
-            F.lit(0).cast("bigint").alias("cache_write_1h"),
-            F.when(gpt, written).otherwise(F.lit(0)).cast("bigint").alias("cache_write_30m"),
-            F.lit(0).cast("bigint").alias("cache_write_12h"),
-            output.alias("output_tokens"),
-            reasoning.alias("reasoning_tokens"),
+        counts = self.table("lineitem").selectExpr(
+            "*",
+            "pmod(l_partkey, 12) AS slot",
+            "cast(l_quantity AS bigint) AS q",
+            "cast(l_quantity AS bigint) * cast(round(l_discount * 100) AS bigint) * 500 AS cached_input_tokens",
+            "cast(l_quantity AS bigint) * cast(round(l_tax * 100) AS bigint) * 100 AS cache_write_tokens",
+        )
+        base = counts.selectExpr(
+            "cast(l_orderkey AS string) AS session_id",
+            "l_orderkey AS request_id",
+            "cast(l_linenumber AS bigint) AS message_id",
+            "shiftleft(cast(unix_date(cast(l_shipdate AS date)) AS bigint), 44) + shiftleft(l_partkey, 8) + l_linenumber AS ord",
+            "cast(l_shipdate AS timestamp) AS ts",
+            f"{pick_sql('l_partkey', MODELS)} AS model",
+            "if(pmod(l_suppkey, 10) = 0, 'fast', 'standard') AS speed",
+            "CASE WHEN pmod(l_suppkey, 7) = 0 THEN NULL WHEN l_linestatus = 'O' THEN 'priority' ELSE 'Standard' END AS service_tier",
+            "l_suppkey",
+            "q * 5000 + cached_input_tokens + cache_write_tokens AS input_tokens",
+            "cached_input_tokens",
+            "cache_write_tokens",
+            "if(slot IN (0, 1, 2, 8), cache_write_tokens, 0L) AS cache_write_5m",
+            "0L AS cache_write_1h",
+            "if(slot IN (3, 4, 5, 6), cache_write_tokens, 0L) AS cache_write_30m",
+            "0L AS cache_write_12h",
+            "cast(floor(l_extendedprice / 100) AS bigint) AS output_tokens",
+            "if(l_returnflag = 'R', cast(floor(l_extendedprice / 400) AS bigint), 0L) AS reasoning_tokens",
         )
         # Requests of every 40th supplier do not record their size.
-        known = F.pmod(F.col("slot_key"), F.lit(40)) != 0
-        return base.withColumn("request_input_tokens", F.when(known, F.col("input_tokens"))).withColumn(
-            "total_tokens", F.col("input_tokens") + F.col("output_tokens") + F.col("reasoning_tokens")
+        return base.selectExpr(
+            "* except (l_suppkey)",
+            "if(pmod(l_suppkey, 40) <> 0, input_tokens, NULL) AS request_input_tokens",
+            "input_tokens + output_tokens + reasoning_tokens AS total_tokens",
         )
 
     @cached_property
@@ -100,61 +96,53 @@ class Tables:
     @cached_property
     def session_facts(self) -> DataFrame:
         """Sessions without their token columns: no request is read for them."""
-        key = F.col("o_orderkey")
-
-        def mod(n: int) -> Column:
-            return F.pmod(key, F.lit(n)).cast("bigint")
-
-        def every(n: int) -> Column:
-            return mod(n) == 0
-
-        start = F.when(~every(97), F.timestamp_add("HOUR", mod(24).cast("int"), utc("o_orderdate")))
-        duration = F.pmod(F.floor("o_totalprice").cast("bigint"), F.lit(14400)).cast("int")
         nation = self.table("nation").select("n_nationkey", "n_name")
         owners = self.table("customer").select("c_custkey", "c_nationkey")
-        status = F.when(every(53), "failed").when(every(29), "partial").otherwise("ok")
-        important = F.when(every(9), 2).when(every(17), None).otherwise(0).cast("bigint")
         base = (
             self.table("orders").join(owners, F.col("o_custkey") == F.col("c_custkey"))
             .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows, by definition
+        ).selectExpr(
+            "*",
+            "o_orderkey AS k",
+            "if(o_orderkey % 97 <> 0, timestampadd(HOUR, cast(o_orderkey % 24 AS int), cast(o_orderdate AS timestamp)), NULL) AS started_at",
+            "cast(floor(o_totalprice) AS bigint) % 14400 AS secs",
+            "CASE WHEN o_orderkey % 9 = 0 THEN 2L WHEN o_orderkey % 17 = 0 THEN NULL ELSE 0L END AS important",
+            "CASE WHEN o_orderkey % 53 = 0 THEN 'failed' WHEN o_orderkey % 29 = 0 THEN 'partial' ELSE 'ok' END AS parse_status",
         )
-        return base.select(
-            key.cast("string").alias("id"),
-            pick(key, SOURCES).alias("source_client"),
-            F.col("o_orderpriority").alias("source_app"),
-            F.concat(F.lit("/r/"), F.col("n_name")).alias("repo_root"),
-            F.col("n_name").alias("repo_name"),
-            F.concat(F.lit("/logs/"), mod(50).cast("string"), F.lit(".jsonl")).alias("source_path"),
-            F.when(every(19), None).when(every(23), F.concat(F.lit("[Fix  "), key.cast("string"), F.lit("](http://x)  now"))).otherwise(F.concat(F.lit("Task "), mod(1000).cast("string"))).alias("title"),
-            start.alias("started_at"),
-            F.timestamp_add("SECOND", duration, start).alias("ended_at"),
-            F.when(~every(97), duration.cast("bigint") * 1000).alias("duration_ms"),
-            F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "partial").otherwise("research_only").alias("session_outcome"),
-            pick(key, ["terminal_cli", "vscode_extension", "unknown", None, "local_agent"]).alias("detected_surface"),
-            status.alias("parse_status"),
-            F.when(status != "ok", 1).otherwise(0).cast("bigint").alias("parse_error_count"),
-            F.when(every(13), None).otherwise(mod(6)).alias("file_edit_count"),
-            mod(4).alias("file_read_count"),
-            mod(11).alias("shell_command_count"),
-            mod(12).alias("tool_call_count"),
-            mod(7).alias("user_prompt_count"),
-            mod(5).alias("assistant_message_count"),
-            (mod(7) + mod(5)).alias("message_count"),
-            mod(50).alias("raw_event_count"),
-            important.alias("important_command_failures"),
-            F.when(every(8), 1).otherwise(0).cast("bigint").alias("failed_tool_call_count"),
-            mod(3).alias("harmless_non_zero_events"),
-            mod(2).alias("exploratory_misses"),
-            F.when(every(45), 1).otherwise(0).cast("bigint").alias("repeated_failure_clusters"),
-            F.when(~every(21), F.coalesce(important, F.lit(0)) + mod(3) + mod(2)).cast("bigint").alias("non_zero_command_events"),
-            pick(key, ["none", "low", "medium", "high"]).alias("command_issue_impact"),
-            F.when(F.coalesce(important, F.lit(0)) > 0, pick(F.floor(key / 9), ["build", "test", "git", None])).alias("top_failure_type"),
-            pick(key, ["high", "medium", "low"]).alias("token_confidence"),
-            pick(key, ["delta_sum", "direct_usage", "final_snapshot", "estimated", "direct_usage"]).alias("token_aggregation_method"),
-            F.array_compact(F.array(
-                F.when(F.pmod(F.col("o_custkey"), F.lit(7)) == 0, F.lit("repo_unverified_no_git_root")),
-                F.when(every(31), F.lit("repeated_error:x")),
-            )).alias("own_warnings"),
+        return base.selectExpr(
+            "cast(k AS string) AS id",
+            f"{pick_sql('k', SOURCES)} AS source_client",
+            "o_orderpriority AS source_app",
+            "concat('/r/', n_name) AS repo_root",
+            "n_name AS repo_name",
+            "concat('/logs/', k % 50, '.jsonl') AS source_path",
+            "CASE WHEN k % 19 = 0 THEN NULL WHEN k % 23 = 0 THEN concat('[Fix  ', k, '](http://x)  now') ELSE concat('Task ', k % 1000) END AS title",
+            "started_at",
+            "timestampadd(SECOND, cast(secs AS int), started_at) AS ended_at",
+            "if(k % 97 <> 0, secs * 1000, NULL) AS duration_ms",
+            "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'partial' ELSE 'research_only' END AS session_outcome",
+            f"{pick_sql('k', ['terminal_cli', 'vscode_extension', 'unknown', None, 'local_agent'])} AS detected_surface",
+            "parse_status",
+            "if(parse_status <> 'ok', 1L, 0L) AS parse_error_count",
+            "if(k % 13 = 0, NULL, k % 6) AS file_edit_count",
+            "k % 4 AS file_read_count",
+            "k % 11 AS shell_command_count",
+            "k % 12 AS tool_call_count",
+            "k % 7 AS user_prompt_count",
+            "k % 5 AS assistant_message_count",
+            "k % 7 + k % 5 AS message_count",
+            "k % 50 AS raw_event_count",
+            "important AS important_command_failures",
+            "if(k % 8 = 0, 1L, 0L) AS failed_tool_call_count",
+            "k % 3 AS harmless_non_zero_events",
+            "k % 2 AS exploratory_misses",
+            "if(k % 45 = 0, 1L, 0L) AS repeated_failure_clusters",
+            "if(k % 21 <> 0, coalesce(important, 0L) + k % 3 + k % 2, NULL) AS non_zero_command_events",
+            f"{pick_sql('k', ['none', 'low', 'medium', 'high'])} AS command_issue_impact",
+            f"if(coalesce(important, 0L) > 0, {pick_sql('k div 9', ['build', 'test', 'git', None])}, NULL) AS top_failure_type",
+            f"{pick_sql('k', ['high', 'medium', 'low'])} AS token_confidence",
+            f"{pick_sql('k', ['delta_sum', 'direct_usage', 'final_snapshot', 'estimated', 'direct_usage'])} AS token_aggregation_method",
+            "array_compact(array(if(o_custkey % 7 = 0, 'repo_unverified_no_git_root', NULL), if(k % 31 = 0, 'repeated_error:x', NULL))) AS own_warnings",
         )
 
     @cached_property

@@ -18,13 +18,14 @@ BROADCAST_ROW_LIMIT = 100_000
 def build_session(app: str = "tokentally", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    for key, value in SESSION_SETTINGS.items():
+        builder = builder.config(key, value)
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
     if shuffle_partitions:
@@ -32,10 +33,16 @@ def build_session(app: str = "tokentally", master: str | None = None, shuffle_pa
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> None:
-    """Day and hour keys are UTC; pin the session to it once."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+# Day and hour keys are UTC. Call-site capture costs a few round trips to the
+# JVM for every column expression and is of use in notebooks only.
+SESSION_SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Give an existing session the settings the queries rely on."""
+    for key, value in SESSION_SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
