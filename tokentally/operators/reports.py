@@ -426,3 +426,16 @@ def source_readiness(stats: DataFrame) -> DataFrame:
         .otherwise("Ready.")
     )
     return stats.select("source", "sessions_imported", found.alias("primary_data_found"), step.alias("next_step"))
+
+
+# ---------------------------------------------------------------- avoided cost
+
+def avoided_cost_rate(cards: DataFrame) -> Column:
+    """Input rate of the default card: gpt-5.5, else gpt-5, else the first card, else 5."""
+    order = F.when(F.col("model") == "gpt-5.5", 0).when(F.col("model") == "gpt-5", 1).otherwise(2)
+    return F.coalesce(cards.agg(F.min_by(F.col("input"), F.struct(order, "position"))).scalar(), F.lit(5).cast("decimal(12,6)"))
+
+
+def avoided_cost(tokens: Column, rate: Column) -> Column:
+    """USD the tokens would have cost, to whole micro-USD."""
+    return F.round(tokens.cast("double") * rate.cast("double")) / 1_000_000.0

@@ -17,15 +17,34 @@ c = F.col
 
 @dataclass
 class Signal:
+    """A detector. Its metric is two whole numbers and how to show them."""
+
     id: str
     title: str
     tone: str
     fires: Column
-    metric: Column
+    show: str = "none"  # count, percent, suffix, per_edit or none
+    part: Column | None = None
+    whole: Column | None = None
+    word: str = ""
     affected: Column | None = None  # which sessions it points at
     critical: bool = False
 
 
+def metric_text() -> Column:
+    """Text of a metric row (show, part, whole, word), formatted once per row."""
+    compact = text.compact_number(c("part"))
+    plural = F.when(c("part") == 1, c("word")).otherwise(F.concat("word", F.lit("s")))
+    tokens = F.when(c("part") == 1, " token / edit").otherwise(" tokens / edit")
+    return (
+        F.when(c("show") == "count", F.concat(compact, F.lit(" "), plural))
+        .when(c("show") == "percent", text.percent_text(c("part"), c("whole")))
+        .when(c("show") == "suffix", F.concat(compact, F.lit(" "), "word"))
+        .when(c("show") == "per_edit", F.concat(compact, tokens))
+        .otherwise("")
+    )
+
+
 def session_flags() -> dict[str, Column]:
     """Session predicates of the health rules. A NULL edit count is not a no-edit session here."""
     heavy = c("output_tokens").cast("double") / F.greatest("total_tokens", F.lit(1)).cast("double") > 0.35
@@ -70,42 +89,35 @@ def health_signals_list() -> list[Signal]:
     cached, inputs = c("cached_input_tokens"), c("input_tokens")
     cached_share = ratio(cached, inputs)
     failures = F.when(c("important_command_failures") > 0, c("important_command_failures")).otherwise(c("failed_tool_call_count"))
-    none = F.lit("")
+    flags = session_flags()
 
-    def some(flag: str) -> Column:
-        return c(f"n_{flag}") > 0
-
-    def counted(flag: str, noun: str = "session") -> Column:
-        return text.count_text(c(f"n_{flag}"), noun)
+    def some(flag: str, signal: str, title: str, word: str = "session", critical: bool = False) -> Signal:
+        n = c(f"n_{flag}")
+        return Signal(signal, title, "attention", n > 0, "count", n, word=word, affected=flags[flag], critical=critical)
 
     per_edit = F.round(tokens.cast("double") / F.nullif(edits, F.lit(0)).cast("double")).cast("bigint")
-    top_share = ratio(F.coalesce("top.cost_micro", F.lit(0)), c("cost_micro"))
-    pointed = session_flags()
+    top_cost = F.coalesce("top.cost_micro", F.lit(0))
     return [
-        Signal("repo-grouping", "Repo grouping is working", "good", c("scan_repos") > 0, text.count_text(c("scan_sessions"), "session")),
-        Signal("app-attribution", "App attribution is visible", "good", c("scan_apps") > 1, text.count_text(c("scan_apps"), "app")),
-        Signal("priced-sessions", "All loaded sessions are priced", "good", (c("n_unknown_cost") == 0) & (sessions > 0),
-               F.concat(text.compact_number(sessions), F.lit(" priced"))),
-        Signal("cache-reuse", "Cache reuse is strong", "good", cached_share >= 0.75, text.percent_text(cached, inputs)),
-        Signal("token-roi-measurable", "Token ROI can be measured", "good", (edits > 0) & (tokens > 0),
-               F.coalesce(F.concat(text.tokens_text(per_edit), F.lit(" / edit")), none)),
-        Signal("empty-filter", "No sessions in this view", "attention", sessions == 0, none),
+        Signal("repo-grouping", "Repo grouping is working", "good", c("scan_repos") > 0, "count", c("scan_sessions"), word="session"),
+        Signal("app-attribution", "App attribution is visible", "good", c("scan_apps") > 1, "count", c("scan_apps"), word="app"),
+        Signal("priced-sessions", "All loaded sessions are priced", "good", (c("n_unknown_cost") == 0) & (sessions > 0), "suffix", sessions, word="priced"),
+        Signal("cache-reuse", "Cache reuse is strong", "good", cached_share >= 0.75, "percent", cached, inputs),
+        Signal("token-roi-measurable", "Token ROI can be measured", "good", (edits > 0) & (tokens > 0), "per_edit", per_edit),
+        Signal("empty-filter", "No sessions in this view", "attention", sessions == 0),
         Signal("command-friction", "Possible failed command rate looks high", "attention", ratio(failures, c("shell_command_count")) > 0.2,
-               text.percent_text(failures, c("shell_command_count")), pointed["command_issue"]),
+               "percent", failures, c("shell_command_count"), affected=flags["command_issue"]),
         Signal("no-code-sessions", "Many sessions have no detected edits", "attention", (ratio(c("no_code_change"), sessions) > 0.5) & (sessions >= 3),
-               text.percent_text(c("no_code_change"), sessions), pointed["no_code"]),
-        Signal("unknown-surfaces", "Some surfaces are unknown", "attention", some("unknown_surface"), counted("unknown_surface"), pointed["unknown_surface"]),
-        Signal("parse-failures", "Some session files parsed partially", "attention", some("parse_failure"), counted("parse_failure", "issue"),
-               pointed["parse_failure"], critical=True),
-        Signal("unknown-cost", "Some sessions cannot be priced", "attention", some("unknown_cost"), counted("unknown_cost"), pointed["unknown_cost"], critical=True),
-        Signal("low-cache", "Cache rate could be better", "attention", (inputs > 0) & (cached_share < 0.5), text.percent_text(cached, inputs), pointed["any_session"]),
+               "percent", c("no_code_change"), sessions, affected=flags["no_code"]),
+        some("unknown_surface", "unknown-surfaces", "Some surfaces are unknown"),
+        some("parse_failure", "parse-failures", "Some session files parsed partially", "issue", critical=True),
+        some("unknown_cost", "unknown-cost", "Some sessions cannot be priced", critical=True),
+        Signal("low-cache", "Cache rate could be better", "attention", (inputs > 0) & (cached_share < 0.5), "percent", cached, inputs, affected=flags["any_session"]),
         Signal("output-heavy", "Output-heavy sessions are driving tokens", "attention", ratio(c("output_tokens"), tokens) > 0.35,
-               text.percent_text(c("output_tokens"), tokens), pointed["output_heavy"]),
-        Signal("cost-concentration", "Spend is concentrated in one session", "attention", top_share > 0.35,
-               text.percent_text(F.coalesce("top.cost_micro", F.lit(0)), c("cost_micro"))),
-        Signal("unverified-repos", "Some repos are unverified", "attention", some("unverified"), counted("unverified"), pointed["unverified"]),
-        Signal("zero-token-skipped", "Zero-token placeholders were skipped", "attention", c("scan_zero_tokens") > 0,
-               F.concat(text.compact_number(c("scan_zero_tokens")), F.lit(" skipped"))),
+               "percent", c("output_tokens"), tokens, affected=flags["output_heavy"]),
+        Signal("cost-concentration", "Spend is concentrated in one session", "attention", ratio(top_cost, c("cost_micro")) > 0.35,
+               "percent", top_cost, c("cost_micro")),
+        some("unverified", "unverified-repos", "Some repos are unverified"),
+        Signal("zero-token-skipped", "Zero-token placeholders were skipped", "attention", c("scan_zero_tokens") > 0, "suffix", c("scan_zero_tokens"), word="skipped"),
     ]
 
 
@@ -116,6 +128,10 @@ AFFECTED_COUNTS = {
 }
 
 
+def whole_number(value: Column | None) -> Column:
+    return (F.lit(0) if value is None else F.coalesce(value, F.lit(0))).cast("bigint")
+
+
 def health_signals(sessions: DataFrame, in_view: Column | None = None) -> DataFrame:
     """One row per firing detector, with the number of sessions it points at."""
     facts = health_facts(sessions, F.lit(True) if in_view is None else in_view)
@@ -124,9 +140,12 @@ def health_signals(sessions: DataFrame, in_view: Column | None = None) -> DataFr
         affected = c(AFFECTED_COUNTS[signal.id]) if signal.id in AFFECTED_COUNTS else F.lit(1 if signal.id == "cost-concentration" else 0)
         rows.append(F.struct(
             F.lit(place).alias("place"), F.lit(signal.id).alias("id"), F.lit(signal.title).alias("title"), F.lit(signal.tone).alias("tone"),
-            F.lit(signal.critical).alias("critical"), signal.metric.alias("metric"), affected.cast("bigint").alias("affected_sessions"), signal.fires.alias("fires"),
+            F.lit(signal.critical).alias("critical"), F.lit(signal.show).alias("show"), whole_number(signal.part).alias("part"),
+            whole_number(signal.whole).alias("whole"), F.lit(signal.word).alias("word"),
+            affected.cast("bigint").alias("affected_sessions"), F.coalesce(signal.fires, F.lit(False)).alias("fires"),
         ))
-    return facts.select(F.inline(F.array(*rows))).where("fires").drop("fires", "place")
+    fired = facts.select(F.inline(F.array(*rows))).where("fires")
+    return fired.select("id", "title", "tone", "critical", metric_text().alias("metric"), "affected_sessions")
 
 
 def health_affected(sessions: DataFrame, in_view: Column | None = None) -> DataFrame:

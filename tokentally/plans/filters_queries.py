@@ -33,11 +33,10 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("filter_usage", f"""SELECT {CORE}, {usd('cost_micro')} AS cost_usd FROM tt_sessions
-WHERE source_client IN ('codex', 'claude') AND source_app IN ('1-URGENT', '2-HIGH') AND (repo_name IN ('FRANCE', '/r/CHINA') OR repo_root IN ('FRANCE', '/r/CHINA') OR repo_name LIKE 'NATION_1%')
+WHERE source_client IN ('codex', 'claude') AND source_app IN ('1-URGENT', '2-HIGH') AND (repo_name = 'NATION_7' OR repo_root = '/r/NATION_12')
   AND started_at >= TIMESTAMP '1995-03-01 06:00:00'""")
 def _(t: Tables) -> DataFrame:
-    repos = [r.repo_name for r in t.table("nation").selectExpr("n_name AS repo_name").where("n_name LIKE 'NATION_1%'").collect()]
-    chosen = X.Filters(source=["codex", "claude"], source_app=["1-URGENT", "2-HIGH"], repo=["FRANCE", "/r/CHINA", *repos], start="1995-03-01T06:00:00.000Z")
+    chosen = X.Filters(source=["codex", "claude"], source_app=["1-URGENT", "2-HIGH"], repo=["NATION_7", "/r/NATION_12"], start="1995-03-01T06:00:00.000Z")
     return core(X.filter_usage(t.sessions, chosen))
 
 

@@ -237,3 +237,32 @@ def with_ctes(body: str) -> str:
     own = body.strip()
     glue = ", " + own[5:] if own.startswith("WITH ") else " " + own
     return "WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in needed) + glue
+
+
+# ---------------------------------------------------------------- display text
+
+def compact_sql(v: str) -> str:
+    arms = [f"WHEN {v} < 1000 THEN format('{{:,}}', ({v})::BIGINT)"]
+    for size, suffix, limit in ((1000, "K", 10**6), (10**6, "M", 10**9), (10**9, "B", 10**12), (10**12, "T", None)):
+        tenths = f"(({v} * 10 + {size // 2}) // {size})"
+        shown = f"format('{{:,}}', ({tenths} // 10)::BIGINT) || CASE WHEN {tenths} % 10 = 0 THEN '' ELSE '.' || ({tenths} % 10) END || '{suffix}'"
+        arms.append(f"WHEN {v} < {limit} THEN {shown}" if limit else f"ELSE {shown}")
+    return f"(CASE {' '.join(arms)} END)"
+
+
+def count_sql(v: str, noun: str) -> str:
+    plural = noun if noun.endswith("s") else noun + "s"
+    return f"({compact_sql(v)} || ' ' || CASE WHEN {v} = 1 THEN '{noun}' ELSE '{plural}' END)"
+
+
+def percent_sql(part: str, whole: str) -> str:
+    tenths = f"coalesce(({part} * 1000 + {whole} // 2) // nullif({whole}, 0), 0)"
+    return f"(({tenths} // 10) || CASE WHEN {tenths} % 10 = 0 THEN '' ELSE '.' || ({tenths} % 10) END || '%')"
+
+
+def money_sql(micro: str) -> str:
+    cents = f"(({micro} + 5000) // 10000)"
+    return (
+        f"(CASE WHEN {micro} IS NULL THEN 'Not priced' WHEN {micro} > 0 AND {micro} < 10000 THEN '<$0.01 USD' "
+        f"ELSE '$' || format('{{:,}}', ({cents} // 100)::BIGINT) || '.' || lpad(({cents} % 100)::VARCHAR, 2, '0') || ' USD' END)"
+    )
