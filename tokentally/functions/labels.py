@@ -122,3 +122,77 @@ def token_intensity(tokens: Column, edits: Column) -> Column:
         .when(each <= 100_000, "Low token use per file edit")
         .otherwise("Moderate token use per file edit")
     )
+
+
+# ---------------------------------------------------------------- one session
+
+def _important() -> Column:
+    return F.coalesce("important_command_failures", "failed_tool_call_count", F.lit(0))
+
+
+def _edits() -> Column:
+    return F.coalesce("file_edit_count", F.lit(0))
+
+
+def session_badges() -> Column:
+    """Short labels of a session row, in display order."""
+    outcome = outcome_label(F.col("session_outcome"))
+    named = F.array_compact(F.array(
+        F.when(_important() > 0, "Possible failed command"),
+        F.when(F.col("total_tokens") >= 1_000_000, "High token"),
+        F.when((_edits() == 0) & (outcome != "No edits"), "No edits"),
+        F.when(F.array_contains("warnings", "repo_unverified_no_git_root"), "Unknown repo/folder"),
+        F.when(F.coalesce("detected_surface", F.lit("unknown")) == "unknown", "Unknown surface"),
+        F.when(_edits() > 0, "Files edited"),
+        F.nullif(outcome, F.lit("Unknown")),
+        F.when(F.col("cost_micro").isNull() & (F.col("total_tokens") > 0), "Unknown pricing"),
+        F.when(F.array_contains("warnings", "claude_synthetic_zero_usage"), "Synthetic usage marker"),
+        F.when(F.array_contains("warnings", "missing_token_breakdown"), "Unknown tokens"),
+    ))
+    return F.array_distinct(named)
+
+
+def positive_signals() -> Column:
+    share = F.when(F.col("input_tokens") > 0, F.col("cached_input_tokens").cast("double") / F.col("input_tokens").cast("double"))
+    return F.array_compact(F.array(
+        F.when(_edits() > 0, F.concat(text.count_text(_edits(), "file edit"), F.lit(" detected."))),
+        F.when(_important() == 0, "No possible failed commands detected."),
+        F.when(F.col("parse_status") == "ok", "Local session log parsed cleanly."),
+        F.when(F.col("token_confidence") == "high", "Token counting confidence is high."),
+        F.when(share >= 0.5, "Cached input reuse was strong."),
+        F.when((F.col("repo_root") != "") & ~F.col("repo_root").contains("unverified"), "Session resolved to a repo or folder."),
+    ))
+
+
+def concern_signals() -> Column:
+    outcome = F.col("session_outcome")
+    unverified = F.lower("repo_name").contains("unknown") | F.array_contains("warnings", "repo_unverified_no_git_root")
+    return F.array_compact(F.array(
+        F.when(_important() > 0, F.concat(text.count_text(_important(), "possible failed command"), F.lit(" to review."))),
+        F.when(outcome.isin("partial", "failed"), F.concat(F.lit("Outcome is "), F.lower(outcome_label(outcome)), F.lit("; check whether the work completed."))),
+        F.when((_edits() == 0) & (F.col("total_tokens") > 1_000_000), "High-token session with no detected file edits."),
+        F.when(F.col("cost_micro").isNull() & (F.col("total_tokens") > 0), "API-equivalent cost unavailable because pricing or token split is missing."),
+        F.when(F.col("parse_status") != "ok", "Parser reported issues for this session."),
+        F.when(F.col("detected_surface") == "unknown", "Surface could not be detected from local logs."),
+        F.when(unverified, "Repo/folder grouping is unverified because no Git root was detected."),
+        F.when((F.coalesce("token_snapshot_count", F.lit(0)) == 0) & (F.col("total_tokens") == 0), "No token checkpoints were available."),
+    ))
+
+
+UNPRICED_PHRASE = "unpriced cannot be priced missing pricing missing price missing token split missing token breakdown api-equivalent cost unavailable"
+
+
+def search_text() -> Column:
+    """Everything a session search looks at, in lower case."""
+    from tokentally.functions.warnings import readable
+
+    unpriced = F.when(F.col("cost_micro").isNull() & (F.col("total_tokens") > 0), UNPRICED_PHRASE)
+    return F.lower(F.concat_ws(
+        " ", "title", "id", "repo_name", "source_app", surface_label(F.col("detected_surface")), "model",
+        outcome_label(F.col("session_outcome")), unpriced, F.transform("warnings", readable),
+    ))
+
+
+def matches_search(phrase: str) -> Column:
+    wanted = phrase.strip().lower()
+    return search_text().contains(wanted) if wanted else F.lit(True)

@@ -1,0 +1,21 @@
+"""Session-level folds over requests and fragments."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def service_tier_summary(requests: DataFrame, key: list[str]) -> DataFrame:
+    """Tier of a session: its one tier, 'mixed' for several, else its speed."""
+    def values(column: str):
+        return F.array_sort(F.collect_set(F.nullif(F.lower(F.trim(column)), F.lit(""))))
+
+    def one(column: str):
+        return F.when(F.size(column) == 1, F.get(column, F.lit(0))).when(F.size(column) > 1, "mixed")
+
+    rows = requests.groupBy(*key).agg(values("service_tier").alias("_tiers"), values("speed").alias("_speeds"))
+    detail = F.when(F.size("_tiers") > 0, F.concat(F.lit("usage.service_tier: "), F.array_join("_tiers", ", "))).when(
+        F.size("_speeds") > 0, F.concat(F.lit("usage.speed: "), F.array_join("_speeds", ", "))
+    )
+    return rows.select(*key, F.coalesce(one("_tiers"), one("_speeds")).alias("service_tier"), detail.alias("detail"))
