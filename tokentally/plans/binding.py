@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from tokentally import rates
 from tokentally.operators import pricing
+from tokentally.operators.scans import running_sum
 from tokentally.runtime import prepare
+from tokentally.sources import schemas
+from tokentally.sources.files import parse_records
 
 # Model of a line item, by l_partkey % 12; the last one is not recorded.
 MODELS = [
@@ -168,5 +171,67 @@ class Tables:
         )
 
 
+    # ------------------------------------------------------------ logs
+
+    @cached_property
+    def rollout_lines(self) -> DataFrame:
+        """Rollout log lines (host, file, ord, line), one per event.
+
+        view: token counts; click: a tool call; error: its output; signup: a
+        message; purchase: a model, session data or a compaction.
+        """
+        events = self.table("events").selectExpr(
+            "concat('h', user_id % 3) AS host", "concat('/logs/rollout-', user_id, '.jsonl') AS file", "event_id AS ord", "user_id AS u", "event_type AS e",
+            "date_format(if(event_type = 'signup', date_trunc('DAY', cast(ts AS timestamp)), cast(ts AS timestamp)), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\") AS t", "cast(get_json_object(props, '$.k') AS bigint) AS k",
+            "cast(floor(value * 100) AS bigint) AS v",
+        )
+        counted = F.expr("if(e = 'view' AND k <> 13 AND k % 50 <> 49, v, 0L)")
+        summed = running_sum(events, ["host", "file"], "ord", counted, "s")
+        named = summed.selectExpr("*", "CASE WHEN k % 10 = 0 THEN s - v WHEN k % 25 = 1 THEN v ELSE s END AS n")
+        def usage(n: str, sign: str = "", total: str = "") -> str:
+            extra = f", 'total_tokens', {total}" if total else ""
+            return f"named_struct('input_tokens', {sign}10 * {n}, 'cached_input_tokens', 2 * {n}, 'output_tokens', 3 * {n}, 'reasoning_output_tokens', {n}{extra})"
+
+        def record(kind: str, payload: str) -> str:
+            return f"to_json(named_struct('timestamp', t, 'type', '{kind}', 'payload', named_struct({payload})))"
+
+        def counts(info: str) -> str:
+            return record("event_msg", f"'type', 'token_count', 'info', named_struct({info})")
+
+        ttl = "named_struct('ttl_30m_tokens', v, 'ttl_12h_tokens', v)"
+        direct = (
+            "to_json(named_struct('timestamp', t, 'type', 'response', 'usage', named_struct('prompt_tokens', 10 * v, 'prompt_tokens_details', "
+            f"named_struct('cached_tokens', 2 * v, 'cache_write_tokens', v, 'cache_write_tokens_details', {ttl}), 'completion_tokens', 3 * v)))"
+        )
+        view = f"""CASE WHEN k = 13 THEN '{{oops'
+            WHEN k % 50 = 49 THEN {counts("'last_token_usage', " + usage('v', '-'))}
+            WHEN u % 4 = 0 AND k % 5 = 0 THEN {direct}
+            WHEN u % 4 = 0 THEN {counts("'total_token_usage', " + usage('n', total='14 * n'))}
+            ELSE {counts("'last_token_usage', " + usage('v') + ", 'total_token_usage', " + usage('n'))} END"""
+        commands = pick_sql("k", ["pnpm test", "rg x", "pnpm build", "git status", "terraform plan", "ls"])
+        call = record("response_item", f"'type', 'function_call', 'name', 'exec_command', 'call_id', concat('c', k % 12), 'arguments', to_json(named_struct('command', {commands}))")
+        stdin = record("response_item", "'type', 'function_call', 'name', 'write_stdin', 'call_id', concat('c', k % 12), 'arguments', to_json(named_struct('session_id', k % 6))")
+        text = "CASE WHEN k % 4 = 0 THEN concat('Process running with session ID ', k % 6) WHEN k % 5 = 1 THEN concat('Process exited with code ', k % 3) ELSE 'done' END"
+        output = record("response_item", f"'type', 'function_call_output', 'call_id', concat('c', k % 12), 'exit_code', if(k % 5 = 1, NULL, k % 3), 'output', {text}")
+        loose = record("response_item", "'type', 'function_call_output', 'command', array('find', concat('x', k % 4)), 'exit_code', k % 3")
+        said = "CASE WHEN k % 20 = 1 THEN '<environment_context> <INSTRUCTIONS> x' WHEN k % 10 = 0 THEN '/compact now' ELSE concat('note  ', k % 4) END"
+        user = record("event_msg", f"'type', 'user_message', 'message', {said}")
+        reply = record("response_item", "'type', 'message', 'role', 'assistant', 'content', array(named_struct('type', 'output_text', 'text', 'Reply'), named_struct('type', 'output_text', 'text', 'two  words'))")
+        source = pick_sql("u", ["vscode", "cli", "exec", "codex_cloud_task"])
+        meta = record("session_meta", f"'id', concat('s', u), 'cwd', concat('/w/', u), 'title', concat('Run ', u), 'source', {source}, 'thread_source', if(u % 5 = 0, 'subagent', NULL)")
+        compacted = record("event_msg", "'type', 'context_compacted'")
+        model = record("turn_context", "'model', if(k % 2 = 0, 'gpt-6-sol', 'gpt-6.1-terra')")
+        line = f"""CASE e WHEN 'view' THEN {view}
+            WHEN 'click' THEN if(k % 11 = 0, {stdin}, {call})
+            WHEN 'error' THEN if(k % 7 = 0, {loose}, {output})
+            WHEN 'signup' THEN if(k % 3 <> 0, {user}, {reply})
+            ELSE CASE k % 7 WHEN 0 THEN {compacted} WHEN 1 THEN {meta} ELSE {model} END END"""
+        return named.selectExpr("host", "file", "ord", f"{line} AS line")
+
+    @cached_property
+    def rollout_records(self) -> DataFrame:
+        return parse_records(self.rollout_lines, schemas.ROLLOUT)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

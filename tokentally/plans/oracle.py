@@ -221,13 +221,83 @@ CTES = {
 }
 
 
+CTES |= {
+    "tt_ev": """
+      SELECT 'h' || (user_id % 3) AS host, '/logs/rollout-' || user_id || '.jsonl' AS file, event_id AS ord, user_id AS u, event_type AS e,
+        epoch_us(CASE WHEN event_type = 'signup' THEN date_trunc('day', ts) ELSE ts END) // 1000 AS ms, json_extract(props, '$.k')::BIGINT AS k, floor(value * 100)::BIGINT AS v FROM events""",
+    "tt_log": """
+      SELECT *, CASE WHEN k % 10 = 0 THEN s - v WHEN k % 25 = 1 THEN v ELSE s END AS n
+      FROM (SELECT *, sum(CASE WHEN e = 'view' AND k <> 13 AND k % 50 <> 49 THEN v ELSE 0 END) OVER (PARTITION BY file ORDER BY ord)::BIGINT AS s FROM tt_ev)""",
+    "tt_usage": """
+      SELECT host, file, ord, kind, sign * 10 * x AS input_tokens, 2 * x AS cached_input_tokens, CASE WHEN kind = 'direct' THEN 2 * x ELSE 0 END AS cache_write_tokens,
+        CASE WHEN kind = 'direct' THEN x ELSE 0 END AS cache_write_30m, CASE WHEN kind = 'direct' THEN x ELSE 0 END AS cache_write_12h,
+        CASE WHEN kind = 'direct' THEN 3 * x ELSE 2 * x END AS output_tokens, CASE WHEN kind = 'direct' THEN 0 ELSE x END AS reasoning_tokens,
+        CASE WHEN kind = 'cumulative' THEN 14 * x WHEN sign < 0 THEN -7 * x ELSE 13 * x END AS total_tokens, x, CASE WHEN kind = 'delta' AND sign > 0 AND n <> 0 THEN n END AS snap
+      FROM (SELECT *, CASE WHEN kind = 'cumulative' THEN n ELSE v END AS x
+        FROM (SELECT *, CASE WHEN k % 50 = 49 THEN 'delta' WHEN u % 4 = 0 AND k % 5 = 0 THEN 'direct' WHEN u % 4 = 0 THEN 'cumulative' ELSE 'delta' END AS kind,
+            CASE WHEN k % 50 = 49 THEN -1 ELSE 1 END AS sign FROM tt_log WHERE e = 'view' AND k <> 13)) WHERE x <> 0""",
+    "tt_valid": "SELECT * FROM tt_usage WHERE input_tokens >= 0",
+    "tt_direct": """
+      SELECT *, row_number() OVER (PARTITION BY file ORDER BY ord) AS rn FROM tt_valid WHERE file NOT IN (SELECT file FROM tt_valid WHERE kind = 'cumulative')""",
+    "tt_fold": """
+      SELECT file, rn, ord, true AS kept, snap AS prev FROM tt_direct WHERE rn = 1
+      UNION ALL
+      SELECT d.file, d.rn, d.ord, d.keep, CASE WHEN d.keep AND d.snap IS NOT NULL THEN d.snap ELSE d.prev END
+      FROM (SELECT t.file, t.rn, t.ord, t.snap, f.prev, NOT (t.snap IS NOT NULL AND f.prev IS NOT NULL AND (t.snap = f.prev
+          OR (t.snap < f.prev AND (t.snap * 100 >= f.prev * 98 OR (t.snap * 4 >= f.prev * 3 AND t.snap + 2 * t.x >= f.prev))))) AS keep
+        FROM tt_fold f JOIN tt_direct t ON t.file = f.file AND t.rn = f.rn + 1) d""",
+    "tt_models": "SELECT host, file, ord, CASE WHEN k % 2 = 0 THEN 'gpt-6-sol' ELSE 'gpt-6.1-terra' END AS model FROM tt_ev WHERE e = 'purchase' AND k % 7 > 1",
+    "tt_said": """
+      SELECT host, file, ord, ms, CASE WHEN k % 3 <> 0 THEN 'user' ELSE 'assistant' END AS role,
+        CASE WHEN k % 3 = 0 THEN 'Reply two words' WHEN k % 10 = 0 THEN '/compact now' ELSE 'note ' || (k % 4) END AS text
+      FROM tt_ev WHERE e = 'signup' AND NOT (k % 3 <> 0 AND k % 20 = 1)""",
+    "tt_calls": f"""
+      SELECT host, file, ord, 'c' || (k % 12) AS cid, CASE WHEN k % 11 = 0 THEN k % 6 END AS process,
+        CASE WHEN k % 11 = 0 THEN 'write_stdin session ' || (k % 6) ELSE {choose('k', ["pnpm test", "rg x", "pnpm build", "git status", "terraform plan", "ls"])} END AS own FROM tt_ev WHERE e = 'click'""",
+    "tt_outs": """
+      SELECT o.file, o.ord, o.process, max(c.ord) AS owner FROM (SELECT file, ord, 'c' || (k % 12) AS cid, k % 6 AS process FROM tt_ev WHERE e = 'error' AND k % 7 <> 0 AND k % 4 = 0) o
+      JOIN tt_calls c ON c.file = o.file AND c.cid = o.cid AND c.ord < o.ord GROUP BY ALL""",
+    "tt_links": """
+      SELECT c.*, (SELECT arg_max(o.owner, o.ord) FROM tt_outs o WHERE o.file = c.file AND o.process = c.process AND o.ord < c.ord) AS target FROM tt_calls c""",
+    "tt_chain": """
+      SELECT file, ord, cid, own AS command FROM tt_links WHERE target IS NULL
+      UNION ALL SELECT l.file, l.ord, l.cid, c.command FROM tt_chain c JOIN tt_links l ON l.file = c.file AND l.target = c.ord""",
+    "tt_pairs": "SELECT file, cid, arg_max(command, ord) AS command FROM tt_chain GROUP BY 1, 2",
+    "tt_exits": """
+      SELECT e.host, e.file, e.ord, e.k, p.command AS paired, CASE WHEN e.k % 7 = 0 THEN 'find x' || (e.k % 4) END AS loose,
+        CASE WHEN e.k % 7 = 0 THEN '' WHEN e.k % 4 = 0 THEN 'process running with session id ' || (e.k % 6) WHEN e.k % 5 = 1 THEN 'process exited with code ' || (e.k % 3) ELSE 'done' END AS output,
+        CASE WHEN e.k % 7 = 0 THEN '"command":["find","x' || (e.k % 4) ELSE '' END AS raw, strftime(make_timestamp(e.ms * 1000), '%Y-%m-%dt%H:%M:%S.%gz') AS t
+      FROM tt_ev e LEFT JOIN tt_pairs p ON p.file = e.file AND p.cid = 'c' || (e.k % 12) AND e.k % 7 <> 0
+      WHERE e.e = 'error' AND CASE WHEN e.k % 7 = 0 OR e.k % 5 <> 1 THEN e.k % 3 <> 0 ELSE e.k % 4 <> 0 AND e.k % 3 <> 0 END""",
+    "tt_class": """
+      SELECT *, CASE WHEN category = 'git' OR category = 'search' THEN true ELSE false END AS harmless FROM (
+        SELECT *, CASE paired WHEN 'pnpm test' THEN 'test' WHEN 'pnpm build' THEN 'build' WHEN 'git status' THEN 'git' WHEN 'rg x' THEN 'search' WHEN 'ls' THEN 'filesystem' WHEN 'terraform plan' THEN 'unknown'
+            ELSE CASE WHEN paired IS NOT NULL THEN 'unknown' WHEN k % 7 = 0 THEN 'search' ELSE 'unknown' END END AS category,
+          coalesce(paired, loose, substr('{"timestamp":"' || t || '","type":"response_item","payload":{"type":"function_call_output","call_id":"c' || (k % 12) || '"' || CASE WHEN k % 5 = 1 THEN '' ELSE ',"exit_code":' || (k % 3) END
+            || ',"output":"' || output || '"}}', 1, 160)) AS command FROM tt_exits)""",
+    "tt_issue0": """
+      SELECT *, CASE WHEN harmless THEN CASE WHEN category = 'search' THEN 'exploratory_miss' ELSE 'harmless_nonzero' END WHEN category IN ('test', 'build') THEN 'blocking_failure'
+          WHEN category = 'filesystem' THEN 'exploratory_miss' ELSE 'unknown' END AS kind0,
+        CASE WHEN harmless OR category = 'filesystem' THEN 'ignored' WHEN category IN ('test', 'build') THEN 'warning' ELSE 'info' END AS severity0,
+        CASE WHEN category IN ('test', 'build') THEN 'high' ELSE 'low' END AS impact0, row_number() OVER (PARTITION BY file, command ORDER BY ord) AS nth FROM tt_class""",
+    "tt_issue1": """
+      SELECT *, CASE WHEN again THEN 'blocking_failure' ELSE kind0 END AS kind1, CASE WHEN again THEN 'critical' ELSE severity0 END AS severity1, CASE WHEN again THEN 'high' ELSE impact0 END AS impact1
+      FROM (SELECT *, nth >= 3 AND NOT harmless AS again FROM tt_issue0)""",
+    "tt_issues": """
+      SELECT *, CASE WHEN clustered THEN 'blocking_failure' ELSE kind1 END AS classification, CASE WHEN clustered THEN 'critical' ELSE severity1 END AS severity, CASE WHEN clustered THEN 'high' ELSE impact1 END AS impact
+      FROM (SELECT *, kind1 NOT IN ('harmless_nonzero', 'exploratory_miss') AND count(*) FILTER (WHERE kind1 NOT IN ('harmless_nonzero', 'exploratory_miss')) OVER (PARTITION BY file, command) >= 3 AS clustered FROM tt_issue1)""",
+}
+
+
 def with_ctes(body: str) -> str:
     """The query with every tt_ table it names defined in front of it."""
     needed: dict[str, None] = {}
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name in dict.fromkeys(re.findall(r"\btt_\w+", text)):
-            if name in CTES and name not in needed:
+            if name in CTES and name not in seen:
+                seen.add(name)  # a recursive table names itself
                 visit(CTES[name])
                 needed[name] = None
 
@@ -236,7 +306,7 @@ def with_ctes(body: str) -> str:
         return body
     own = body.strip()
     glue = ", " + own[5:] if own.startswith("WITH ") else " " + own
-    return "WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in needed) + glue
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({CTES[n]})" for n in needed) + glue
 
 
 # ---------------------------------------------------------------- display text

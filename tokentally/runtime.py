@@ -35,7 +35,10 @@ def build_session(app: str = "tokentally", master: str | None = None, shuffle_pa
 
 # Day and hour keys are UTC. Call-site capture costs a few round trips to the
 # JVM for every column expression and is of use in notebooks only.
-SESSION_SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.python.sql.dataFrameDebugging.enabled": "false"}
+SESSION_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC", "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
 
 
 def prepare(spark: SparkSession) -> None:
