@@ -9,6 +9,7 @@ from tokentally.functions import records as R
 from tokentally.functions.records import first_count, first_text, instant, message_text
 from tokentally.operators import folds
 from tokentally.operators.scans import forward_fill, keep_where, with_chunk
+from tokentally.runtime import reliable_checkpoint
 
 FILE = ["host", "file"]
 USAGE = ["input_tokens", "cached_input_tokens", "cache_write_tokens", "cache_write_30m", "cache_write_12h", "output_tokens", "reasoning_tokens", "total_tokens"]
@@ -105,7 +106,12 @@ def token_requests(records: DataFrame) -> DataFrame:
     and no model: the largest total, the later one on a tie. Otherwise every
     kept delta or direct record is a request with the model active then.
     """
-    usages = token_usages(records).where(is_valid())
+    return requests_of(reliable_checkpoint(token_usages(records)), records)
+
+
+def requests_of(usages: DataFrame, records: DataFrame) -> DataFrame:
+    """token_requests over usage rows that are already at hand."""
+    usages = usages.where(is_valid())
     files = usages.groupBy(*FILE).agg(F.bool_or(F.col("kind") == "cumulative").alias("_cumulative"))
     marked = usages.join(files, FILE)
     best = F.max_by(F.struct("ord", *USAGE), F.struct("total_tokens", "ord"))
@@ -122,12 +128,12 @@ def token_requests(records: DataFrame) -> DataFrame:
 
 def token_totals(records: DataFrame) -> DataFrame:
     """One row per file: token sums, method, confidence, snapshot count and warnings."""
-    usages = token_usages(records)
+    usages = reliable_checkpoint(token_usages(records))
     counts = usages.groupBy(*FILE).agg(
         F.count("*").alias("token_snapshot_count"), F.count_if(~is_valid()).alias("_invalid"),
         F.count_if(is_valid() & (F.col("kind") != "cumulative")).alias("_direct"), F.count_if(F.col("kind") != "cumulative").alias("_all_direct"),
     )
-    requests = token_requests(records)
+    requests = requests_of(usages, records)
     sums = requests.groupBy(*FILE).agg(F.min("method").alias("_method"), F.count("*").alias("_n"), *[F.sum(u).alias(u) for u in USAGE])
     method = F.coalesce("_method", F.lit("unknown"))
     warnings = F.array_compact(F.array(

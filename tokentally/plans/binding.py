@@ -232,6 +232,65 @@ class Tables:
     def rollout_records(self) -> DataFrame:
         return parse_records(self.rollout_lines, schemas.ROLLOUT)
 
+    @cached_property
+    def transcript_lines(self) -> DataFrame:
+        """Transcript lines, one per line item, in two files per order."""
+        lines = self.table("lineitem").selectExpr(
+            "l_orderkey AS o", "l_partkey AS p", "l_suppkey AS s", "cast(l_linenumber AS bigint) AS n", "cast(l_quantity AS bigint) AS q",
+            "cast(round(l_discount * 100) AS bigint) AS d", "cast(round(l_tax * 100) AS bigint) AS x", "cast(floor(l_extendedprice / 100) AS bigint) AS output",
+            "l_linestatus AS st", "timestampadd(HOUR, cast(l_linenumber AS int), cast(l_shipdate AS timestamp)) AS at", "cast(unix_date(cast(l_shipdate AS date)) AS bigint) AS day",
+        )
+        model = pick_sql("p", [*MODELS[:10], "<synthetic>", None])
+        usage = (
+            "named_struct('input_tokens', if(s % 13 = 0, NULL, q * 5000), 'cache_read_input_tokens', q * d * 500, 'cache_creation_input_tokens', q * x * 100, 'cache_creation', "
+            "named_struct('ephemeral_5m_input_tokens', if(s % 3 = 1, q * x * 100, 0), 'ephemeral_1h_input_tokens', if(s % 3 = 2, q * x * 200, 0)), 'output_tokens', output, "
+            "'service_tier', if(s % 7 = 0, NULL, if(st = 'O', 'priority', 'standard')), 'speed', if(s % 10 = 0, 'fast', 'standard'))"
+        )
+        content = f"array(named_struct('type', 'text', 'name', NULL, 'text', 'working'), named_struct('type', 'tool_use', 'name', {pick_sql('n', ['Bash', 'Read', 'Edit', 'Grep'])}, 'text', NULL))"
+        result = "CASE WHEN s % 5 = 0 THEN named_struct('exit_code', 1, 'status', NULL) WHEN s % 7 = 0 THEN named_struct('exit_code', NULL, 'status', 'Failed') END"
+        line = f"""to_json(named_struct('type', 'assistant', 'sessionId', concat('s', o), 'requestId', if(s % 11 = 0, NULL, concat('r', o)),
+            'timestamp', if(s % 17 = 0, NULL, date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")), 'toolUseResult', {result},
+            'message', named_struct('id', concat('m', n), 'role', if(n % 5 = 4, 'user', 'assistant'), 'model', {model}, 'content', {content}, 'usage', {usage})))"""
+        return lines.selectExpr(
+            "concat('h', o % 3) AS host", "concat('/p/projects/-w-p', o % 97, '/', o, '-', s % 2, '.jsonl') AS file",
+            "(day * 16384 + p % 16384) * 16384 * 8 + (s % 16384) * 8 + n AS ord", "s % 2 AS mtime_ms", f"{line} AS line",
+        )
+
+    @cached_property
+    def transcript_records(self) -> DataFrame:
+        return parse_records(self.transcript_lines, schemas.TRANSCRIPT)
+
+    @cached_property
+    def otel_lines(self) -> DataFrame:
+        """Telemetry lines, one per line item: a trace per order, 50 files."""
+        rows = self.table("lineitem").selectExpr(
+            "l_orderkey AS o", "l_partkey AS p", "l_suppkey AS s", "cast(l_linenumber AS bigint) AS n", "cast(l_quantity AS bigint) AS q",
+            "cast(round(l_discount * 100) AS bigint) AS d", "cast(round(l_tax * 100) AS bigint) AS x", "cast(floor(l_extendedprice / 100) AS bigint) AS output",
+            "unix_seconds(cast(l_shipdate AS timestamp)) AS sec",
+        )
+        attributes = f"""map_filter(map_from_arrays(array('gen_ai.response.model', 'gen_ai.conversation.id', 'github.copilot.interaction_id', 'gen_ai.response.id', 'turn.index',
+              'gen_ai.usage.input_tokens', 'gen_ai.usage.cache_read.input_tokens', 'gen_ai.usage.cache_write.input_tokens', 'gen_ai.usage.output_tokens', 'gen_ai.usage.reasoning_tokens', 'gen_ai.usage.total_tokens'),
+            array({pick_sql('p', MODELS)}, if(p % 5 = 0, concat('conv', o), NULL), if(p % 5 IN (0, 1), concat('int', o), NULL), if(p % 5 = 2, concat('r', o % 500, '-', n), NULL), if(s % 4 = 2, cast(n AS string), NULL),
+              cast(q * 50 AS string), cast(q * d AS string), cast(q * x * 9 AS string), if(n % 3 = 0, NULL, cast(output AS string)), cast(s % 100 AS string), if(n % 3 = 0, cast(q * 50 + output + s % 100 AS string), NULL))), (k, v) -> v IS NOT NULL)"""
+        common = f"'traceId', concat('t', o), 'spanId', concat('s', n), 'attributes', {attributes}"
+        span = "'type', 'span', 'startTime', array(sec, 250000000L), 'endTime', array(sec + n, 750000000L)"
+        line = f"""CASE s % 4 WHEN 0 THEN to_json(named_struct('name', 'chat model', {span}, {common})) WHEN 1 THEN to_json(named_struct('body', 'GenAI inference: model', 'timestamp', sec * 1000 + n, {common}))
+          WHEN 2 THEN to_json(named_struct('body', 'copilot_chat.agent.turn: x', 'timestamp', sec * 1000 + n, {common})) ELSE to_json(named_struct('name', 'invoke_agent x', {span}, {common})) END"""
+        return rows.selectExpr("concat('h', o % 3) AS host", "concat('/c/otel/', o % 3, '-', p % 50, '.jsonl') AS file", "(o * 8 + n) * 65536 + pmod(p * 31 + s, 65536) AS ord", f"{line} AS line")
+
+    @cached_property
+    def otel_records(self) -> DataFrame:
+        return parse_records(self.otel_lines, schemas.OTEL)
+
+    @cached_property
+    def key_values(self) -> DataFrame:
+        """Key-value rows, one per conversation turn."""
+        value = """to_json(array(named_struct('role', role, 'conversationId', concat('c', conv_id), 'timestamp', 1700000000 + conv_id * 1000 + turn, 'message', named_struct('content', text, 'workspacePath',
+          concat('file:///w/', conv_id % 7)), 'model', if(turn % 3 = 0, 'gpt-5.4', NULL), 'usage', named_struct('inputTokens', 100 * (turn + 1), 'output_tokens', 10 * (conv_id % 5 + 1)), 'costUsd', 0.25)))"""
+        return self.table("conversations").selectExpr(
+            "'h0' AS host", "'/u/globalStorage/state.vscdb' AS file", "'ItemTable' AS `table`", "conv_id * 1000 + turn AS ord", "if(conv_id % 10 = 9, 'other', 'aichat.bubble') AS key", f"{value} AS value"
+        )
+
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -289,6 +289,45 @@ CTES |= {
 }
 
 
+CTES |= {
+    "tt_turns": f"""
+      SELECT 'h' || (o % 3) AS host, '/p/projects/-w-p' || (o % 97) || '/' || o || '-' || (s % 2) || '.jsonl' AS file, (day * 16384 + p % 16384) * 16384 * 8 + (s % 16384) * 8 + n AS ord, s % 2 AS mtime_ms,
+        CASE WHEN s % 17 <> 0 THEN moment END AS moment, {choose('p', [*MODELS[:10], None, None])} AS model, CASE WHEN s % 11 <> 0 THEN 'r' || o || ':m' || n END AS request_key,
+        CASE WHEN s % 13 = 0 THEN 0 ELSE q * 5000 END AS raw_input, s % 13 <> 0 AS has_input, q * d * 500 AS cache_read, q * x * 100 AS cache_created, CASE WHEN s % 3 = 1 THEN q * x * 100 ELSE 0 END AS created_5m,
+        CASE WHEN s % 3 = 2 THEN q * x * 200 ELSE 0 END AS created_1h, output AS raw_output, CASE WHEN s % 10 = 0 THEN 'fast' ELSE 'standard' END AS speed, o, s, n
+      FROM (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber::BIGINT AS n, l_quantity::BIGINT AS q, round(l_discount * 100)::BIGINT AS d, round(l_tax * 100)::BIGINT AS x,
+          floor(l_extendedprice / 100)::BIGINT AS output, l_shipdate + to_hours(l_linenumber) AS moment, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS day FROM lineitem)""",
+    "tt_once": """
+      SELECT host, arg_min(file, r) AS file, arg_min(ord, r) AS ord, arg_min(moment, r) FILTER (WHERE r = 1) AS moment, arg_min(model, r) FILTER (WHERE r = 1) AS model, request_key, max(raw_input) AS raw_input, bool_or(has_input) AS has_input,
+        max(cache_read) AS cache_read, max(cache_created) AS cache_created, max(created_5m) AS created_5m, max(created_1h) AS created_1h, max(raw_output) AS raw_output, arg_min(speed, r) AS speed, count(*) AS copies
+      FROM (SELECT *, row_number() OVER (PARTITION BY host, request_key ORDER BY mtime_ms, file, ord) AS r FROM tt_turns WHERE request_key IS NOT NULL) GROUP BY host, request_key
+      UNION ALL SELECT host, file, ord, moment, model, NULL, raw_input, has_input, cache_read, cache_created, created_5m, created_1h, raw_output, speed, 1 FROM tt_turns WHERE request_key IS NULL""",
+    "tt_once_buckets": """
+      SELECT *, raw_input + cache_read + written AS input_tokens, cache_read AS cached_input_tokens, written AS cache_write_tokens, created_5m AS cache_write_5m, created_1h AS cache_write_1h, raw_output AS output_tokens
+      FROM (SELECT *, greatest(cache_created, created_5m + created_1h) AS written FROM tt_once)""",
+    "tt_spans": f"""
+      SELECT 'h' || (o % 3) AS host, '/c/otel/' || (o % 3) || '-' || (p % 50) || '.jsonl' AS file, (o * 8 + n) * 65536 + (p * 31 + s) % 65536 AS ord, s % 4 AS rank, 't' || o AS trace_id, 's' || n AS span_id,
+        (['chat_span', 'inference_log', 'agent_turn_log', 'agent_summary_span'])[s % 4 + 1] AS source, CASE WHEN p % 5 = 2 THEN 'r' || (o % 500) || '-' || n END AS response_id, {choose('p', MODELS)} AS own_model,
+        CASE p % 5 WHEN 0 THEN 'conv' || o WHEN 1 THEN 'int' || o WHEN 2 THEN 'r' || (o % 500) || '-' || n END AS own_session, CASE p % 5 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 END AS priority,
+        q * 50 AS input_tokens, q * d AS cached_input_tokens, q * x * 9 AS cache_write_tokens, output AS output_tokens, s % 100 AS reasoning_tokens,
+        CASE WHEN s % 4 IN (0, 3) THEN (sec + n) * 1000 + 750 ELSE sec * 1000 + n END AS at_ms, n
+      FROM (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber::BIGINT AS n, l_quantity::BIGINT AS q, round(l_discount * 100)::BIGINT AS d, round(l_tax * 100)::BIGINT AS x,
+          floor(l_extendedprice / 100)::BIGINT AS output, epoch(l_shipdate)::BIGINT AS sec FROM lineitem)""",
+    "tt_contexts": """
+      SELECT m.file, m.trace_id, m.trace_model, s.trace_session FROM (SELECT file, trace_id, arg_min(own_model, ord) FILTER (WHERE own_model IS NOT NULL) AS trace_model FROM tt_spans GROUP BY 1, 2) m
+      LEFT JOIN (SELECT file, trace_id, own_session AS trace_session FROM (SELECT *, row_number() OVER (PARTITION BY file, trace_id ORDER BY priority DESC, ord) AS r FROM tt_spans WHERE own_session IS NOT NULL) WHERE r = 1) s
+        ON s.file = m.file AND s.trace_id = m.trace_id""",
+    "tt_candidates": """
+      SELECT s.*, coalesce(own_session, trace_session, s.trace_id) AS session_id, coalesce(own_model, trace_model) AS model,
+        CASE WHEN rank IN (0, 3) THEN s.trace_id || ':' || span_id WHEN rank = 1 THEN 'log:' || s.trace_id || ':' || span_id ELSE 'agent-turn:' || s.trace_id || ':' || n END AS dedup_key
+      FROM tt_spans s JOIN tt_contexts c ON c.file = s.file AND c.trace_id = s.trace_id""",
+    "tt_emitted": """
+      SELECT * FROM (SELECT *, min(rank) OVER (PARTITION BY file, trace_id) AS bt, CASE WHEN response_id IS NOT NULL THEN min(rank) OVER (PARTITION BY file, response_id) ELSE rank END AS br FROM tt_candidates) WHERE rank <= bt AND rank <= br""",
+    "tt_unique": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, dedup_key ORDER BY ord) AS first FROM tt_emitted) WHERE first = 1",
+    "tt_merged": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host, session_id, dedup_key ORDER BY file, ord) AS pick FROM tt_unique) WHERE pick = 1",
+}
+
+
 def with_ctes(body: str) -> str:
     """The query with every tt_ table it names defined in front of it."""
     needed: dict[str, None] = {}
