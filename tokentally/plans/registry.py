@@ -13,7 +13,7 @@ from tokentally.plans.oracle import with_ctes
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 HOMES: dict[str, str] = {}
-MODULES = ["pricing", "groups", "filters", "logs", "sessions", "reports", "rules", "labels", "sinks", "savings"]
+MODULES = ["pricing", "groups", "filters", "logs", "sessions", "reports", "rules", "labels", "sinks", "savings", "sources"]
 
 
 def query(name: str, sql: str | None = None):
