@@ -51,6 +51,11 @@ def read_documents(spark: SparkSession, path: str | list[str], glob: str = "*.js
         F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"), F.col("_metadata.file_size").alias("size"),
         F.col("value").alias("body"), F.try_parse_json("value").alias("doc"),
     )
+    # The parser stops after the first value, so a file whose first line is a value
+    # of its own and is followed by more is lines, not a document.
+    content = F.filter(F.split("body", r"\r?\n"), lambda l: F.trim(l) != "")
+    is_lines = F.coalesce((F.size(content) > 1) & F.try_parse_json(F.get(content, F.lit(0))).isNotNull(), F.lit(False))
+    docs = docs.withColumn("doc", F.when(~is_lines, F.col("doc")))
     items = F.expr("coalesce(try_cast(doc AS array<variant>), array(doc))")
     whole = docs.where("doc is not null").select("file", "mtime_ms", "size", F.posexplode(items).alias("ord", "_item")).select(
         "file", F.col("ord").cast("bigint").alias("ord"), F.to_json("_item").alias("line"), "mtime_ms", "size"
@@ -70,7 +75,8 @@ def parse_records(lines: DataFrame, schema: str) -> DataFrame:
     parsed = F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     rows = lines.select("*", F.explode(F.array(parsed)).alias("rec"))
     suspect = F.col("rec._corrupt").isNotNull()
-    return rows.withColumn("bad", F.when(suspect, F.try_parse_json("line").isNull()).otherwise(F.lit(False)))
+    cut_off = F.col("line").startswith("{") & ~F.col("line").endswith("}")
+    return rows.withColumn("bad", F.when(suspect, F.try_parse_json("line").isNull()).otherwise(F.lit(False)) | cut_off)
 
 
 def parse_errors(records: DataFrame) -> DataFrame:
