@@ -27,7 +27,8 @@ def build_session(app: str = "tokentally", master: str | None = None, shuffle_pa
     for key, value in SESSION_SETTINGS.items():
         builder = builder.config(key, value)
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        # Inside one process the driver's heap is all the memory there is.
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
