@@ -45,7 +45,7 @@ SESSION_SETTINGS = {
 def prepare(spark: SparkSession) -> None:
     """Give an existing session the settings the queries rely on."""
     for key, value in SESSION_SETTINGS.items():
-        if spark.conf.get(key, None) != value:
+        if spark.conf.get(key, None) != value and spark.conf.isModifiable(key):
             spark.conf.set(key, value)
 
 
