@@ -276,7 +276,7 @@ class Tables:
         span = "'type', 'span', 'startTime', array(sec, 250000000L), 'endTime', array(sec + n, 750000000L)"
         line = f"""CASE s % 4 WHEN 0 THEN to_json(named_struct('name', 'chat model', {span}, {common})) WHEN 1 THEN to_json(named_struct('body', 'GenAI inference: model', 'timestamp', sec * 1000 + n, {common}))
           WHEN 2 THEN to_json(named_struct('body', 'copilot_chat.agent.turn: x', 'timestamp', sec * 1000 + n, {common})) ELSE to_json(named_struct('name', 'invoke_agent x', {span}, {common})) END"""
-        return rows.selectExpr("concat('h', o % 3) AS host", "concat('/c/otel/', o % 3, '-', p % 50, '.jsonl') AS file", "(o * 8 + n) * 65536 + pmod(p * 31 + s, 65536) AS ord", f"{line} AS line")
+        return rows.selectExpr("concat('h', o % 3) AS host", "concat('/c/otel/', o % 3, '-', p % 50, '.jsonl') AS file", "(o * 8 + n) * 1048576 + pmod(p * 1009 + s * 31 + output, 1048576) AS ord", f"{line} AS line")
 
     @cached_property
     def otel_records(self) -> DataFrame:

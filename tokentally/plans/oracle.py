@@ -306,7 +306,7 @@ CTES |= {
       SELECT *, raw_input + cache_read + written AS input_tokens, cache_read AS cached_input_tokens, written AS cache_write_tokens, created_5m AS cache_write_5m, created_1h AS cache_write_1h, raw_output AS output_tokens
       FROM (SELECT *, greatest(cache_created, created_5m + created_1h) AS written FROM tt_once)""",
     "tt_spans": f"""
-      SELECT 'h' || (o % 3) AS host, '/c/otel/' || (o % 3) || '-' || (p % 50) || '.jsonl' AS file, (o * 8 + n) * 65536 + (p * 31 + s) % 65536 AS ord, s % 4 AS rank, 't' || o AS trace_id, 's' || n AS span_id,
+      SELECT 'h' || (o % 3) AS host, '/c/otel/' || (o % 3) || '-' || (p % 50) || '.jsonl' AS file, (o * 8 + n) * 1048576 + (p * 1009 + s * 31 + output) % 1048576 AS ord, s % 4 AS rank, 't' || o AS trace_id, 's' || n AS span_id,
         (['chat_span', 'inference_log', 'agent_turn_log', 'agent_summary_span'])[s % 4 + 1] AS source, CASE WHEN p % 5 = 2 THEN 'r' || (o % 500) || '-' || n END AS response_id, {choose('p', MODELS)} AS own_model,
         CASE p % 5 WHEN 0 THEN 'conv' || o WHEN 1 THEN 'int' || o WHEN 2 THEN 'r' || (o % 500) || '-' || n END AS own_session, CASE p % 5 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 END AS priority,
         q * 50 AS input_tokens, q * d AS cached_input_tokens, q * x * 9 AS cache_write_tokens, output AS output_tokens, s % 100 AS reasoning_tokens,
