@@ -5,10 +5,10 @@ word shared), so the first level looks at 7 words and the second extends those a
 repeat. On the first level the smallest of the seven 7-word hashes in each 13-word window
 stands for it: equal windows choose the same one at the same place, so no repeat is lost
 while about a quarter of all positions are sent. A row carries the hash, the document, the
-position, which windows chose it, and one byte for each of up to six words on both sides.
-On the second level the rows of a hash that more than one document has are extended to the
-windows of 13 words, told apart by the 64-bit hash of seven words and the eight bits of each
-of the other six. No longer window can change which words are covered, so the levels end.
+position, and 32 bits for each of the windows that chose it. On the second level the rows of
+a hash that more than one document has are extended to the windows of 13 words, told apart
+by the 64-bit hash of seven words, their place in the window and the 32 bits of all thirteen.
+No longer window can change which words are covered, so the levels end there.
 
 Before rows are sent, equal segments of one block of texts are resolved on the spot: only the
 rows of the smallest document stay, so that a passage which many documents share reaches the
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokentally.llm.common import U64, _arrow_schema, as_batch, blocks, grouped_arange, map_arrow, mix, signed, span_hashes, window_hashes, windows, word_spans
+from tokentally.llm.common import _PLACE, U64, _arrow_schema, as_batch, blocks, grouped_arange, map_arrow, mix, signed, span_hashes, window_hashes, windows, word_spans
 
 MIN_WORDS = 13
 # Bits of a spot: word index, text fingerprint, and which of the windows at an anchor are removed.
@@ -42,7 +42,8 @@ def anchors(words: np.ndarray, first_word: np.ndarray, size: int) -> dict[str, n
     """Segments of windows of ``size`` words that choose the same half-length window.
 
     row, at (word index of the anchor), low and high (windows start low..high words before
-    it), key (hash of the half), left and right (one byte a word, nearest first).
+    it), key (hash of the half), window (hashes of the windows, the farthest first, all
+    segments one after another).
     """
     half = (size + 1) // 2
     reach = size - half
@@ -60,16 +61,8 @@ def anchors(words: np.ndarray, first_word: np.ndarray, size: int) -> dict[str, n
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(starts)) - 1
     at, row = at[begin], row[begin]
-    high, low = at - starts[begin], at - starts[end]
-    print8 = (words >> U64(56)).astype(U64)
-    left, right = np.zeros(len(at), U64), np.zeros(len(at), U64)
-    last = len(words) - 1
-    for j in range(reach):
-        has = high > j
-        left |= np.where(has, print8[np.maximum(at - 1 - j, 0)] << U64(8 * j), U64(0))
-        has = reach - low > j
-        right |= np.where(has, print8[np.minimum(at + half + j, last)] << U64(8 * j), U64(0))
-    return {"row": row, "at": at - first_word[row], "low": low, "high": high, "key": keys[at], "left": left, "right": right}
+    window = (window_hashes(words, size)[starts] >> U64(32)).astype(np.uint32)
+    return {"row": row, "at": at - first_word[row], "low": at - starts[end], "high": at - starts[begin], "key": keys[at], "window": window}
 
 
 def _segments(documents: DataFrame, size: int) -> DataFrame:
@@ -82,23 +75,27 @@ def _segments(documents: DataFrame, size: int) -> DataFrame:
             found = anchors(span_hashes(data, starts, ends), first_word, size)
             doc = ids[lo:hi].astype(np.int64)[found["row"]]
             spot = (found["at"] << _PRINT_BITS | text_prints(data, offsets)[found["row"]]) << _MASK_BITS
-            shape = found["low"].astype(U64) << U64(4) | found["high"].astype(U64)
-            whole = mix(mix(mix(found["key"] ^ shape) + found["left"]) + found["right"])
+            low, high = found["low"], found["high"]
+            count = high - low + 1
+            begin = np.cumsum(count) - count
+            # Sums of mixed window hashes tell segments apart within the block.
+            content = mix(found["window"].astype(U64) + (_PLACE[grouped_arange(count)] if len(count) else U64(0)))
+            whole = mix(found["key"] + (low << 4 | high).astype(U64)) + (np.add.reduceat(content, begin) if len(count) else U64(0))
             order = np.lexsort((doc, whole))
             first = np.ones(len(order), bool)
             first[1:] = whole[order][1:] != whole[order][:-1]
             least = doc[order][np.flatnonzero(first)][np.cumsum(first) - 1]
             later = doc[order] > least
             done, sent = order[later], order[~later]
-            masks = (np.int64(2) << found["high"]) - (np.int64(1) << found["low"])
-            none = pa.nulls(len(done), pa.int64())
+            masks = (np.int64(2) << high) - (np.int64(1) << low)
             if len(done):
-                yield {"key": none, "doc": doc[done], "spot": spot[done] | masks[done], "left": none, "right": none}
+                yield {"key": pa.nulls(len(done), pa.int64()), "doc": doc[done], "spot": spot[done] | masks[done], "hashes": pa.nulls(len(done), pa.binary())}
             if len(sent):
-                pack = lambda side, n: signed(side | n.astype(U64) << U64(56))
-                yield {"key": signed(found["key"][sent]), "doc": doc[sent], "spot": spot[sent], "left": pack(found["left"][sent], found["high"][sent]), "right": pack(found["right"][sent], found["low"][sent])}
+                at = np.append(begin, len(found["window"])).astype(np.int32) * 4
+                hashes = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(at), pa.py_buffer(found["window"])])
+                yield {"key": signed(found["key"][sent]), "doc": doc[sent], "spot": spot[sent] | (low << 4 | high)[sent], "hashes": hashes.take(pa.array(sent))}
 
-    return map_arrow(documents.where("doc is not null and text is not null"), run, "key long, doc long, spot long, left long, right long")
+    return map_arrow(documents.where("doc is not null and text is not null"), run, "key long, doc long, spot long, hashes binary")
 
 
 class _Group:
@@ -107,19 +104,17 @@ class _Group:
     def __init__(self, size: int):
         self.half = (size + 1) // 2
         self.reach = size - self.half
-        self.tail: dict[str, np.ndarray] | None = None
         # Of the last key seen: windows met so far, the smallest document of each, and of all.
         self.open_key, self.seen, self.docs, self.least = None, np.zeros(0, U64), np.zeros(0, np.int64), 0
 
     def window_keys(self, rows: dict, r: int) -> tuple[np.ndarray, np.ndarray]:
-        left, right = rows["left"].view(U64), rows["right"].view(U64)
-        has = np.flatnonzero(((left >> U64(56)) >= r) & ((right >> U64(56)) <= r))
-        mask = lambda n: U64((1 << 8 * n) - 1)
-        own = mix(rows["key"].view(U64)[has] + U64(r)) + mix(left[has] & mask(r))
-        return has, mix(own) + mix((right[has] & mask(self.reach - r)) ^ U64(0x5851F42D4C957F2D))
+        """Rows that have a window which starts r words before the anchor, and its hash."""
+        low, high = rows["spot"] >> 4 & 15, rows["spot"] & 15
+        has = np.flatnonzero((low <= r) & (high >= r))
+        return has, mix(rows["key"].view(U64)[has] + U64(r)) + rows["window"][rows["begin"][has] + high[has] - r]
 
-    def __call__(self, key: np.ndarray, doc: np.ndarray, spot: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        """Removed windows of these rows; and the rows of the open key that are still to be told.
+    def __call__(self, key: np.ndarray, doc: np.ndarray, spot: np.ndarray, begin_at: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and spots with removed windows of these rows.
 
         All documents before a row come before it, so its windows can be judged when it is read.
         """
@@ -137,7 +132,7 @@ class _Group:
         open_again = self.open_key is not None and len(key) and key[0] == self.open_key
         last_key = key[-1]
         keep = np.repeat(alive | (np.arange(len(begin)) == len(begin) - 1), size)
-        rows = {"key": key[keep], "doc": doc[keep], "left": left[keep], "right": right[keep]}
+        rows = {"key": key[keep], "doc": doc[keep], "spot": spot[keep], "begin": begin_at[keep], "window": window}
         removed = np.zeros(len(rows["key"]), np.int64)
         seen, docs = [], []
         for r in range(self.reach + 1):
@@ -169,7 +164,7 @@ class _Group:
         first[1:] = joined[1:] != joined[:-1]
         self.seen, self.docs = joined[first], of[first]
         told = removed > 0
-        return rows["doc"][told], spot[keep][told] | removed[told]
+        return rows["doc"][told], rows["spot"][told] >> _MASK_BITS << _MASK_BITS | removed[told]
 
 
 def repeated_spots(documents: DataFrame, size: int = MIN_WORDS) -> DataFrame:
@@ -189,7 +184,9 @@ def repeated_spots(documents: DataFrame, size: int = MIN_WORDS) -> DataFrame:
                 yield as_batch({"doc": own.column(1), "spot": own.column(2)}, schema)
             rest = batch.filter(pa.compute.invert(alone))
             if rest.num_rows:
-                doc, spot = group(*(rest.column(i).to_numpy() for i in range(5)))
+                _, at, window = rest.column(3).buffers()
+                at = np.frombuffer(at, np.int32)[rest.column(3).offset :][: rest.num_rows] // 4
+                doc, spot = group(*(rest.column(i).to_numpy() for i in range(3)), at, np.frombuffer(window, np.uint32))
                 if len(doc):
                     yield as_batch({"doc": doc, "spot": spot}, schema)
 
