@@ -47,3 +47,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokentally.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.minhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "text_print")
