@@ -204,3 +204,38 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
         edges = new
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def annotate(df: DataFrame, text_column: str, function, added: str, limit: int = BLOCK_BYTES) -> DataFrame:
+    """All rows and columns with new columns computed from a text column.
+
+    ``function(bytes, offsets)`` returns the new columns of a block of rows. A column of the
+    input that has the name of a new one is replaced. Rows are neither moved nor reordered.
+    """
+    from pyspark.sql import types as T
+
+    new = T._parse_datatype_string(added)
+    kept = [f for f in df.schema.fields if f.name not in new.names]
+    schema = T.StructType([*kept, *new.fields])
+    source = df.select(*[_quoted(f.name) for f in kept], F.col(_quoted(text_column)).cast("string").alias("text to read"))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow_schema = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for lo, hi, data, offsets in blocks(batch.column(batch.num_columns - 1), limit):
+                found = function(data, offsets)
+                arrays = [batch.column(i).slice(lo, hi - lo) for i in range(len(kept))]
+                for f in list(arrow_schema)[len(kept) :]:
+                    values = found[f.name]
+                    arrays.append(values if isinstance(values, pa.Array) and values.type == f.type else pa.array(values, f.type))
+                yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, arrow_schema)], schema=arrow_schema)
+
+    return source.mapInArrow(run, schema)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -55,3 +55,18 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "text_print")
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.decontaminate import mark_contaminated
+
+    marked = mark_contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", F.explode("benchmark_hits").alias("hit")).select("doc_id", "hit.*")
+
+
+@query
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.embed_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
