@@ -191,7 +191,7 @@ def repeated_spots(documents: DataFrame, size: int = MIN_WORDS) -> DataFrame:
                     yield as_batch({"doc": doc, "spot": spot}, schema)
 
     # Spots that are settled already are spread by document; the others meet by hash.
-    dealt = segments.withColumn("by", F.coalesce("key", F.xxhash64("doc"))).repartition("by").drop("by").sortWithinPartitions("key", "doc")
+    dealt = segments.repartition(F.coalesce("key", F.xxhash64("doc"))).sortWithinPartitions("key", "doc")
     return dealt.mapInArrow(extend, ddl)
 
 
