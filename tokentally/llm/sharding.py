@@ -2,7 +2,7 @@
 
 Documents with equal texts are linked. Linked documents start at random shards; in each round
 the members of a group that are elsewhere want to move to the open shard that holds most of
-the group's bytes. Moves are admitted in a random order of groups as long as the room lasts
+the group's bytes (or to one of the several that it needs, if one cannot hold it). Moves are admitted in a random order of groups as long as the room lasts
 that a shard's staying members leave (a histogram of the wanted bytes over 1024 ranks of that
 order gives the last rank that fits); members of groups too large for that are ranked one by
 one, so such a group fills shard after shard, and a full shard takes part no longer. Documents without links then take the room that is left. Last, all documents
@@ -39,13 +39,17 @@ def propagate(state: DataFrame, capacity: int, shards: int = SHARDS, rounds: int
     for turn in range(rounds):
         is_open = ~_at(shut, F.col("shard"))
         cells = state.where(is_open).groupBy("group", "shard").agg(F.sum("size").alias("b"))
-        best = F.max(F.struct("b", F.xxhash64("group", "shard").alias("tie"), "shard"))
-        wanted = stored(cells.groupBy("group").agg(best.getField("shard").alias("target")))
+        # At most one entry for each shard.
+        by_bytes = F.sort_array(F.collect_list(F.struct("b", F.xxhash64("group", "shard").alias("tie"), "shard")), asc=False)
+        wanted = stored(cells.groupBy("group").agg(by_bytes.getField("shard").alias("targets")))
         # Ranks of whole groups, or of single rows where a group would not fit anywhere.
         whole = F.col("group_bytes") <= F.lit(capacity // 16)
         rank = F.pmod(F.when(whole, F.xxhash64("group", F.lit(turn))).otherwise(F.xxhash64("doc_id", F.lit(turn))), F.lit(RANKS)).cast("int")
-        moving = F.col("target").isNotNull() & (F.col("target") != F.col("shard")) & is_open
-        ready = state.join(wanted, "group", "left").withColumn("rank", rank).withColumn("moving", moving)
+        # A group that no shard can hold takes as many as it needs.
+        needed = F.slice("targets", 1, F.ceil(F.col("group_bytes") / F.lit(max(1, capacity))).cast("int"))
+        chosen = F.get(needed, F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.size(needed)).cast("int"))
+        ready = state.join(wanted, "group", "left").withColumn("rank", rank).withColumn("target", F.when(is_open & ~F.array_contains(needed, F.col("shard")), chosen))
+        ready = ready.withColumn("moving", F.col("target").isNotNull()).drop("targets")
         # A shard's room is what those leave that stay; without room it takes part no longer.
         room = [max(0, capacity - b) for b in _loads(ready.where("not moving"), shards)]
         tally = ready.where("moving").groupBy("target", "rank").agg(F.sum("size").alias("b"))
