@@ -1,7 +1,8 @@
 """Quality of texts by supervised subword embeddings.
 
-Features of a text are its words (without ASCII case), its words as written, and the byte
-n-grams inside each word, hashed into one table of learned vectors. A text is the average of
+Features of a text are its words (without ASCII case), its words as written, the byte n-grams
+inside each word, and pairs of equal words in a row (one feature, whatever the word), hashed
+into one table of learned vectors. A text is the average of
 the vectors of all its features; a linear layer and a softmax give the class. The table and
 the layer are trained by stochastic gradient descent on a bounded, stated number of labelled
 texts. Averages are linear, so a trained model scores a text by one number for each feature:
@@ -22,8 +23,8 @@ from tokentally.llm.common import _BYTE, _PLACE, U64, annotate, blocks, map_arro
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 GRAMS = (3, 4)
-EPOCHS = 12
-RATE = 0.5
+EPOCHS = 6
+RATE = 0.3
 # Labelled texts that a model is fitted on: the first in the order of a hash of doc_id.
 SAMPLE = 6000
 
@@ -33,8 +34,10 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS, gram
     starts, ends, first_word = word_spans(data, offsets)
     shift = U64(64 - (buckets - 1).bit_length())
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first_word))
-    found = [span_hashes(data, starts, ends, fold=True), span_hashes(data, starts, ends) ^ U64(0x5BD1E995)]
-    rows = [row, row]
+    words = span_hashes(data, starts, ends, fold=True)
+    again = np.flatnonzero((words[1:] == words[:-1]) & (row[1:] == row[:-1])) + 1
+    found = [words, span_hashes(data, starts, ends) ^ U64(0x5BD1E995), np.full(len(again), 0x2127599BF4325C37, U64)]
+    rows = [row, row, row[again]]
     if len(starts):
         # The end of the word of each byte (0 for white space), to keep n-grams inside words.
         stop = np.zeros(len(data) + 1, np.int32)
@@ -44,8 +47,6 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS, gram
         np.add.at(inside, ends, -1)
         end = np.maximum.accumulate(stop[:-1])
         end[np.cumsum(inside[:-1]) == 0] = 0
-        of = np.searchsorted(offsets, np.arange(0, len(data) + 1, 1 << 12), "right") - 1
-        del of
         values = _BYTE[data]
         for n in grams:
             at = np.flatnonzero(end >= np.arange(n, len(data) + n))

@@ -78,3 +78,32 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     placed = shard(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.token_output import packed_sequences
+
+    return packed_sequences(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 49_408)
+
+
+@query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns recovered from transcripts that are written from all conversations."""
+    from tokentally.llm import chat
+    from tokentally.llm.common import stored
+
+    span = 64 * chat.TURN_LINES
+    lines = stored(chat.transcript_lines(table(spark, sf_dir, "conversations")))
+    return chat.turns(lines, chat.fit(lines, span), span)
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.quality import fit, score
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+    model = fit(documents, table(spark, sf_dir, "labels").where(~held_out))
+    scored = score(documents, model).drop("text")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
