@@ -70,11 +70,12 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+def _arrow_schema(spark: SparkSession, schema) -> pa.Schema:
+    """The Arrow schema of a DDL string or a Spark schema."""
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(T._parse_datatype_string(ddl))
+    return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
 def as_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:

@@ -208,11 +208,11 @@ def _compare(members: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, text_print (xxhash64 of the text) and class_id for every distinct (doc_id, text).
+    """doc_id, class_id, kept and text_print (xxhash64 of the text) for every distinct (doc_id, text).
 
     Documents are in one class if a chain of pairs with a Jaccard similarity of ``similarity``
     or more on shingles of ``shingle`` words connects them; class_id is the smallest doc_id of
-    the class. Texts of fewer words are one shingle. Null and empty texts and texts of white
+    the class, and its document alone is kept. Texts of fewer words are one shingle. Null and empty texts and texts of white
     space alone are classes of their own; a row with a null doc_id has a null class. Other
     columns are ignored.
     """
@@ -254,10 +254,29 @@ def _placed(member: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _classes(source: DataFrame, base: DataFrame, unique: DataFrame, edges: DataFrame) -> DataFrame:
     of_key = components(edges).withColumnRenamed("node", "key")
-    named = unique.select("key", "id").join(of_key, "key", "left").select("key", "id", F.coalesce("component", "key").alias("component"))
-    classes = named.groupBy("component").agg(F.min("id").alias("class_id"))
-    by_key = named.join(classes, "component").select("key", "class_id")
-    told = base.join(by_key, "key").select(F.col("id").alias("doc_id"), F.col("print").alias("text_print"), "class_id")
+    named = unique.select("key", "id", "print").join(of_key, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    classes = named.groupBy("component").agg(F.min(F.struct("id", "print")).alias("first"))
+    by_key = named.join(classes, "component").select("key", "first")
+    told = base.join(by_key, "key").select(F.col("id").alias("doc_id"), F.col("print").alias("text_print"), "first").distinct()
     everyone = source.select(F.col("id").alias("doc_id"), F.col("print").alias("text_print")).distinct()
     same = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.text_print") == F.col("b.text_print"))
-    return everyone.alias("a").join(told.distinct().alias("b"), same, "left").select("a.doc_id", "a.text_print", F.coalesce("b.class_id", "a.doc_id").alias("class_id"))
+    own = F.struct("a.doc_id", "a.text_print")
+    return everyone.alias("a").join(told.alias("b"), same, "left").select(
+        "a.doc_id", F.coalesce("b.first.id", "a.doc_id").alias("class_id"), F.coalesce(own == F.col("b.first"), F.lit(True)).alias("kept"), "a.text_print",
+    )
+
+
+def without_near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
+    """The rows of ``documents`` that are kept: one of each class, with all columns.
+
+    Of rows that agree in doc_id and text one stays; rows with a null doc_id all stay.
+    """
+    found = stored(near_duplicates(documents.select(id_column, text_column), id_column=id_column, text_column=text_column, **settings))
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone id"), F.col("text_print").alias("gone print"))
+    same = (F.col(id_column).cast("long") == F.col("gone id")) & (F.xxhash64(text_column) == F.col("gone print"))
+    left = documents.join(gone, same, "left_anti")
+    repeated = documents.groupBy(F.col(id_column).alias("gone id"), F.xxhash64(text_column).alias("gone print")).count().where("count > 1 and `gone id` is not null")
+    if repeated.isEmpty():
+        return left
+    again = left.join(repeated, same, "left_semi")
+    return left.join(repeated, same, "left_anti").union(again.dropDuplicates([id_column, text_column]))

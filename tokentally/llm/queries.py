@@ -53,8 +53,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokentally.llm.minhash import near_duplicates
 
-    found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "text_print")
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 @query
