@@ -26,6 +26,41 @@ def test_grown_file_is_read_again(spark, tmp_path):
     assert spark.read.parquet(ledger).count() == 3
 
 
+def _file(folder, host, lines, time):
+    path = folder / f"host={host}" / "a.jsonl"
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text("".join(f'{{"n":{i}}}\n' for i in range(lines)))
+    os.utime(path, (time, time))
+
+
+def test_late_file_with_an_older_time_is_read(spark, tmp_path):
+    source, paths = tmp_path / "src", (str(tmp_path / "lines"), str(tmp_path / "ledger"))
+    _file(source, "a", 3, 1_700_001_000)
+    assert ingest.ingest(spark, str(source), *paths).count() == 3
+    _file(source, "b", 5, 1_700_000_000)
+    found = ingest.ingest(spark, str(source), *paths)
+    assert sorted(r.host for r in found.collect()) == ["a"] * 3 + ["b"] * 5
+
+
+def test_run_that_died_between_the_writes_leaves_nothing(spark, tmp_path, monkeypatch):
+    source, paths = tmp_path / "src", (str(tmp_path / "lines"), str(tmp_path / "ledger"))
+    _file(source, "a", 4, 1_700_000_000)
+
+    def died(*args):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        # The state is made ready after the lines are written.
+        m.setattr(ingest, "PARSER_VERSION", property(died))
+        try:
+            ingest.ingest(spark, str(source), *paths)
+        except Exception:
+            pass
+    assert spark.read.parquet(paths[0]).count() == 4 and not os.path.exists(paths[1])
+    assert ingest.ingest(spark, str(source), *paths).count() == 4
+    assert ingest.ingest(spark, str(source), *paths).count() == 4
+
+
 def test_hours_of_a_stream(spark, tmp_path):
     rows = [("s", 1, i % 3, f"2026-01-01 0{i % 3}:00:0{i % 2}", "gpt-5", 10) for i in range(6)] + [("z", 9, 9, "2026-01-02 00:00:00", "gpt-5", 1)]
     df = spark.createDataFrame(rows, "session_id string, request_id bigint, message_id bigint, at string, model string, total_tokens bigint").withColumn("ts", F.col("at").cast("timestamp")).drop("at")

@@ -14,9 +14,21 @@ def _host(pattern: str) -> Column:
     return F.regexp_extract("file", pattern, 1)
 
 
+def file_name(uri: Column) -> Column:
+    """The plain path of a file's URI."""
+    return F.url_decode(F.regexp_replace(F.regexp_replace(uri, r"\+", "%2B"), "^file:/+", "/"))
+
+
+def list_files(spark: SparkSession, path: str | list[str], glob: str = "*.{jsonl,log}", host_pattern: str = r"/host=([^/]+)/") -> DataFrame:
+    """Matching files without their text: uri, host, file, mtime_ms, size."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    named = listed.select(F.col("path").alias("uri"), file_name(F.col("path")).alias("file"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"))
+    return named.withColumn("host", _host(host_pattern))
+
+
 def read_lines(
     spark: SparkSession, path: str | list[str], glob: str = "*.{jsonl,log}", host_pattern: str = r"/host=([^/]+)/",
-    max_bytes: int | None = None, modified_after: str | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Lines of every matching file below a path: host, file, ord, line, mtime_ms, size.
 
@@ -25,15 +37,13 @@ def read_lines(
     is below the block length: ordinals rise within a file and never collide.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    if modified_after:
-        reader = reader.option("modifiedAfter", modified_after)
     lines = reader.text(path).select(
         F.col("_metadata.file_path").alias("_uri"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"),
         F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("line"),
     )
     if max_bytes is not None:
         lines = lines.where(F.col("size") <= max_bytes)
-    named = lines.withColumn("file", F.url_decode(F.regexp_replace(F.regexp_replace("_uri", r"\+", "%2B"), "^file:/+", "/")))
+    named = lines.withColumn("file", file_name(F.col("_uri")))
     return named.select(
         _host(host_pattern).alias("host"), "file", (F.col("_block") + F.col("_id").bitwiseAND(F.lit(ROW_BITS))).alias("ord"),
         F.regexp_replace("line", r"^\s+|\s+$", "").alias("line"), "mtime_ms", "size",
@@ -47,7 +57,7 @@ def read_documents(spark: SparkSession, path: str | list[str], glob: str = "*.js
     that does not parse is read line by line instead.
     """
     docs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True).select(
-        F.url_decode(F.regexp_replace(F.regexp_replace("_metadata.file_path", r"\+", "%2B"), "^file:/+", "/")).alias("file"),
+        file_name(F.col("_metadata.file_path")).alias("file"),
         F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"), F.col("_metadata.file_size").alias("size"),
         F.col("value").alias("body"), F.try_parse_json("value").alias("doc"),
     )

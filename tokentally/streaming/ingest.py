@@ -1,16 +1,19 @@
 """Incremental ingest of growing log files.
 
 A file source sees a path once, but logs grow. A ledger keeps what was read of
-each file; a file whose size or time changed is read again, and its newest
-reading replaces the older one for every reader.
+each file; a file whose size or time is not in it is read again, whatever its
+time, and its newest reading replaces the older one for every reader. A reading
+counts only once the ledger names its batch.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokentally.sources.files import read_lines
+from tokentally.sources.files import list_files, read_lines
 
 FILE_STATE = ["host", "file", "mtime_ms", "size"]
 PARSER_VERSION = 1
@@ -22,11 +25,10 @@ def changed_files(listing: DataFrame, ledger: DataFrame, version: int = PARSER_V
     return listing.join(done, FILE_STATE, "left_anti")
 
 
-def current_lines(lines: DataFrame) -> DataFrame:
-    """The lines of each file's newest reading."""
-    newest = lines.groupBy("host", "file").agg(F.max(F.struct("mtime_ms", "size", "batch")).alias("_n"))
-    keep = newest.select("host", "file", F.col("_n.mtime_ms").alias("mtime_ms"), F.col("_n.size").alias("size"), F.col("_n.batch").alias("batch"))
-    return lines.join(keep, ["host", "file", "mtime_ms", "size", "batch"], "left_semi")
+def current_lines(lines: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The lines of each file's newest reading that the ledger holds."""
+    newest = ledger.groupBy("host", "file").agg(F.max_by("batch", "attempt").alias("batch"))
+    return lines.join(newest, ["host", "file", "batch"], "left_semi")
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -35,28 +37,31 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
 
 
-LINES_SCHEMA = "host string, file string, ord bigint, line string, mtime_ms bigint, size bigint, batch bigint"
-LEDGER_SCHEMA = "host string, file string, mtime_ms bigint, size bigint, version int, batch bigint"
+LINES_SCHEMA = "host string, file string, ord bigint, line string, mtime_ms bigint, size bigint, batch string"
+LEDGER_SCHEMA = "host string, file string, mtime_ms bigint, size bigint, version int, attempt bigint, batch string"
 
 
 def ingest(spark: SparkSession, source: str, lines_path: str, ledger_path: str, **reader) -> DataFrame:
     """Read what changed below ``source`` since the last call; returns the current lines.
 
-    Only files modified since the newest ledger entry are listed; of those, the
-    ones already read in the same state are skipped. Lines are written before
-    the ledger, so a run that dies half-way is repeated and superseded.
+    Files are listed without their text and compared with the ledger by path,
+    time and size, so files that arrive late with an older time are read too.
+    Each attempt has a batch name of its own, lines are written before the
+    ledger, and only lines of batches in the ledger are current: what a run
+    left that died half-way is never read.
     """
     ledger = _table(spark, ledger_path, LEDGER_SCHEMA)
-    last = ledger.agg(F.max("mtime_ms").alias("m"), F.max("batch").alias("b")).first()
-    if last.m is not None:
-        # One second back: file systems keep times at different precision.
-        reader["modified_after"] = spark.range(1).select(F.date_format(F.timestamp_millis(F.lit(last.m - 1_000)), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
-    batch = (last.b or 0) + 1
-    found = read_lines(spark, source, **reader)
-    changed = changed_files(found.select(*FILE_STATE).distinct(), ledger)
-    fresh = found.join(changed, FILE_STATE, "left_semi").withColumn("batch", F.lit(batch).cast("bigint"))
-    fresh.select("host", "file", "ord", "line", "mtime_ms", "size", "batch").write.mode("append").parquet(lines_path)
-    written = _table(spark, lines_path, LINES_SCHEMA).where(F.col("batch") == batch)
-    state = written.select(*FILE_STATE, "batch").distinct().withColumn("version", F.lit(PARSER_VERSION))
-    state.select("host", "file", "mtime_ms", "size", "version", "batch").write.mode("append").parquet(ledger_path)
-    return current_lines(_table(spark, lines_path, LINES_SCHEMA))
+    attempt = (ledger.agg(F.max("attempt")).first()[0] or 0) + 1
+    batch = uuid.uuid4().hex
+    changed = changed_files(list_files(spark, source, **reader), ledger)
+    # Paths alone come to the driver, which lists them for any read anyway.
+    found = changed.select(*FILE_STATE, "uri").toArrow()
+    if found.num_rows:
+        state = spark.createDataFrame(found).drop("uri")
+        fresh = read_lines(spark, found.column("uri").to_pylist(), **reader).withColumn("batch", F.lit(batch))
+        # A file that grew since it was listed has another state, and is read next time.
+        same = fresh.join(state, FILE_STATE, "left_semi")
+        same.select("host", "file", "ord", "line", "mtime_ms", "size", "batch").write.mode("append").parquet(lines_path)
+        done = state.withColumns({"version": F.lit(PARSER_VERSION), "attempt": F.lit(attempt).cast("bigint"), "batch": F.lit(batch)})
+        done.select("host", "file", "mtime_ms", "size", "version", "attempt", "batch").write.mode("append").parquet(ledger_path)
+    return current_lines(_table(spark, lines_path, LINES_SCHEMA), _table(spark, ledger_path, LEDGER_SCHEMA))
