@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tokentally.llm.common import _PLACE, U64, _arrow_schema, as_batch, blocks, grouped_arange, map_arrow, mix, signed, span_hashes, window_hashes, windows, word_spans
+from tokentally.llm.common import _PLACE, U64, _arrow_schema, _quoted, as_batch, blocks, grouped_arange, map_arrow, mix, signed, span_hashes, window_hashes, windows, word_spans
 
 MIN_WORDS = 13
 # Bits of a spot: word index, text fingerprint, and which of the windows at an anchor are removed.
@@ -59,7 +60,7 @@ def anchors(words: np.ndarray, first_word: np.ndarray, size: int) -> dict[str, n
     new = np.ones(len(starts), bool)
     new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
     begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(starts)) - 1
+    end = np.append(begin[1:], len(starts))[: len(begin)] - 1
     at, row = at[begin], row[begin]
     window = (window_hashes(words, size)[starts] >> U64(32)).astype(np.uint32)
     return {"row": row, "at": at - first_word[row], "low": at - starts[end], "high": at - starts[begin], "key": keys[at], "window": window}
@@ -226,25 +227,56 @@ def string_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
 
 
-def dedup_substrings(documents: DataFrame, size: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _compressed(source: DataFrame) -> DataFrame:
+    """The column text as compressed bytes with their size, for the way through a shuffle; other columns stay."""
+    names = [c for c in source.columns if c != "text"]
+    kinds = T.StructType([*(source.schema[n] for n in names), T.StructField("packed", T.BinaryType()), T.StructField("bytes", T.IntegerType())])
+    schema = _arrow_schema(source.sparkSession, kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
+        for batch in batches:
+            if batch.num_rows:
+                texts = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
+                columns = {n: batch.column(n) for n in names}
+                columns["packed"] = [None if t is None else codec.compress(t, asbytes=True) for t in texts]
+                columns["bytes"] = [None if t is None else len(t) for t in texts]
+                yield as_batch(columns, schema)
+
+    return source.mapInArrow(run, kinds)
+
+
+def _texts(packed: pa.Array, sizes: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd")
+    parts = [None if p is None else codec.decompress(p, n, asbytes=True) for p, n in zip(packed.to_pylist(), sizes.to_pylist())]
+    return pa.array(parts, pa.binary()).cast(pa.string())
+
+
+def dedup_substrings(documents: DataFrame, size: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) and text of every row.
 
     A word goes if a window of ``size`` words over it also starts in a row with a smaller
     doc_id. A null text has no words. A null doc_id is neither smaller nor larger than any, so
     such rows stay whole. Rows with the same doc_id and different texts are judged each; rows
-    that repeat wholly are each returned. Other columns are ignored.
+    that repeat wholly are each returned. Other columns are ignored, but for those named in
+    ``carry``, which come along in a struct ``rest``.
     """
     if not 3 <= size <= 15:
         raise ValueError("windows have 3 to 15 words")
-    source = documents.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
+    rest = F.struct(*[F.col(_quoted(c)) for c in carry]) if carry else F.lit(0)
+    source = documents.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).cast("string").alias("text"))
     spots = repeated_spots(source, size)
-    # Spots come before the texts of their document.
-    both = spots.select(F.col("doc").alias("by"), "doc", "spot", F.lit(None).cast("string").alias("text")).union(
-        source.select(F.coalesce("doc", F.xxhash64("text")).alias("by"), "doc", F.lit(None).cast("long").alias("spot"), "text")
+    texts = documents.select(
+        F.coalesce(F.col(id_column).cast("long"), F.xxhash64(text_column)).alias("by"), F.col(id_column).cast("long").alias("doc"), F.lit(None).cast("long").alias("spot"),
+        rest.alias("rest"), F.col(text_column).cast("string").alias("text"),
     )
-    dealt = both.repartition("by").sortWithinPartitions("by", F.col("spot").asc_nulls_last()).select("by", "doc", "spot", "text")
-    ddl = "doc_id long, n_words long, n_removed long, kept string, text string"
-    schema = _arrow_schema(documents.sparkSession, ddl)
+    packed = _compressed(texts)
+    of_spots = [F.lit(None).cast(packed.schema[c].dataType).alias(c) for c in ("rest", "packed", "bytes")]
+    # Spots come before the texts of their document.
+    both = spots.select(F.col("doc").alias("by"), "doc", "spot", *of_spots).union(packed)
+    dealt = both.repartition("by").sortWithinPartitions("by", F.col("spot").asc_nulls_last())
+    kinds = T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept string, text string").add("rest", packed.schema["rest"].dataType)
+    schema = _arrow_schema(documents.sparkSession, kinds)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, spot = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -255,24 +287,29 @@ def dedup_substrings(documents: DataFrame, size: int = MIN_WORDS, id_column: str
             is_spot = pa.compute.is_valid(batch.column(2)).to_numpy(zero_copy_only=False)
             by = np.concatenate([by, key[is_spot]])
             spot = np.concatenate([spot, batch.column(2).to_numpy(zero_copy_only=False)[is_spot].astype(np.int64)])
-            texts = batch.filter(pa.array(~is_spot))
-            for lo, hi, data, offsets in blocks(texts.column(3)):
-                keys = texts.column(0).to_numpy()[lo:hi]
-                known = pa.compute.is_valid(texts.column(1)).to_numpy(zero_copy_only=False)[lo:hi]
-                starts, ends, first_word = word_spans(data, offsets)
-                begin, end = np.searchsorted(by, keys, "left"), np.searchsorted(by, keys, "right")
-                count = np.where(known, end - begin, 0)
-                row = np.repeat(np.arange(hi - lo), count)
-                own = spot[np.repeat(begin, count) + grouped_arange(count)]
-                fits = (own >> _MASK_BITS) & (1 << _PRINT_BITS) - 1 == text_prints(data, offsets)[row] if len(own) else np.zeros(0, bool)
-                gone = _removed(first_word, row[fits], own[fits], size)
-                of = np.repeat(np.arange(hi - lo), np.diff(first_word))
-                kept = joined_words(data, starts[~gone], ends[~gone], of[~gone], hi - lo)
-                yield as_batch({
-                    "doc_id": texts.column(1).slice(lo, hi - lo), "n_words": np.diff(first_word), "n_removed": np.bincount(of[gone], minlength=hi - lo),
-                    "kept": string_array(*kept), "text": texts.column(3).slice(lo, hi - lo),
-                }, schema)
+            rows = batch.filter(pa.array(~is_spot))
+            # A bounded number of compressed texts is opened at once.
+            for at in range(0, rows.num_rows, 1024):
+                part = rows.slice(at, 1024)
+                column = _texts(part.column(4), part.column(5))
+                for lo, hi, data, offsets in blocks(column):
+                    keys = part.column(0).to_numpy()[lo:hi]
+                    known = pa.compute.is_valid(part.column(1)).to_numpy(zero_copy_only=False)[lo:hi]
+                    starts, ends, first_word = word_spans(data, offsets)
+                    begin, end = np.searchsorted(by, keys, "left"), np.searchsorted(by, keys, "right")
+                    count = np.where(known, end - begin, 0)
+                    row = np.repeat(np.arange(hi - lo), count)
+                    own = spot[np.repeat(begin, count) + grouped_arange(count)]
+                    fits = (own >> _MASK_BITS) & (1 << _PRINT_BITS) - 1 == text_prints(data, offsets)[row] if len(own) else np.zeros(0, bool)
+                    gone = _removed(first_word, row[fits], own[fits], size)
+                    of = np.repeat(np.arange(hi - lo), np.diff(first_word))
+                    kept = joined_words(data, starts[~gone], ends[~gone], of[~gone], hi - lo)
+                    yield as_batch({
+                        "doc_id": part.column(1).slice(lo, hi - lo), "n_words": np.diff(first_word), "n_removed": np.bincount(of[gone], minlength=hi - lo),
+                        "kept": string_array(*kept), "text": column.slice(lo, hi - lo), "rest": part.column(3).slice(lo, hi - lo),
+                    }, schema)
             last = by == key[-1]
             by, spot = by[last], spot[last]
 
-    return dealt.mapInArrow(apply, ddl)
+    found = dealt.mapInArrow(apply, kinds)
+    return found if carry else found.drop("rest")
