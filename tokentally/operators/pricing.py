@@ -185,25 +185,18 @@ def resolve_rates(models: DataFrame, cards: DataFrame) -> DataFrame:
     )
 
 
-_resolved: dict[tuple, DataFrame] = {}
-
-
 def resolved_dimension(requests: DataFrame, cards: DataFrame) -> DataFrame:
     """resolve_rates over the distinct ids in use, broadcast after a size check.
 
-    The result is a small dimension that depends only on the ids and the cards,
-    so it is kept for the life of the application.
+    The ids are counted first, up to the limit of a broadcast; the resolution itself
+    is part of each query's plan, so an edited card always takes effect.
     """
     spark = requests.sparkSession
     models = requests.select("model").where("model is not null").distinct()
     ids = small_table(models)
     if ids is None:
         return resolve_rates(models, cards)
-    key = (spark.sparkContext.applicationId, frozenset(ids["model"].to_pylist()), cards.semanticHash())
-    if key not in _resolved:
-        lazy = resolve_rates(spark.createDataFrame(ids, models.schema), cards)
-        _resolved[key] = spark.createDataFrame(lazy.toArrow(), lazy.schema)
-    return F.broadcast(_resolved[key])
+    return F.broadcast(resolve_rates(spark.createDataFrame(ids, models.schema), cards))
 
 
 # ---------------------------------------------------------------- request cost

@@ -161,14 +161,12 @@ def messages(records: DataFrame) -> DataFrame:
     return keep_where(rows, f"role IS NOT NULL AND text <> '' AND NOT {R.is_startup_context('text')}")
 
 
-def distinct_messages(found: DataFrame, cut: int | None = None, chunk: int = folds.CHUNK) -> DataFrame:
-    """Messages without near duplicates of the same role and text in one file.
+def distinct_messages(found: DataFrame, chunk: int = folds.CHUNK) -> DataFrame:
+    """Messages without near duplicates of the same role and whole text in one file.
 
-    ``cut`` compares only that many leading characters. Copies at the same
-    instant are reduced to the first before the ordered fold.
+    Copies at the same instant are reduced to the first before the ordered fold.
     """
-    text = F.col("text") if cut is None else F.substring("text", 1, cut)
-    keyed = found.withColumn("text", text).withColumn("at_ms", F.unix_millis("at"))
+    keyed = found.withColumn("at_ms", F.unix_millis("at"))
     first = keyed.groupBy(*FILE, "role", "text", "at_ms").agg(F.min("ord").alias("ord"), F.min("at").alias("at"))
     key = [*FILE, "role", "text"]
     cut_rows = with_chunk(first, "ord", chunk)
@@ -179,15 +177,15 @@ def distinct_messages(found: DataFrame, cut: int | None = None, chunk: int = fol
     return kept.where("kept").select(*FILE, "ord", "role", "text", "at")
 
 
-def timeline_of(found: DataFrame, limit: int = 80) -> DataFrame:
-    """The first messages of each file, 1000 characters each; the limit is part of the report."""
+def timeline_of(found: DataFrame, limit: int | None = 80, shown: int = 1000) -> DataFrame:
+    """The messages of each file in order; the report displays the first ``limit`` (None: all), ``shown`` characters each."""
     order = Window.partitionBy(*FILE).orderBy("ord")
-    items = distinct_messages(found, cut=1000)
-    return items.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    items = distinct_messages(found).withColumn("place", F.row_number().over(order)).withColumn("text", F.substring("text", 1, shown))
+    return items if limit is None else items.where(F.col("place") <= limit)
 
 
-def prompt_timeline(records: DataFrame, limit: int = 80) -> DataFrame:
-    return timeline_of(messages(records), limit)
+def prompt_timeline(records: DataFrame, limit: int | None = 80, shown: int = 1000) -> DataFrame:
+    return timeline_of(messages(records), limit, shown)
 
 
 def message_counts(records: DataFrame) -> DataFrame:
@@ -304,8 +302,8 @@ def attribute_subagents(sessions: DataFrame) -> DataFrame:
     Needs host, id, source_app, surface_reason and parent_id.
     """
     parents = sessions.where("source_app <> 'Codex subagent'").select(
-        F.col("host").alias("_h"), F.col("id").alias("_p"), F.col("source_app").alias("_app"), F.col("surface_reason").alias("_why")
-    ).dropDuplicates(["_h", "_p"])
+        F.col("host").alias("_h"), F.col("id").alias("_p"), F.struct("source_app", "surface_reason").alias("_s")
+    ).groupBy("_h", "_p").agg(F.min("_s").alias("_s")).select("_h", "_p", F.col("_s.source_app").alias("_app"), F.col("_s.surface_reason").alias("_why"))
     is_child = F.col("source_app") == "Codex subagent"
     joined = sessions.join(parents, is_child & (F.col("parent_id") == F.col("_p")) & F.col("host").eqNullSafe(F.col("_h")), "left")
     reason = F.concat(F.lit("subagent attributed to parent thread "), F.col("_p"), F.lit(": "), F.col("_why"))
@@ -314,34 +312,32 @@ def attribute_subagents(sessions: DataFrame) -> DataFrame:
     ).drop("_h", "_p", "_app", "_why")
 
 
-def thread_files(threads: DataFrame, files: DataFrame, least: int = 8) -> DataFrame:
+def thread_files(threads: DataFrame, files: DataFrame) -> DataFrame:
     """Log file of each thread: its own path, the file of the same id, else the first
     file whose id contains, or is contained in, the thread's.
 
-    Candidates meet on runs of characters: the head of the shorter id is a run
-    of the longer one. Threads are rows of (host, id, rollout_path), files of (host, id, path).
+    The longer id is cut into its runs of every length that a shorter id has, and
+    a run meets the shorter id by equality, so only true matches meet. Threads are
+    rows of (host, id, rollout_path), files of (host, id, path).
     """
     exact = files.select("host", F.col("id"), F.col("path").alias("_exact"))
     named = threads.join(exact, ["host", "id"], "left")
     done = named.where("rollout_path is not null or _exact is not null").select("host", "id", F.coalesce("rollout_path", "_exact").alias("path"))
     left = named.where("rollout_path is null and _exact is null and id is not null").select("host", "id")
+    candidates = files.where("id <> ''").select("host", F.col("id").alias("_fid"), "path")
 
-    # Run lengths in use: ``least``, and the length of every shorter id. At most ``least`` numbers.
-    shown = files.select("id").unionByName(left.select("id")).select(F.least(F.length("id"), F.lit(least)).alias("n")).distinct()
-    sizes = shown.agg(F.collect_set("n")).scalar()
-
-    def runs(df: DataFrame, column: str) -> DataFrame:
+    def runs(df: DataFrame, column: str, shorter: DataFrame, name: str) -> DataFrame:
+        # Lengths of ids: no more than the longest id has characters.
+        sizes = shorter.select(F.length(name).alias("n")).distinct().agg(F.collect_set("n")).scalar()
         text = F.col(column)
         cut = F.transform(
-            F.filter("_sizes", lambda n: n <= F.length(text)),
+            F.filter("_sizes", lambda n: (n > 0) & (n <= F.length(text))),
             lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)),
         )
-        return df.withColumn("_sizes", sizes).withColumn("_run", F.explode(F.array_distinct(F.flatten(cut)))).drop("_sizes")
+        return df.withColumn("_sizes", sizes).withColumn(name, F.explode(F.array_distinct(F.flatten(cut)))).drop("_sizes")
 
-    candidates = files.select("host", F.col("id").alias("_fid"), "path")
-    # The shorter id is contained whole, so its head occurs as a run of the longer one.
-    in_thread = runs(left, "id").join(candidates.withColumn("_run", F.substring("_fid", 1, least)), ["host", "_run"]).where(F.col("id").contains(F.col("_fid")))
-    in_file = runs(candidates, "_fid").join(left.withColumn("_run", F.substring("id", 1, least)), ["host", "_run"]).where(F.col("_fid").contains(F.col("id")))
+    in_thread = runs(left, "id", candidates, "_fid").join(candidates, ["host", "_fid"])
+    in_file = runs(candidates, "_fid", left, "id").join(left, ["host", "id"])
     loose = in_thread.select("host", "id", "path").unionByName(in_file.select("host", "id", "path")).groupBy("host", "id").agg(F.min("path").alias("path"))
     return done.unionByName(loose)
 

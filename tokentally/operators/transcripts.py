@@ -66,10 +66,15 @@ def _sums() -> list[Column]:
     return [F.sum(b).alias(b) for b in BUCKETS]
 
 
+def piece_suffix(day: Column) -> Column:
+    """What a piece of a split session adds to its id: its day and model."""
+    return F.concat(F.lit("#"), F.coalesce(day, F.lit("unknown-date")), F.coalesce(F.concat(F.lit("#"), F.col("model")), F.lit("")))
+
+
 def split_sessions(events: DataFrame) -> DataFrame:
     """Session rows per file: one, or one per day and model when timed usage spans several.
 
-    A split drops untimed events; their tokens stay only in files not split.
+    Usage without a time is a piece of an unknown date in files that are split.
     """
     day = F.date_format("at", DAY)
     cells = events.withColumn("day", day).groupBy(*FILE, "day", "model").agg(
@@ -77,8 +82,7 @@ def split_sessions(events: DataFrame) -> DataFrame:
     )
     timed = F.col("day").isNotNull()
     cells = cells.withColumn("_pieces", F.count_if(timed).over(Window.partitionBy(*FILE)))
-    suffix = F.concat(F.lit("#"), "day", F.coalesce(F.concat(F.lit("#"), F.col("model")), F.lit("")))
-    pieces = cells.where(timed & (F.col("_pieces") > 1)).select(*FILE, suffix.alias("suffix"), "model", "started_at", "ended_at", "events", *BUCKETS, F.lit(True).alias("split"))
+    pieces = cells.where(F.col("_pieces") > 1).select(*FILE, piece_suffix(F.col("day")).alias("suffix"), "model", "started_at", "ended_at", "events", *BUCKETS, F.lit(True).alias("split"))
     whole = cells.where("_pieces <= 1").groupBy(*FILE).agg(
         F.max_by("model", F.when(F.col("model").isNotNull(), F.col("_last"))).alias("model"), F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at"),
         F.sum("events").alias("events"), *_sums(),

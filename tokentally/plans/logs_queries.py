@@ -135,8 +135,8 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("prompt_timeline", """
-SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (
-  SELECT conv_id, role, text, min(turn) AS turn FROM (SELECT conv_id, turn, role, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 1000) AS text FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id, turn, role, substr(text, 1, 1000) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (
+  SELECT conv_id, role, text, min(turn) AS turn FROM (SELECT conv_id, turn, role, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations WHERE role IN ('user', 'assistant'))
   WHERE text <> '' GROUP BY 1, 2, 3)) WHERE place <= 80""")
 def _(t: Tables) -> DataFrame:
     said = t.table("conversations").where("role in ('user', 'assistant')").selectExpr(
@@ -247,10 +247,9 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("command_issue_clusters", f"""
-WITH s AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ({RANKS} - 1) * 10 + {IMPACTS} - 1 DESC, ord) AS place FROM tt_issues),
-w AS (SELECT *, row_number() OVER (PARTITION BY host, command ORDER BY {RANKS} DESC, file, ord) AS n FROM s WHERE place <= 12 AND severity IN ('critical', 'warning'))
+WITH w AS (SELECT *, row_number() OVER (PARTITION BY host, command ORDER BY {RANKS} DESC, file, ord) AS n FROM tt_issues WHERE severity IN ('critical', 'warning'))
 SELECT host, command, count(*) AS count, count(DISTINCT file) AS sessions, any_value(severity) FILTER (WHERE n = 1) AS severity, any_value(impact) FILTER (WHERE n = 1) AS impact, any_value(category) FILTER (WHERE n = 1) AS category FROM w GROUP BY 1, 2""")
 def _(t: Tables) -> DataFrame:
     issues = friction.repeat_failures(friction.classified(friction.non_zero_exits(t.rollout_records)))
-    rows = friction.issue_clusters(friction.issue_samples(issues), "host")
+    rows = friction.issue_clusters(issues, "host")
     return rows.select("host", "command", "count", "sessions", "severity", "impact", "category")

@@ -273,8 +273,8 @@ CTES |= {
       SELECT *, CASE WHEN category = 'git' OR category = 'search' THEN true ELSE false END AS harmless FROM (
         SELECT *, CASE paired WHEN 'pnpm test' THEN 'test' WHEN 'pnpm build' THEN 'build' WHEN 'git status' THEN 'git' WHEN 'rg x' THEN 'search' WHEN 'ls' THEN 'filesystem' WHEN 'terraform plan' THEN 'unknown'
             ELSE CASE WHEN paired IS NOT NULL THEN 'unknown' WHEN k % 7 = 0 THEN 'search' ELSE 'unknown' END END AS category,
-          coalesce(paired, loose, substr('{"timestamp":"' || t || '","type":"response_item","payload":{"type":"function_call_output","call_id":"c' || (k % 12) || '"' || CASE WHEN k % 5 = 1 THEN '' ELSE ',"exit_code":' || (k % 3) END
-            || ',"output":"' || output || '"}}', 1, 160)) AS command FROM tt_exits)""",
+          coalesce(paired, loose, '{"timestamp":"' || t || '","type":"response_item","payload":{"type":"function_call_output","call_id":"c' || (k % 12) || '"' || CASE WHEN k % 5 = 1 THEN '' ELSE ',"exit_code":' || (k % 3) END
+            || ',"output":"' || output || '"}}') AS command FROM tt_exits)""",
     "tt_issue0": """
       SELECT *, CASE WHEN harmless THEN CASE WHEN category = 'search' THEN 'exploratory_miss' ELSE 'harmless_nonzero' END WHEN category IN ('test', 'build') THEN 'blocking_failure'
           WHEN category = 'filesystem' THEN 'exploratory_miss' ELSE 'unknown' END AS kind0,

@@ -41,7 +41,7 @@ def _(t: Tables) -> DataFrame:
 @query("split_by_day_model", f"""
 WITH c AS (SELECT file, strftime(moment, '%Y-%m-%d') AS day, model, count(*) AS events, {SUMS}, min(ord) AS o, max(ord) AS last FROM tt_once_buckets GROUP BY 1, 2, 3),
 p AS (SELECT *, count(*) FILTER (WHERE day IS NOT NULL) OVER (PARTITION BY file) AS pieces FROM c)
-SELECT file, '#' || day || coalesce('#' || model, '') AS suffix, model, events, {BUCKETS}, true AS split FROM p WHERE pieces > 1 AND day IS NOT NULL
+SELECT file, '#' || coalesce(day, 'unknown-date') || coalesce('#' || model, '') AS suffix, model, events, {BUCKETS}, true AS split FROM p WHERE pieces > 1
 UNION ALL SELECT file, '', arg_max(model, last) FILTER (WHERE model IS NOT NULL), sum(events)::BIGINT, {SUMS.replace(' AS ', ' AS z_')}, false FROM p WHERE pieces <= 1 GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     return transcripts.split_sessions(_once(t)).select("file", "suffix", "model", "events", *transcripts.BUCKETS, "split")

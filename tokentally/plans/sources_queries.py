@@ -38,9 +38,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("union_sources", f"""
 SELECT 'codex' AS source_client, count(*) AS sessions, coalesce(sum(total), 0)::BIGINT AS total_tokens FROM (SELECT DISTINCT file FROM tt_ev) f LEFT JOIN (SELECT file, sum(total_tokens) AS total FROM {REQUESTS} GROUP BY 1) r ON r.file = f.file
-UNION ALL SELECT 'claude', (SELECT count(*) FROM (SELECT file, strftime(moment, '%Y-%m-%d') AS day, model FROM tt_once WHERE moment IS NOT NULL AND file IN (SELECT file FROM (SELECT DISTINCT file, strftime(moment, '%Y-%m-%d') AS d, model AS m FROM tt_once WHERE moment IS NOT NULL) GROUP BY 1 HAVING count(*) > 1) GROUP BY 1, 2, 3))
+UNION ALL SELECT 'claude', (SELECT count(*) FROM (SELECT file, strftime(moment, '%Y-%m-%d') AS day, model FROM tt_once WHERE file IN (SELECT file FROM (SELECT DISTINCT file, strftime(moment, '%Y-%m-%d') AS d, model AS m FROM tt_once WHERE moment IS NOT NULL) GROUP BY 1 HAVING count(*) > 1) GROUP BY 1, 2, 3))
   + (SELECT count(DISTINCT file) FROM tt_turns WHERE file NOT IN (SELECT file FROM (SELECT DISTINCT file, strftime(moment, '%Y-%m-%d') AS d, model AS m FROM tt_once WHERE moment IS NOT NULL) GROUP BY 1 HAVING count(*) > 1)),
-  (SELECT sum(input_tokens + output_tokens)::BIGINT FROM tt_once_buckets WHERE moment IS NOT NULL OR file NOT IN (SELECT file FROM (SELECT DISTINCT file, strftime(moment, '%Y-%m-%d') AS d, model AS m FROM tt_once WHERE moment IS NOT NULL) GROUP BY 1 HAVING count(*) > 1))
+  (SELECT sum(input_tokens + output_tokens)::BIGINT FROM tt_once_buckets)
 UNION ALL SELECT 'copilot', (SELECT count(DISTINCT (host, session_id)) FROM tt_merged), (SELECT sum(input_tokens + output_tokens + reasoning_tokens)::BIGINT FROM tt_merged)
 UNION ALL SELECT 'cursor', count(*), sum(total)::BIGINT FROM (SELECT conv_id, max(i + o) AS total FROM (SELECT {KV}) GROUP BY 1)""")
 def _(t: Tables) -> DataFrame:

@@ -32,7 +32,7 @@ def _line_is(marker: str) -> Column:
 
 def _value(label: str) -> Column:
     line = F.get(F.filter("lines", lambda l: l.startswith(label + ":")), F.lit(0))
-    return F.trim(F.substring(line, len(label) + 2, 10_000))
+    return F.trim(F.substr(line, F.lit(len(label) + 2)))
 
 
 def _section(start: Column, skip: int, end: Column) -> Column:
@@ -75,10 +75,11 @@ def saved_commands(reports: DataFrame) -> DataFrame:
     ).where("command is not null")
 
 
-def recent_commands(reports: DataFrame) -> DataFrame:
-    """The recent lines shown by a report (six), split into time, command and savings."""
+def recent_commands(reports: DataFrame, limit: int | None = 6) -> DataFrame:
+    """The recent lines of a report, split into time, command and savings; the report shows ``limit`` (None: all)."""
     marker = _line_is("Recent Commands")
-    rows = F.slice(F.filter(_section(marker, 1, F.lit(0)), lambda l: (l != "") & ~l.startswith("─")), 1, 6)
+    rows = F.filter(_section(marker, 1, F.lit(0)), lambda l: (l != "") & ~l.startswith("─"))
+    rows = rows if limit is None else F.slice(rows, 1, limit)
     lines = _with_lines(reports).select(*REPORT, F.posexplode(rows).alias("place", "line"))
     parts = F.transform(F.split("line", "•"), lambda p: F.trim(p))
     rest = F.coalesce(F.get(parts, F.lit(1)), F.col("line"))

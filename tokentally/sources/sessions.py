@@ -84,8 +84,8 @@ def transcript_sessions(records: DataFrame, cards: DataFrame, roots: DataFrame |
     events = reliable_checkpoint(transcripts.with_buckets(transcripts.distinct_usage(transcripts.usage_rows(records))))
     pieces = transcripts.split_sessions(events)
     flags = pieces.select(*FILE, "split").distinct()
-    suffix = F.concat(F.lit("#"), F.date_format("at", transcripts.DAY), F.coalesce(F.concat(F.lit("#"), F.col("model")), F.lit("")))
-    keyed = events.join(flags, FILE).where("not split or at is not null").withColumn("suffix", F.when(F.col("split"), suffix).otherwise(""))
+    suffix = transcripts.piece_suffix(F.date_format("at", transcripts.DAY))
+    keyed = events.join(flags, FILE).withColumn("suffix", F.when(F.col("split"), suffix).otherwise(""))
     key = [*FILE, "suffix"]
     billed = transcripts.billed_events(keyed)
     models = pieces.select(*key, F.col("model").alias("session_model"))
