@@ -27,13 +27,23 @@ def total(column: str | Column) -> Column:
     return F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
 
 
-def distinct_values(arrays: str | Column) -> Column:
-    """Sorted distinct values of an array column over a group.
+def with_codes(rows: DataFrame, keep: list[str], codes: Column | None = None) -> DataFrame:
+    """Rows as they are (``_one`` is 1), and a row for each code with the columns ``keep`` alone.
 
-    Distinct arrays are collected first; warning codes and model ids come from
-    a small vocabulary, so few distinct arrays exist however long the group is.
+    Aggregates see every row once, and ``code_set`` gathers single codes, each once for
+    a group and task, in the same pass.
     """
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(arrays))))
+    none = F.lit(None).cast("string")
+    listed = F.coalesce(F.col("warnings") if codes is None else codes, F.array().cast("array<string>"))
+    spread = rows.withColumn("_code", F.explode(F.concat(F.array(none), F.array_distinct(F.array_compact(listed)))))
+    own = F.col("_code").isNull()
+    values = [F.when(own, F.col(c)).alias(c) for c in rows.columns if c not in keep]
+    return spread.select(*keep, *values, F.when(own, 1).alias("_one"), "_code")
+
+
+def code_set(column: str = "_code") -> Column:
+    """Sorted distinct codes of rows made by ``with_codes``."""
+    return F.array_sort(F.collect_set(column))
 
 
 def important_failures() -> Column:
@@ -54,14 +64,15 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def usage_aggregates() -> list[Column]:
+    """Aggregates over rows made by ``with_codes``."""
     return [
         F.sum("cost_micro").alias("cost_micro"),
         F.count("cost_micro").alias("known_cost_sessions"),
-        F.count_if(F.col("cost_micro").isNull()).alias("unknown_cost_sessions"),
+        (F.count("_one") - F.count("cost_micro")).alias("unknown_cost_sessions"),
         *[total(c).alias(c) for c in TOKENS],
-        F.count("*").alias("session_count"),
+        F.count("_one").alias("session_count"),
         total("message_count").alias("message_count"),
-        distinct_values("warnings").alias("warnings"),
+        code_set().alias("warnings"),
     ]
 
 
@@ -70,7 +81,7 @@ def sort_groups(groups: DataFrame) -> DataFrame:
 
 
 def group_usage(sessions: DataFrame, key: Column, label: Column | None = None, *extra: Column) -> DataFrame:
-    keyed = sessions.withColumn("_key", key).withColumn("_label", key if label is None else label)
+    keyed = with_codes(sessions.withColumn("_key", key).withColumn("_label", key if label is None else label), ["_key"])
     return keyed.groupBy(F.col("_key").alias("id")).agg(F.min_by("_label", "id").alias("label"), *usage_aggregates(), *extra)
 
 
@@ -130,7 +141,7 @@ def model_slices(sessions: DataFrame) -> DataFrame:
 def by_model(sessions: DataFrame) -> DataFrame:
     """A session counts once per slice, and its messages with it."""
     synthetic = has_warning("claude_synthetic_zero_usage")
-    counted = model_slices(sessions).withColumn("_id", F.coalesce("model", F.lit("unknown-model")))
+    counted = with_codes(model_slices(sessions).withColumn("_id", F.coalesce("model", F.lit("unknown-model"))), ["_id"])
     groups = counted.groupBy(F.col("_id").alias("id")).agg(
         *usage_aggregates(),
         (F.count_if(F.col("no_model") & ~synthetic) == 0).alias("_all"),
@@ -146,28 +157,31 @@ def by_model(sessions: DataFrame) -> DataFrame:
 
 def summarize(sessions: DataFrame) -> DataFrame:
     """One row. Sums are taken per repo first, which also yields the repo count
-    and the most expensive repo without a second pass."""
-    per_repo = sessions.groupBy("repo_root").agg(
+    and the most expensive repo without a second pass; warnings and models are
+    cells of their own beside the repo's."""
+    coded = F.concat(
+        F.transform(F.coalesce("warnings", F.array().cast("array<string>")), lambda w: F.concat(F.lit("w"), w)),
+        F.transform(F.array_compact(slice_models()), lambda m: F.concat(F.lit("m"), m)),
+    )
+    cells = with_codes(sessions, ["repo_root"], coded).groupBy("repo_root", "_code").agg(
         F.min_by("repo_name", "id").alias("repo_name"),
         F.sum("cost_micro").alias("cost_micro"), F.count("cost_micro").alias("known_cost_sessions"),
         *[total(c).alias(c) for c in TOKENS + SIGNALS],
-        F.count("*").alias("session_count"),
+        F.count("_one").alias("session_count"),
         F.count_if(is_parse_failure()).alias("parse_failure_count"),
         F.count_if(F.col("detected_surface") == "unknown").alias("unknown_surface_sessions"),
-        F.count_if(F.coalesce("file_edit_count", F.lit(0)) == 0).alias("no_code_change_sessions"),
+        F.count_if(F.col("_one").isNotNull() & (F.coalesce("file_edit_count", F.lit(0)) == 0)).alias("no_code_change_sessions"),
         F.count_if(F.col("session_outcome") == "research_only").alias("research_only_sessions"),
-        distinct_values("warnings").alias("warnings"),
-        distinct_values(slice_models()).alias("models"),
     )
     counts = ["known_cost_sessions", "session_count", "parse_failure_count", "unknown_surface_sessions", "no_code_change_sessions", "research_only_sessions"]
     dearest = F.struct(-F.col("cost_micro"), -F.col("total_tokens"), F.col("repo_root"))
     known = F.col("cost_micro").isNotNull()
-    out = per_repo.agg(
+    out = cells.agg(
         F.sum("cost_micro").alias("cost_micro"),
         *[total(c).alias(c) for c in TOKENS + SIGNALS + counts],
-        F.count("*").alias("repo_count"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("warnings")))).alias("warnings"),
-        F.size(F.array_compact(F.array_distinct(F.flatten(F.collect_set("models"))))).cast("bigint").alias("model_count"),
+        F.count_if(F.col("_code").isNull()).alias("repo_count"),
+        F.array_sort(F.collect_set(F.when(F.col("_code").startswith("w"), F.substr("_code", F.lit(2))))).alias("warnings"),
+        F.countDistinct(F.when(F.col("_code").startswith("m"), F.col("_code"))).alias("model_count"),
         F.min_by("repo_root", F.when(known, dearest)).alias("most_expensive_repo"),
     )
     return out.withColumn("unknown_cost_sessions", F.col("session_count") - F.col("known_cost_sessions")).withColumn(
@@ -188,13 +202,14 @@ def scan_overview(sessions: DataFrame, source_stats: DataFrame) -> DataFrame:
 
     models = F.transform(slice_models(), lambda m: F.coalesce(m, F.lit("unknown-model")))
     files = source_stats.agg(total("session_file_count").alias("session_file_count"), F.max("last_scanned_at").alias("last_scanned_at"))
-    found = sessions.agg(
+    spread = with_codes(sessions, [], F.when(seen, models))
+    found = spread.agg(
         F.count_if(seen).alias("session_count"),
         F.count_if(~seen).alias("zero_token_session_count"),
         counted("repo_root").alias("repo_count"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.when(seen, models))))).cast("bigint").alias("model_count"),
+        F.countDistinct("_code").alias("model_count"),
         counted("source_app").alias("source_app_count"),
-        F.count("*").alias("raw_session_count"),
+        F.count("_one").alias("raw_session_count"),
         total(F.when(seen, F.col("raw_event_count"))).alias("raw_event_count"),
         F.count_if(seen & is_parse_failure()).alias("parse_failure_count"),
     )
@@ -268,9 +283,9 @@ def top_n_with_other(groups: DataFrame, metric: Column, n: int) -> DataFrame:
     visible = positive.orderBy(F.col("_m").desc(), "id").limit(n)
     hidden = positive.join(F.broadcast(visible.select("id")), "id", "left_anti")  # n rows
     sums = ["known_cost_sessions", "unknown_cost_sessions", *TOKENS, "session_count", "message_count"]
-    other = hidden.agg(
-        F.count("*").alias("_n"), F.sum("cost_micro").alias("cost_micro"), *[total(c).alias(c) for c in sums],
-        distinct_values("warnings").alias("warnings"),
+    other = with_codes(hidden, []).agg(
+        F.count("_one").alias("_n"), F.sum("cost_micro").alias("cost_micro"), *[total(c).alias(c) for c in sums],
+        code_set().alias("warnings"),
     ).where("_n > 0").select(
         F.lit("__other").alias("id"), F.concat(F.lit("Other ("), F.col("_n").cast("string"), F.lit(")")).alias("label"),
         "cost_micro", *sums, "warnings",

@@ -92,7 +92,8 @@ def model_usage(sessions: DataFrame) -> DataFrame:
     best-of over those rows.
     """
     activity = F.coalesce("started_at", "ended_at")
-    per_repo = G.model_slices(sessions).groupBy(F.coalesce("model", F.lit("unknown-model")).alias("id"), "repo_root").agg(
+    slices = G.with_codes(G.model_slices(sessions).withColumn("_model", F.coalesce("model", F.lit("unknown-model"))), ["_model", "repo_root"])
+    per_repo = slices.groupBy(F.col("_model").alias("id"), "repo_root").agg(
         *G.usage_aggregates(), F.max_by(F.struct("id", activity.alias("at")), F.struct(activity, F.col("id"))).alias("latest"),
     )
     used = (F.col("total_tokens") > 0) | (F.coalesce("cost_micro", F.lit(0)) > 0)
@@ -228,9 +229,9 @@ def repo_cost_concentration(sessions: DataFrame) -> DataFrame:
 
 def repo_warnings(sessions: DataFrame) -> DataFrame:
     """Warnings of each repo, with those of its spending pattern."""
-    rows = sessions.groupBy("repo_root").agg(
+    rows = G.with_codes(sessions, ["repo_root"]).groupBy("repo_root").agg(
         F.sum("cost_micro").alias("cost"), F.max("cost_micro").alias("max_cost"), *[total(c).alias(c) for c in ("input_tokens", "cached_input_tokens", "output_tokens", "total_tokens")],
-        F.bool_or(F.col("cost_micro").isNull()).alias("unpriced"), G.distinct_values("warnings").alias("warnings"),
+        (F.count("_one") > F.count("cost_micro")).alias("unpriced"), G.code_set().alias("warnings"),
     )
     added = F.array_compact(F.array(
         F.when((F.col("cost") > 0) & (ratio(F.col("max_cost"), F.col("cost")) > 0.5), "expensive_session_concentration"),
@@ -371,9 +372,9 @@ def pricing_gap_summary(sessions: DataFrame, resolved: DataFrame) -> DataFrame:
     def of(reason: str) -> Column:
         return F.count_if(F.col("gap_reason") == reason)
 
-    return gaps.agg(
-        F.count("*").alias("total"), of("missingPrice").alias("missing_price"), of("missingTokenDetail").alias("missing_token_detail"),
-        of("missingModel").alias("missing_model"), of("other").alias("other"), G.distinct_values(missing).alias("missing_price_models"),
+    return G.with_codes(gaps, [], missing).agg(
+        F.count("_one").alias("total"), of("missingPrice").alias("missing_price"), of("missingTokenDetail").alias("missing_token_detail"),
+        of("missingModel").alias("missing_model"), of("other").alias("other"), G.code_set().alias("missing_price_models"),
     )
 
 
