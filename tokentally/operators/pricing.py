@@ -173,7 +173,7 @@ def resolve_rates(models: DataFrame, cards: DataFrame) -> DataFrame:
         billed.select(F.col("model").alias("source_model"), "rates"), "source_model", "left"
     )
     rule_key = F.when(
-        F.col("inherited") & F.col("model_id").rlike(M.HAIKU_TIERED), F.lit("claude-haiku-5-5")
+        F.col("inherited") & M.is_family(F.col("model_id"), "claude-haiku-5-5"), F.lit("claude-haiku-5-5")
     ).otherwise(F.col("source_model"))
     return (
         resolved.withColumn("base_model", rule_key).join(rules, "base_model", "left")

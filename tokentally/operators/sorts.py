@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokentally.functions import labels as L
 from tokentally.functions import text
 from tokentally.operators.groups import important_failures, ratio
+from tokentally.runtime import reliable_checkpoint
+from tokentally.sources.files import ROW_BITS
 
 LOWEST = -1  # an unknown cost sorts below every known one
 
@@ -68,9 +70,24 @@ def sort_sessions(sessions: DataFrame, key: str, descending: bool = False) -> Da
 
 
 def sort_saved_commands(commands: DataFrame, key: str, descending: bool = False) -> DataFrame:
-    return commands.orderBy(*_direction([saved_command_keys()[key]], descending), "command")
+    return commands.orderBy(*_direction([saved_command_keys()[key]], descending), "command", *[c for c in ("host", "file") if c in commands.columns])
 
 
 def sort_review(sessions: DataFrame) -> DataFrame:
     """Failures, repeated clusters, tokens, largest first."""
     return sessions.orderBy(important_failures().desc(), F.coalesce("repeated_failure_clusters", F.lit(0)).desc(), F.col("total_tokens").desc(), "id")
+
+
+def with_position(ordered: DataFrame) -> DataFrame:
+    """The place of each row of a sorted table, from 0, as ``position``.
+
+    A row's number in its task is added to the sizes of the tasks before it, so
+    no task numbers all rows.
+    """
+    kept = reliable_checkpoint(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    placed = kept.withColumn("_task", F.shiftright("_at", 33))
+    # One row for each task of the sort.
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_task").agg(F.count("*").alias("_n")).select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    row = F.col("_at").bitwiseAND(F.lit(ROW_BITS))
+    return placed.join(sizes, "_task").withColumn("position", F.col("_before") + row).drop("_task", "_at", "_before")

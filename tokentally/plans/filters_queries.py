@@ -22,8 +22,8 @@ HAS_CHOSEN = f"(id IN (SELECT session_id FROM tt_slices WHERE {IN_CHOSEN.format(
 CORE = "id, source_client, source_app, repo_name, model, total_tokens"
 
 
-def core(sessions: DataFrame) -> DataFrame:
-    return sessions.select("id", "source_client", "source_app", "repo_name", "model", "total_tokens", pricing.micro_to_usd(F.col("cost_micro")).alias("cost_usd"))
+def core(sessions: DataFrame, *more: str) -> DataFrame:
+    return sessions.select("id", "source_client", "source_app", "repo_name", "model", "total_tokens", pricing.micro_to_usd(F.col("cost_micro")).alias("cost_usd"), *more)
 
 
 @query("filter_dates", f"""SELECT {CORE}, {usd('cost_micro')} AS cost_usd FROM tt_sessions
@@ -189,14 +189,19 @@ def _(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- sorts
 
-@query("sort_sessions", f"SELECT {CORE}, {usd('cost_micro')} AS cost_usd FROM tt_sessions")
+def place(order: str) -> str:
+    return f"row_number() OVER (ORDER BY {order}) - 1 AS position"
+
+
+@query("sort_sessions", f"SELECT {CORE}, {usd('cost_micro')} AS cost_usd, {place('coalesce(cost_micro, -1) DESC, id')} FROM tt_sessions")
 def _(t: Tables) -> DataFrame:
-    return core(sorts.sort_sessions(t.sessions, "cost", descending=True))
+    narrow = t.sessions.select("id", "source_client", "source_app", "repo_name", "model", "total_tokens", "cost_micro")
+    return core(sorts.with_position(sorts.sort_sessions(narrow, "cost", descending=True)), "position")
 
 
-@query("sort_review_sessions", f"SELECT id, repo_root FROM tt_sessions WHERE {REVIEW}")
+@query("sort_review_sessions", f"SELECT id, repo_root, {place(f'{IMPORTANT} DESC, coalesce(repeated_failure_clusters, 0) DESC, total_tokens DESC, id')} FROM tt_sessions WHERE {REVIEW}")
 def _(t: Tables) -> DataFrame:
-    return sorts.sort_review(t.sessions.where(X.needs_command_review())).select("id", "repo_root")
+    return sorts.with_position(sorts.sort_review(t.sessions.where(X.needs_command_review())).select("id", "repo_root"))
 
 
 @query("top_sessions", f"SELECT id, {usd('cost_micro')} AS cost_usd, total_tokens FROM tt_sessions ORDER BY coalesce(cost_micro, -1) DESC, id LIMIT 25")

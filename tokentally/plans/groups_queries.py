@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tokentally.functions import text
 from tokentally.operators import groups as G
-from tokentally.operators import pricing, reports
+from tokentally.operators import pricing, reports, sorts
 from tokentally.plans.binding import Tables
 from tokentally.plans.registry import query
 
@@ -53,6 +53,12 @@ def _(t: Tables) -> DataFrame:
     return shown(G.sort_groups(G.by_app(t.sessions)))
 
 
+@query("sort_groups", f"""SELECT source_app AS id, {usd('sum(cost_micro)::BIGINT')} AS cost_usd, sum(total_tokens)::BIGINT AS total_tokens,
+  row_number() OVER (ORDER BY coalesce(sum(cost_micro), 0) DESC, sum(total_tokens) DESC, source_app) - 1 AS position FROM tt_sessions GROUP BY 1""")
+def _(t: Tables) -> DataFrame:
+    return shown(sorts.with_position(G.sort_groups(G.by_app(t.sessions)).select("id", "cost_micro", "total_tokens")))
+
+
 @query("group_by_day", group_sql("coalesce(strftime(started_at, '%Y-%m-%d'), 'unknown-date')", "coalesce(strftime(started_at, '%Y-%m-%d'), 'unknown-date')"))
 def _(t: Tables) -> DataFrame:
     return shown(G.sort_groups(G.by_day(t.sessions)))

@@ -78,9 +78,9 @@ def _(t: Tables) -> DataFrame:
     return shown(reports.model_usage(t.sessions))
 
 
-@query("sort_models", f"SELECT id, label, cache_rate, {usd('cost_micro')} AS cost_usd FROM {MODEL_ROWS}")
+@query("sort_models", f"SELECT id, label, cache_rate, {usd('cost_micro')} AS cost_usd, row_number() OVER (ORDER BY cache_rate DESC, id) - 1 AS position FROM {MODEL_ROWS}")
 def _(t: Tables) -> DataFrame:
-    return shown(sorts.sort_models(reports.model_usage(t.sessions), "cache", descending=True).select("id", "label", "cache_rate", "cost_micro"))
+    return shown(sorts.with_position(sorts.sort_models(reports.model_usage(t.sessions), "cache", descending=True).select("id", "label", "cache_rate", "cost_micro")))
 
 
 LEADERS = ["cache_rate", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_tokens"]
@@ -189,9 +189,12 @@ def _(t: Tables) -> DataFrame:
     return reports.repo_rank(t.sessions)
 
 
-@query("sort_repos", f"SELECT id, label, file_edit_count, tokens_per_edit FROM ({ROLLUP})")
+ROI_ORDER = "CASE WHEN file_edit_count = 0 THEN 'infinity'::DOUBLE ELSE total_tokens::DOUBLE / file_edit_count::DOUBLE END, id"
+
+
+@query("sort_repos", f"SELECT id, label, file_edit_count, tokens_per_edit, row_number() OVER (ORDER BY {ROI_ORDER}) - 1 AS position FROM ({ROLLUP})")
 def _(t: Tables) -> DataFrame:
-    return sorts.sort_repos(G.repo_rollup(t.sessions), "roi").select("id", "label", "file_edit_count", "tokens_per_edit")
+    return sorts.with_position(sorts.sort_repos(G.repo_rollup(t.sessions), "roi").select("id", "label", "file_edit_count", "tokens_per_edit"))
 
 
 REVIEW_PICKS = f"""

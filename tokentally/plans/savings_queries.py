@@ -37,11 +37,12 @@ UNION ALL SELECT {KEY}, 'pnpm test', c_custkey % 7, (c_custkey % 11) || 'K', (c_
 UNION ALL SELECT {KEY}, 'ls -la', c_custkey % 5, (c_custkey % 13) || 'K', (c_custkey % 70)::DOUBLE + 0.5::DOUBLE, '2m1s' FROM customer"""
 
 
-@query("sort_saved_commands", f"SELECT file, command, count, CASE WHEN command = 'git' THEN NULL ELSE saved END AS saved, average_saved_percent, time FROM ({COMMANDS.replace('NULL::BIGINT AS count, NULL AS saved', 'NULL::BIGINT AS count, NULL::VARCHAR AS saved')})")
+SAVED_ORDER = "coalesce(replace(saved, 'K', '')::BIGINT * 1000, 0) DESC, command, file"
+
+
+@query("sort_saved_commands", f"SELECT *, row_number() OVER (ORDER BY {SAVED_ORDER}) - 1 AS position FROM ({COMMANDS.replace('NULL AS saved', 'NULL::VARCHAR AS saved')})")
 def _(t: Tables) -> DataFrame:
-    rows = savings.saved_commands(_reports(t)).drop("host")
-    clean = rows.withColumn("count", F.when(F.col("command") != "git", F.col("count"))).withColumn("saved", F.when(F.col("command") != "git", F.col("saved")))
-    return sorts.sort_saved_commands(clean, "saved", descending=True)
+    return sorts.with_position(sorts.sort_saved_commands(savings.saved_commands(_reports(t)).drop("host"), "saved", descending=True))
 
 
 @query("recent_saved_commands", f"SELECT {KEY}, '12:0' || (c_custkey % 10) AS time, 'cargo test' AS command, '-' || (c_custkey % 30) || '% (1.2K)' AS savings FROM customer")

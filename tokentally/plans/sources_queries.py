@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tokentally.operators import workspace
 from tokentally.operators.filters import thread_may_overlap
-from tokentally.plans.binding import Tables
+from tokentally.operators.sessions import cost_warnings
+from tokentally.plans.binding import SOURCES, Tables
 from tokentally.plans.logs_queries import REQUESTS
 from tokentally.plans.registry import query
 from tokentally.plans.sessions_queries import KV, _kv_records
@@ -15,9 +16,21 @@ from tokentally.sources import sessions
 from tokentally.streaming.ingest import changed_files
 
 
-@query("cost_warnings", "SELECT id, array_to_string(warnings, ';') AS warnings FROM tt_sessions")
+UNPRICED = """CASE source_client WHEN 'codex' THEN CASE WHEN priced THEN ['unknown_pricing'] ELSE ['missing_token_breakdown'] END WHEN 'claude' THEN ['unknown_pricing']
+  WHEN 'copilot' THEN CASE WHEN priced THEN ['unknown_pricing'] ELSE [] END ELSE CASE WHEN priced THEN ['unknown_pricing'] ELSE ['unknown_cost'] END END"""
+FAST = "CASE WHEN source_client = 'claude' AND len(list_filter(found, lambda w: starts_with(w, 'unknown_pricing_model:') AND contains(w, 'fast-mode'))) > 0 THEN ['unknown_fast_mode_pricing'] ELSE [] END"
+
+
+@query("cost_warnings", f"""
+SELECT id, array_to_string(list_sort(list_distinct(list_concat(own_warnings, assumed, CASE WHEN cost_micro IS NULL THEN list_concat({UNPRICED}, found, {FAST}) ELSE [] END))), ';') AS warnings
+FROM (SELECT f.id, f.source_client, f.own_warnings, c.cost_micro, c.session_id IS NOT NULL AS priced, coalesce(c.price_warnings, []) AS found, coalesce(c.price_assumptions, []) AS assumed
+  FROM tt_facts f LEFT JOIN tt_costs c ON c.session_id = f.id)""")
 def _(t: Tables) -> DataFrame:
-    return t.sessions.select("id", F.array_join("warnings", ";").alias("warnings"))
+    rows = t.session_facts.join(t.costs.withColumnRenamed("session_id", "id"), "id", "left").withColumn("estimated", F.lit(False)).withColumnRenamed("own_warnings", "warnings")
+    told = F.lit(None).cast("array<string>")
+    for source in SOURCES:
+        told = F.when(F.col("source_client") == source, cost_warnings(source, F.col("request_count").isNotNull())).otherwise(told)
+    return rows.select("id", F.array_join(F.array_sort(told), ";").alias("warnings"))
 
 
 @query("scan_thread_table", "SELECT c_custkey::VARCHAR AS id, '/w/' || c_nationkey AS cwd, c_name AS title, NULL::VARCHAR AS model FROM customer WHERE c_custkey % 10 >= 3")
