@@ -11,6 +11,7 @@ from tokentally.functions import text
 from tokentally.operators import filters as X
 from tokentally.operators import groups as G
 from tokentally.operators.groups import important_failures, ratio, total
+from tokentally.operators.sorts import with_position
 
 
 def source_stats(sessions: DataFrame) -> DataFrame:
@@ -251,29 +252,12 @@ def repo_metadata(sessions: DataFrame) -> DataFrame:
 
 
 def repo_rank(sessions: DataFrame) -> DataFrame:
-    """Cost rank of every repo (unpriced last), its share, and the leader.
-
-    Repo rows are placed in buckets of equal leading digits; ranks inside a
-    bucket are added to the size of the buckets before it, so no task sorts
-    all repos.
-    """
+    """Cost rank of every repo (unpriced last, ties by root), its share, and the leader."""
     repos = sessions.groupBy("repo_root").agg(F.min_by("repo_name", "id").alias("repo_name"), F.sum("cost_micro").alias("cost_micro"))
-    # Unpriced repos tie on cost and follow by name; hashing cannot order them, their first letters can.
-    bucket = F.when(F.col("cost_micro").isNull(), F.concat(F.lit("z"), F.substring("repo_root", 1, 12))).otherwise(
-        F.concat(F.lit("a"), F.lpad((F.lit(10**6) - F.floor(F.log1p(F.col("cost_micro").cast("double")) * 1000)).cast("string"), 8, "0"))
-    )
-    placed = repos.withColumn("_b", bucket)
-    sizes = placed.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_b").orderBy(F.col("cost_micro").desc_nulls_last(), "repo_root")
-    overall = repos.agg(
-        F.struct(F.sum("cost_micro").alias("total"), F.count("*").alias("n"),
-                 F.min_by("repo_name", F.struct(-F.coalesce("cost_micro", F.lit(-1)), F.col("repo_root"))).alias("leader"))
-    ).scalar()
-    ranked = placed.join(offsets, "_b").withColumn("_all", overall)
-    return ranked.select(
-        "repo_root", (F.col("_before") + F.row_number().over(inside)).alias("cost_rank"), F.col("_all.n").alias("repos"),
+    ranked = with_position(repos.orderBy(F.col("cost_micro").desc_nulls_last(), "repo_root"))
+    overall = ranked.agg(F.struct(F.sum("cost_micro").alias("total"), F.count("*").alias("n"), F.min_by("repo_name", "position").alias("leader"))).scalar()
+    return ranked.withColumn("_all", overall).select(
+        "repo_root", (F.col("position") + 1).alias("cost_rank"), F.col("_all.n").alias("repos"),
         F.coalesce(ratio(F.col("cost_micro"), F.col("_all.total")), F.lit(0.0)).alias("share"), F.col("_all.leader").alias("leader"),
     )
 

@@ -93,25 +93,26 @@ def outliers_sql(part: str) -> str:
 
 @query("cost_outliers", f"SELECT id, repo_root, {usd('cost_micro')} AS cost_usd FROM {outliers_sql('')} WHERE cost_outlier")
 def _(t: Tables) -> DataFrame:
-    return X.with_overall_outliers(t.sessions).where("cost_outlier").select("id", "repo_root", pricing.micro_to_usd(F.col("cost_micro")).alias("cost_usd"))
+    return X.with_overall_outliers(X.once(t.sessions, "id")).where("cost_outlier").select("id", "repo_root", pricing.micro_to_usd(F.col("cost_micro")).alias("cost_usd"))
 
 
 @query("long_running", f"SELECT id, duration_ms FROM {outliers_sql('')} WHERE long_running")
 def _(t: Tables) -> DataFrame:
-    return X.with_overall_outliers(t.sessions).where("long_running").select("id", "duration_ms")
+    return X.with_overall_outliers(X.once(t.sessions, "id")).where("long_running").select("id", "duration_ms")
 
 
 @query("token_outliers", f"SELECT id, repo_root, total_tokens FROM {outliers_sql('repo_root')} WHERE token_outlier")
 def _(t: Tables) -> DataFrame:
-    means = X.group_means(t.sessions, ["repo_root"])
-    return t.sessions.join(means, "repo_root").where(X.is_token_outlier()).select("id", "repo_root", "total_tokens")
+    sessions = X.once(t.sessions, "id")
+    return sessions.join(X.group_means(sessions, ["repo_root"]), "repo_root").where(X.is_token_outlier()).select("id", "repo_root", "total_tokens")
 
 
 @query("repo_quick_filter", f"""SELECT id, cost_outlier AS expensive, session_outcome IN ('partial', 'failed') AS partial, long_running AS "longRunning",
   {IMPORTANT} > 0 OR repeated_failure_clusters > 0 AS "commandIssues", contains(lower(coalesce(model, '')), 'opus') AS "opusOnly"
 FROM {outliers_sql('repo_root')}""")
 def _(t: Tables) -> DataFrame:
-    rows = X.with_group_outliers(t.sessions, ["repo_root"])
+    read = ["id", "session_outcome", "important_command_failures", "failed_tool_call_count", "repeated_failure_clusters", "model"]
+    rows = X.with_group_outliers(X.once(t.sessions, *read), ["repo_root"])
     return rows.select("id", *[test.alias(name) for name, test in X.repo_quick_filters().items()])
 
 
