@@ -26,7 +26,9 @@ GRAMS = (3, 4)
 EPOCHS = 6
 RATE = 0.3
 # Labelled texts that a model is fitted on: the first in the order of a hash of doc_id.
-SAMPLE = 6000
+SAMPLE = 4000
+# Bytes of text whose features are held at once; a byte has about three of them.
+BLOCK = 1 << 20
 
 
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS, grams: tuple[int, ...] = GRAMS) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +126,7 @@ def fit(documents: DataFrame, labels: DataFrame, size: int = SAMPLE, buckets: in
     """
 
     def run(batch):
-        for lo, hi, data, offsets in blocks(batch.column(1)):
+        for lo, hi, data, offsets in blocks(batch.column(1), BLOCK):
             row, feature, n = counts(*features(data, offsets, buckets, grams), buckets)
             at = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(v)) for v in (feature, n)]
@@ -151,4 +153,4 @@ def score(documents: DataFrame, model: Model, text_column: str = "text", into: s
         n = np.bincount(row, minlength=rows)
         return {into: 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + constant, -500, 500)))}
 
-    return annotate(documents, text_column, run, f"`{into}` double")
+    return annotate(documents, text_column, run, f"`{into}` double", BLOCK)
