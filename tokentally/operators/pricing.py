@@ -7,6 +7,7 @@ whole micro-USD, per session or slice.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -185,18 +186,32 @@ def resolve_rates(models: DataFrame, cards: DataFrame) -> DataFrame:
     )
 
 
+# The last few resolutions, by the ids and the full content of the cards.
+_resolved: OrderedDict[tuple, DataFrame] = OrderedDict()
+
+
 def resolved_dimension(requests: DataFrame, cards: DataFrame) -> DataFrame:
     """resolve_rates over the distinct ids in use, broadcast after a size check.
 
-    The ids are counted first, up to the limit of a broadcast; the resolution itself
-    is part of each query's plan, so an edited card always takes effect.
+    Ids and cards are read anew each time, up to the limit of a broadcast, so an edited
+    card always takes effect; only the same ids with the same cards are not resolved twice.
     """
     spark = requests.sparkSession
     models = requests.select("model").where("model is not null").distinct()
     ids = small_table(models)
     if ids is None:
         return resolve_rates(models, cards)
-    return F.broadcast(resolve_rates(spark.createDataFrame(ids, models.schema), cards))
+    lazy = resolve_rates(spark.createDataFrame(ids, models.schema), cards)
+    rows = small_table(cards)
+    if rows is None:
+        return F.broadcast(lazy)
+    content = frozenset(tuple(r.values()) for r in rows.to_pylist())
+    key = (spark.sparkContext.applicationId, frozenset(ids["model"].to_pylist()), content)
+    if key not in _resolved:
+        _resolved[key] = spark.createDataFrame(lazy.toArrow(), lazy.schema)
+        if len(_resolved) > 8:
+            _resolved.popitem(last=False)
+    return F.broadcast(_resolved[key])
 
 
 # ---------------------------------------------------------------- request cost
