@@ -22,8 +22,8 @@ from tokentally.llm.tokens import WordEncoder, with_end
 
 WINDOW = 4096
 END_ID = 2
-# Pieces that one task numbers.
-RANKED_ROWS = 200_000
+# Pieces of a numbered group on average, and the most groups that one length is dealt to.
+RANKED_ROWS, MOST_SALTS = 1000, 4096
 
 
 class CapacityTree:
@@ -162,7 +162,7 @@ def assign(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table, _ = placements(counts, window)
-    salts = max(1, -(-sum(counts.values()) // RANKED_ROWS))
+    salts = min(MOST_SALTS, max(1, -(-sum(counts.values()) // RANKED_ROWS)))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
