@@ -91,3 +91,26 @@ assert 'group_by_repo' in e.queries() and not [q for q in e.queries() if q.start
 assert set(e.oracle_sql()) <= set(e.queries())
 """
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
+
+
+def test_report_files_and_json_export(spark, tmp_path):
+    from tokentally.sources import savings, sinks
+
+    folder = tmp_path / "host=a"
+    folder.mkdir()
+    (folder / "r.txt").write_text("Token Savings\nTotal commands:    1,234\nTokens saved:      5K (2.5%)\n")
+    reports = savings.read_reports(spark, str(tmp_path))
+    row = savings.report_totals(reports).collect()[0]
+    assert (row.host, row.total_commands, row.tokens_saved, row.saved_percent) == ("a", 1234, "5K", 2.5)
+    out = str(tmp_path / "out")
+    sinks.write_json(spark.createDataFrame([("s", 1.5)], "id string, cost_usd double"), out)
+    assert [tuple(r) for r in spark.read.json(out).select("id", "cost_usd").collect()] == [("s", 1.5)]
+
+
+def test_later_file_wins_for_an_id(spark):
+    from tokentally.operators.filters import file_may_overlap
+    from tokentally.sources import files
+
+    rows = spark.createDataFrame([("h", f"/{d}/a.jsonl", 10 * d, 1, 1, "a") for d in (1, 3, 2)], "host string, file string, mtime_ms bigint, size bigint, lines bigint, id string")
+    assert [r.file for r in files.latest_per_id(rows).collect()] == ["/3/a.jsonl"]
+    assert sorted(r.file for r in rows.where(file_may_overlap(15, None)).collect()) == ["/2/a.jsonl", "/3/a.jsonl"]

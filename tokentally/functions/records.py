@@ -143,3 +143,8 @@ def path_epoch(file_path: Column) -> Column:
     """Instant named by a path part of 10 to 13 digits."""
     digits = F.regexp_extract(file_path, r"(?:^|/)(\d{10,13})(?=/|$)", 1).try_cast("bigint")
     return F.timestamp_millis(F.when(digits < 10_000_000_000, digits * 1000).otherwise(digits))
+
+
+def join_key(key: Column, ord_: Column) -> Column:
+    """A key to join by: rows without one get keys of their own that match nothing, so they spread evenly."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), ord_.cast("string")))

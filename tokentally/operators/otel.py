@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokentally.functions import models as M
-from tokentally.functions.records import first_text, pair_instant, scaled_instant
+from tokentally.functions.records import first_text, join_key, pair_instant, scaled_instant
 from tokentally.operators.rollout import FILE
 from tokentally.runtime import reliable_checkpoint
 
@@ -84,7 +84,8 @@ def candidates(records: DataFrame) -> DataFrame:
     """
     rows = reliable_checkpoint(attributed(records))
     usage = rows.where("source is not null").where("input_tokens + output_tokens + cached_input_tokens + cache_write_tokens + reasoning_tokens > 0")
-    joined = usage.join(trace_contexts(rows), [*FILE, "trace_id"], "left")
+    keyed = usage.withColumn("_key", join_key(F.col("trace_id"), F.col("ord")))
+    joined = keyed.join(trace_contexts(rows).withColumnRenamed("trace_id", "_key"), [*FILE, "_key"], "left").drop("_key")
     named = joined.selectExpr(
         "* except (trace_model, trace_session, own_model)", "coalesce(own_session.v, trace_session, trace_id, 'unknown-session') AS session_id", "coalesce(own_model, trace_model) AS model"
     )
@@ -110,7 +111,8 @@ def suppress_weaker(rows: DataFrame) -> DataFrame:
     ranked = rows.withColumn("_rank", _rank())
     for key in ("trace_id", "response_id"):
         best = ranked.where(F.col(key).isNotNull()).groupBy(*FILE, key).agg(F.min("_rank").alias(f"_best_{key}"))
-        ranked = ranked.join(best, [*FILE, key], "left")
+        keyed = ranked.withColumn("_key", join_key(F.col(key), F.col("ord")))
+        ranked = keyed.join(best.withColumnRenamed(key, "_key"), [*FILE, "_key"], "left").drop("_key")
     strongest = F.least(F.coalesce("_best_trace_id", "_rank"), F.coalesce("_best_response_id", "_rank"))
     return ranked.where(F.col("_rank") <= strongest).select(rows.columns)
 

@@ -6,7 +6,7 @@ sessions, line items for billed requests, and events for log records.
 
 from __future__ import annotations
 
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -290,7 +290,3 @@ class Tables:
         return self.table("conversations").selectExpr(
             "'h0' AS host", "'/u/globalStorage/state.vscdb' AS file", "'ItemTable' AS `table`", "conv_id * 1000 + turn AS ord", "if(conv_id % 10 = 9, 'other', 'aichat.bubble') AS key", f"{value} AS value"
         )
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -6,7 +6,6 @@ import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -78,9 +77,3 @@ def small_table(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> pa.Table | N
     """The rows of a small table, or None when it has more than ``limit``."""
     table = df.limit(limit + 1).toArrow()
     return table if table.num_rows <= limit else None
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast a table after counting it; a larger one is joined by shuffle."""
-    table = small_table(df, limit)
-    return df if table is None else F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
