@@ -103,6 +103,7 @@ def test_transcript_sessions_split_by_day(spark):
     rows = sessions.transcript_sessions(parsed, rates.bundled_cards_df(spark)).orderBy("id").collect()
     assert [(r.id, r.total_tokens, r.cwd) for r in rows] == [
         ("s1#2026-05-01#claude-sonnet-4-5", 11, "/home/me/app"), ("s1#2026-05-02#claude-sonnet-4-5", 22, "/home/me/app"),
+        ("s1#unknown-date#claude-sonnet-4-5", 108, "/home/me/app"),  # untimed usage is kept
     ]
     assert rows[0].cost_micro == 45 and "claude_session_split_by_activity_day" in rows[0].warnings
 
