@@ -1,6 +1,7 @@
+import collections
 import random
 
-from helpers import LONG, contained, frame
+from helpers import LONG, contained, frame, words
 
 from tokentally.llm import decontaminate
 from tokentally.llm.decontaminate import mark_contaminated
@@ -43,6 +44,41 @@ def test_best_windows(spark, monkeypatch):
     assert _told(mark_contaminated(frame(spark, docs), benchmark)) == expected
 
 
+def _short_texts_in(docs, items, similarity=0.8):
+    """What ``contained`` tells, and texts of fewer words than an item as one window."""
+    found = contained(docs, items, similarity)
+    for d, t in docs:
+        w = words(t, fold=True)
+        for i, item in items:
+            x = words(item, fold=True)
+            k = min(5, len(x))
+            if k <= len(w) < len(x):
+                mine, own = (collections.Counter(tuple(y[j : j + k]) for j in range(len(y) - k + 1)) for y in (w, x))
+                value = sum((mine & own).values()) / sum((mine | own).values())
+                if value >= similarity:
+                    found.add((d, i, 0, len(w), round(value, 9)))
+    return found
+
+
+def test_texts_shorter_than_an_item(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate([3, 5, 6, 7, 16, 16, 30, 40, 59, 59])]
+    items += [(20, "a a a a a a a a a a"), (21, items[9][1].upper()), (22, items[8][1] + " more words")]
+    docs = []
+    for i, (_, item) in enumerate(items):
+        w = item.split()
+        cuts = [w[:-1], w[1:], w[:-4], w[2:-2], w[: len(w) * 8 // 10], w[: len(w) // 2], w[:-2][:5] + ["Q"] + w[:-2][6:], w]
+        docs += [(100 * i + j, " ".join(c)) for j, c in enumerate(cuts)]
+    docs += [(5000, items[9][1] + " and a text that is longer"), (5001, " ".join(items[9][1].split()[:55])), (5002, "w1"), (5003, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    expected = _short_texts_in(docs, items)
+    assert (5001, 9, 0, 55, round(51 / 55, 9)) in expected and len(expected - contained(docs, items)) > 20
+    assert _told(mark_contaminated(frame(spark, docs), benchmark)) == expected
+    monkeypatch.setattr(decontaminate, "SPAN", 100)
+    assert _told(mark_contaminated(frame(spark, docs), benchmark)) == expected
+
+
 def test_empty_tables(spark):
     docs, items = _case()
     none = spark.createDataFrame([], "item_id long, text string")

@@ -1,8 +1,8 @@
 """Documents that hold benchmark items: SimHash of item-sized windows, Hamming lookup, exact check.
 
-An item of n words is compared with windows of n words. Words are compared without ASCII
-case, shingles have five words (an item of fewer words is one shingle) and weigh as often as
-they occur. A window can reach the similarity only if enough of its positions begin a
+An item of n words is compared with windows of n words; a text of fewer words is one window
+as a whole. Words are compared without ASCII case, shingles have five words (an item of fewer
+words is one shingle) and weigh as often as they occur. A window can reach the similarity only if enough of its positions begin a
 shingle of some item, which a prefix sum over each text tells exactly. Such windows get a
 64-bit SimHash: the weighted majority of their shingle hashes bit by bit, also from prefix
 sums. Fingerprints are cut into eight blocks of eight bits; if two differ in at most 23 bits,
@@ -117,34 +117,40 @@ class Index:
         flags = np.zeros(len(words) + 1, np.int32)
         flags[starts[hit] + 1] = 1
         hits_before = np.cumsum(flags)
-        chosen: dict[int, np.ndarray] = {}
+        # Shared weight of at least s / (1 + s) of the weight of both sides.
+        share = similarity / (1 + similarity)
+        length = np.diff(first_word)
+        chosen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in np.unique(size).tolist():
             mine = size == n
             width = np.maximum(high[mine] - low[mine] + 1, 0)
             begin = np.unique(np.repeat(low[mine], width) + grouped_arange(width))
             total = n - self.shingle + 1
-            # Equal weights in all: shared weight of at least 2 s / (1 + s) of each side.
-            enough = hits_before[begin + total] - hits_before[begin] >= 2 * similarity / (1 + similarity) * total - 1e-9
+            # Texts of fewer words than the item are one window each.
+            whole = np.unique(of[mine])
+            whole = whole[length[whole] < n]
+            begin = np.concatenate([begin, first_word[whole]])
+            totals = np.concatenate([np.full(len(begin) - len(whole), total), length[whole] - self.shingle + 1])
+            enough = hits_before[begin + totals] - hits_before[begin] >= share * (totals + total) - 1e-9
             if enough.any():
-                chosen[n] = begin[enough]
+                chosen[n] = begin[enough], totals[enough]
         best: dict[tuple[int, int], tuple] = {}
-        for n, begin in chosen.items():
-            total = n - self.shingle + 1
-            step = max(1, SPAN // total)
+        for n, (begin, totals) in chosen.items():
+            step = max(1, SPAN // (n - self.shingle + 1))
             for lo in range(0, len(begin), step):
-                part = begin[lo : lo + step]
-                needed = np.unique((part[:, None] + np.arange(total)).reshape(-1))
+                part, total = begin[lo : lo + step], totals[lo : lo + step]
+                needed = np.unique(np.repeat(part, total) + grouped_arange(total))
                 sums = np.zeros((len(needed) + 1, 64), np.int64)
                 np.cumsum(_bits(all_hashes[needed]), axis=0, out=sums[1:])
                 place = np.searchsorted(needed, part)
-                prints = simhash(sums[place + total] - sums[place], np.full(len(part), total))
+                prints = simhash(sums[place + total] - sums[place], total)
                 rows = np.searchsorted(first_word, part, "right") - 1
                 for w, m in zip(*(x.tolist() for x in self.sized[n].within_radius(prints))):
                     number = int(self.sized[n].items[m])
-                    value = self.similarity(all_hashes[part[w] : part[w] + total], number)
+                    value = self.similarity(all_hashes[part[w] : part[w] + total[w]], number)
                     key, start = (int(rows[w]), number), int(part[w] - first_word[rows[w]])
                     if value >= similarity - 1e-12 and (key not in best or (-value, start) < (-best[key][4], best[key][2])):
-                        best[key] = (*key, start, n, value)
+                        best[key] = (*key, start, int(total[w]) + self.shingle - 1, value)
         return list(best.values())
 
     def similarity(self, hashes: np.ndarray, item: int) -> float:
@@ -171,7 +177,7 @@ def mark_contaminated(documents: DataFrame, benchmark: DataFrame, similarity: fl
     """All rows and columns of ``documents`` with an array of the items each text holds.
 
     An entry has item_id, start_word, n_words and similarity of the best window; entries are
-    sorted by item_id. Null and empty texts hold nothing, null and empty items are held by
+    sorted by item_id. A text of fewer words than an item is compared with it as a whole. Null and empty texts hold nothing, null and empty items are held by
     none, items that repeat are reported by each item_id. A column named ``into`` is replaced.
     Items go to the executors in blocks of bounded bytes, one pass over the documents each.
     """
