@@ -54,6 +54,39 @@ def test_classes_of_near_copies(spark, monkeypatch):
     assert minhash.near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_no_task_holds_a_group_that_stays_open(spark, monkeypatch):
+    """Texts from one template at a similarity of about 0.7, and a few pairs and chains of near copies among them."""
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        w = list(template)
+        at = rng.randrange(137)
+        w[at : at + 13] = [f"x{i}_{j}" for j in range(13)]
+        rows.append((i, " ".join(w)))
+        if i % 10 == 0:
+            for j in range(rng.randint(1, 4)):
+                w = list(w)
+                w[rng.randrange(len(w))] = f"y{i}_{j}"
+                rows.append((1000 + 10 * i + j, " ".join(w)))
+    expected = classes(rows)
+    assert len({c for _, c in expected}) > 80
+    task = 6000
+    monkeypatch.setattr(minhash, "TASK_SHINGLES", task)
+    seen, placed = [], minhash._placed
+
+    def watched(*args):
+        out = placed(*args)
+        sizes = out.selectExpr("centre", "chunk", "length(shingles) / 4 AS n").groupBy("centre", "chunk").sum("n")
+        seen.append(tuple(sizes.selectExpr("count(*)", "max(`sum(n)`)").first()))
+        return out
+
+    monkeypatch.setattr(minhash, "_placed", watched)
+    assert {(r.doc_id, r.class_id) for r in minhash.near_duplicates(frame(spark, rows)).collect()} == expected
+    assert len(seen) == 2 and seen[1][0] > 3
+    assert max(n for _, n in seen) < 1.7 * task, seen
+
+
 def test_one_document_of_each_class_stays(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(1, text), (2, text), (2, text), (3, "other words that stay here"), (3, "other words that stay here"), (None, text), (4, None), (5, "")]

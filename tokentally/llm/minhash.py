@@ -11,8 +11,10 @@ Documents that agree in a band meet at the member of the bucket with the smalles
 that meet at one such centre are compared there on whole shingle sets: first with the
 centre, then every one that is not yet connected with it is compared with the rest. The
 triangle inequality of the Jaccard distance leaves out pairs that cannot be similar. Groups
-above a size are dealt to several tasks, each with the centre; what stays unconnected to the
-centre there goes to all tasks of the group in a second pass. Links are merged to classes.
+above a size are dealt to several tasks, each with the centre. What stays unconnected to the
+centre there is open: in a second pass open and other members are cut into blocks of bounded
+shingles, and every pair of open blocks, and of an open block and another one, is compared in
+a task of its own. Links are merged to classes.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 # 24 bands of 4 coordinates: of pairs at similarity 0.8, one in 300,000 shares no band.
 BANDS, ROWS = 24, 4
-# Shingles that one comparing task is dealt.
+# Shingles that one comparing task is dealt; a block of the second pass has half of them.
 TASK_SHINGLES = 1 << 21
 _EMPTY = U64((1 << 64) - 1)
 
@@ -166,7 +168,7 @@ class Group:
         n = len(self.sizes)
         everyone = np.arange(n)
         label = everyone.copy()
-        near = self.to_all(0, everyone)
+        self.near = near = self.to_all(0, everyone)
         label[near >= self.similarity - 1e-12] = 0
         slack = 1 - self.similarity + 1e-9
         for i in range(1, n):
@@ -179,34 +181,86 @@ class Group:
                 label[np.isin(label, joined)] = joined[0]
         return label
 
+    def joined(self, label: np.ndarray, near: np.ndarray, side: np.ndarray | None) -> np.ndarray:
+        """Labels after every pair of the two sides (none: every pair) is compared; ``near`` is the similarity with the centre."""
+        label = label.copy()
+        slack = 1 - self.similarity + 1e-9
+        for i in range(len(label)) if side is None else np.flatnonzero(side == 0):
+            facing = np.arange(len(label)) > i if side is None else side == 1
+            others = np.flatnonzero(facing & (np.abs(near - near[i]) <= slack) & (label != label[i]) & (np.minimum(self.sizes, self.sizes[i]) >= self.similarity * np.maximum(self.sizes, self.sizes[i]) - 1e-9))
+            if len(others):
+                linked = others[self.to_all(i, others) >= self.similarity - 1e-12]
+                both = np.unique(np.append(label[linked], label[i]))
+                label[np.isin(label, both)] = both[0]
+        return label
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(centre, chunk) and its rows (id, set, then columns ``names``), each id once."""
+    group, rows = None, []
+    for batch in batches:
+        for centre, chunk, i, raw, *more in zip(*(batch.column(n).to_pylist() for n in ("centre", "chunk", "id", "shingles", *names))):
+            if (centre, chunk) != group:
+                if len(rows) > 1:
+                    yield group, rows
+                group, rows = (centre, chunk), []
+            if not rows or i != rows[-1][0]:
+                rows.append((i, np.frombuffer(raw, np.uint32), *more))
+    if len(rows) > 1:
+        yield group, rows
+
 
 def _compare(members: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) among rows (centre, chunk, is_centre, id, shingles); v is the first of its component, once for each member."""
-    ddl = "centre long, chunk int, u long, v long"
+    """Links (u, v) among rows (centre, chunk, is_centre, id, shingles); v is the first of its component, once for each member.
+
+    ``near`` is the similarity of u with the centre.
+    """
+    ddl = "centre long, u long, v long, near double"
     schema = _arrow_schema(members.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(group, ids, sets):
-            label = Group(sets, similarity).labels()
-            return as_batch({"centre": np.full(len(ids), group[0]), "chunk": np.full(len(ids), group[1], np.int32), "u": ids, "v": np.array(ids)[label]}, schema)
-
-        group, ids, sets = None, [], []
-        for batch in batches:
-            for centre, chunk, i, raw in zip(*(batch.column(n).to_pylist() for n in ("centre", "chunk", "id", "shingles"))):
-                if (centre, chunk) != group:
-                    if len(ids) > 1:
-                        yield told(group, ids, sets)
-                    group, ids, sets = (centre, chunk), [], []
-                if not ids or i != ids[-1]:
-                    ids.append(i)
-                    sets.append(np.frombuffer(raw, np.uint32))
-        if len(ids) > 1:
-            yield told(group, ids, sets)
+        for (centre, _), rows in _gathered(batches):
+            ids, sets = zip(*rows)
+            group = Group(list(sets), similarity)
+            label = group.labels()
+            yield as_batch({"centre": np.full(len(ids), centre), "u": list(ids), "v": np.array(ids)[label], "near": group.near}, schema)
 
     dealt = members.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", F.col("is_centre").desc(), "id")
     return dealt.mapInArrow(run, ddl)
 
 
+def _compare_blocks(members: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between labels of rows (centre, chunk, block, label, near, id, shingles); chunk tells the two blocks."""
+    ddl = "u long, v long"
+    schema = _arrow_schema(members.sparkSession, ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, chunk), rows in _gathered(batches, "block", "label", "near"):
+            _, sets, block, label, near = zip(*rows)
+            side = None if chunk["one"] == chunk["other"] else (np.array(block) == chunk["other"]).astype(int)
+            names, label = np.unique(np.array(label), return_inverse=True)
+            new = Group(list(sets), similarity).joined(label, np.array(near), side)
+            changed = np.unique(np.stack([label, new]), axis=1)
+            changed = changed[:, changed[0] != changed[1]]
+            if changed.size:
+                yield as_batch({"u": names[changed[0]], "v": names[changed[1]]}, schema)
+
+    dealt = members.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "id")
+    return dealt.mapInArrow(run, ddl)
+
+
+def _block_pairs(told: DataFrame) -> DataFrame:
+    """Block, and pairs of blocks in ``chunk``, of rows (key, centre, label, near, size) whose label is the centre unless they are open."""
+    is_open = F.col("label") != F.col("centre")
+    blocks = lambda which: F.ceil(F.coalesce(F.sum(F.when(which, F.col("size"))), F.lit(0)) / F.lit(max(1, TASK_SHINGLES // 2))).cast("int")
+    counts = told.groupBy("centre").agg(blocks(is_open).alias("opens"), blocks(~is_open).alias("others")).where("opens > 0")
+    spread = lambda n: F.pmod(F.xxhash64("key", "centre"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    placed = told.join(F.broadcast(counts), "centre").withColumn("block", F.when(is_open, spread("opens")).otherwise(F.col("opens") + spread("others")))
+    end = F.when(is_open, F.col("opens") + F.col("others")).otherwise(F.col("opens")) - 1
+    pairs = F.transform(F.sequence(F.lit(0), end), lambda j: F.struct(F.least("block", j).alias("one"), F.greatest("block", j).alias("other")))
+    return placed.select("key", "centre", "block", "label", "near", pairs.alias("chunk"))
+
+
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, class_id, kept and text_print (xxhash64 of the text) for every distinct (doc_id, text).
 
@@ -237,19 +291,20 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, shingl
     links = stored(_compare(_placed(first, sets), similarity))
     edges = links.where("u <> v").select("u", "v")
     if large:
-        # Members that a task of a large group could not connect with the centre meet all other members.
-        open_ = links.where("v <> centre").join(chunks.where("chunks > 1"), "centre").select("centre", F.col("u").alias("key")).distinct()
-        left = member.where("chunks > 1").join(open_.select("centre").distinct(), "centre", "left_semi").join(open_.withColumn("open", F.lit(True)), ["centre", "key"], "left")
-        second = left.select("key", "centre", F.when((F.col("key") == F.col("centre")) | F.col("open"), every).otherwise(own).alias("chunk"))
-        edges = edges.union(stored(_compare(_placed(second, sets), similarity)).where("u <> v").select("u", "v"))
+        # Members that a task of a large group could not connect with the centre meet all other members, two blocks at a time.
+        told = links.where("u <> centre").select("centre", F.col("u").alias("key"), F.col("v").alias("label"), "near").join(member.where("chunks > 1").select("centre", "key", "size"), ["centre", "key"])
+        second = _placed(_block_pairs(stored(told)), sets)
+        edges = edges.union(stored(_compare_blocks(second, similarity)))
     return _classes(source, base, unique, edges)
 
 
 def _placed(member: DataFrame, sets: DataFrame) -> DataFrame:
     """Shingle sets at their centres and chunks; a text has at most one centre for each band."""
-    places = member.groupBy("key").agg(F.collect_list(F.struct("centre", "chunk")).alias("places"))
+    names = [c for c in member.columns if c != "key"]
+    places = member.groupBy("key").agg(F.collect_list(F.struct(*names)).alias("places"))
     at = sets.join(places, "key").select(F.col("key").alias("id"), "shingles", F.explode("places").alias("p"))
-    return at.select("p.centre", (F.col("id") == F.col("p.centre")).alias("is_centre"), F.explode("p.chunk").alias("chunk"), "id", "shingles")
+    at = at.select("id", "shingles", (F.col("id") == F.col("p.centre")).alias("is_centre"), *[F.col(f"p.{n}") for n in names])
+    return at.withColumn("chunk", F.explode("chunk"))
 
 
 def _classes(source: DataFrame, base: DataFrame, unique: DataFrame, edges: DataFrame) -> DataFrame:
