@@ -7,7 +7,8 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from tokentally import rates
-from tokentally.operators import friction, pricing, rollout, workspace
+from tokentally.functions import warnings
+from tokentally.operators import friction, pricing, reports, rollout, workspace
 from tokentally.runtime import local_table
 from test_pricing import card, requests
 
@@ -114,3 +115,15 @@ def test_later_file_wins_for_an_id(spark):
     rows = spark.createDataFrame([("h", f"/{d}/a.jsonl", 10 * d, 1, 1, "a") for d in (1, 3, 2)], "host string, file string, mtime_ms bigint, size bigint, lines bigint, id string")
     assert [r.file for r in files.latest_per_id(rows).collect()] == ["/3/a.jsonl"]
     assert sorted(r.file for r in rows.where(file_may_overlap(15, None)).collect()) == ["/2/a.jsonl", "/3/a.jsonl"]
+
+
+def test_long_names_in_warnings_and_apps_stay_apart(spark):
+    long = "m" * 1200
+    codes = [f"unknown_pricing_model:{long}{i}" for i in range(2)]
+    row = spark.createDataFrame([(codes,)], "warnings array<string>")
+    assert row.select(reports.unpriced_models().alias("m")).first().m == [long + "0", long + "1"]
+    other = spark.createDataFrame([(f"{long}{i}",) for i in range(2)], "w string")
+    told = row.selectExpr("explode(warnings) AS w").select(warnings.readable(F.col("w")).alias("t")).collect()
+    assert [long + str(i) in r.t for i, r in enumerate(told)] == [True, True]
+    assert {r.t for r in other.select(warnings.detail(F.col("w"))["title"].alias("t")).collect()} == {"M" + long[1:] + "0", "M" + long[1:] + "1"}
+    assert {r.t for r in other.select(rollout.app_label(F.col("w"), F.lit(None).cast("string")).alias("t")).collect()} == {"M" + long[1:] + "0", "M" + long[1:] + "1"}

@@ -66,7 +66,7 @@ TONE_ORDER = ["critical", "warning", "info"]
 def readable(warning: Column) -> Column:
     code = F.lower(warning)
     known = F.create_map(*[F.lit(x) for pair in TEXTS.items() for x in pair])
-    model = F.substring(warning, len(UNPRICED_MODEL) + 1, 1_000)
+    model = F.substr(warning, F.lit(len(UNPRICED_MODEL) + 1))
     return (
         F.when(code.startswith(UNPRICED_MODEL), F.concat(F.lit("A request used "), model, F.lit(", which needs a usable rate in Settings.")))
         .when(code.startswith("invalid_token_snapshots"), INVALID_SNAPSHOTS)
@@ -78,7 +78,7 @@ def detail(warning: Column) -> Column:
     """STRUCT<title, category, tone> of a warning code."""
     words = F.regexp_replace(F.lower(warning), "[:_]+", " ")
     plain = F.regexp_replace(warning, "_", " ")
-    title = F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, 2, 1_000))
+    title = F.concat(F.upper(F.substring(plain, 1, 1)), F.substr(plain, F.lit(2)))
 
     def entry(title: Column, category: str, tone: str) -> Column:
         return F.struct(title.alias("title"), F.lit(category).alias("category"), F.lit(tone).alias("tone"))

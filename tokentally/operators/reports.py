@@ -319,7 +319,7 @@ def unpriced_models() -> Column:
     """Model ids named by unknown_pricing_model warnings."""
     prefix = "unknown_pricing_model:"
     named = F.filter("warnings", lambda w: w.startswith(prefix) & (F.length(w) > len(prefix)))
-    return F.transform(named, lambda w: F.substring(w, len(prefix) + 1, 1000))
+    return F.transform(named, lambda w: F.substr(w, F.lit(len(prefix) + 1)))
 
 
 TOKEN_DETAIL_WARNINGS = [

@@ -257,7 +257,7 @@ def source_raw(thread_source: Column, source: Column, originator: Column, row_so
 def app_label(source: Column, thread_source: Column) -> Column:
     words = F.transform(
         F.filter(F.split(F.regexp_replace(source, r"^codex[_-]", ""), "[_-]"), lambda w: w != ""),
-        lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000)),
+        lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))),
     )
     return (
         F.when(F.coalesce(thread_source == "subagent", F.lit(False)), "Codex subagent")
