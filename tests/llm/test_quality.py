@@ -6,7 +6,7 @@ from helpers import LONG, frame
 from pyspark.sql import functions as F
 
 from tokentally.llm.common import text_buffers
-from tokentally.llm.quality import counts, features, fit, score
+from tokentally.llm.quality import counts, features, fit, sample, score
 
 SF = "/root/testdata/sf0.01"
 
@@ -48,3 +48,9 @@ def test_awkward_rows(spark):
     empty = fit(frame(spark, rows), labels.where("false"))
     assert {r.score for r in score(frame(spark, rows), empty).collect()} == {0.5}
     assert score(frame(spark, []), model).collect() == []
+
+
+def test_sample_takes_six_thousand_texts(spark):
+    docs = spark.range(6500).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    assert sample(docs, labels).count() == 6000

@@ -26,7 +26,7 @@ GRAMS = (3, 4)
 EPOCHS = 6
 RATE = 0.3
 # Labelled texts that a model is fitted on: the first in the order of a hash of doc_id.
-SAMPLE = 4000
+SAMPLE = 6000
 # Bytes of text whose features are held at once; a byte has about three of them.
 BLOCK = 1 << 20
 
