@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokentally.llm.oracles import ORACLES  # noqa: F401
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -106,3 +107,20 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(documents, table(spark, sf_dir, "labels").where(~held_out))
     scored = score(documents, model).drop("text")
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.periodic_runs import find_runs, with_periods
+
+    found = find_runs(with_periods(table(spark, sf_dir, "documents")))
+    # The greatest length over period first, compared by cross products; then the smallest start and period.
+    shares = lambda a, b: a["length"] * b["period"] - b["length"] * a["period"]
+    rank = lambda a, b: F.coalesce(*[F.nullif(F.signum(d.cast("double")), F.lit(0.0)) for d in (shares(b, a), a["start"] - b["start"], a["period"] - b["period"])], F.lit(0.0)).cast("int")
+    best = F.get(F.array_sort("runs", rank), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.call_function("div", F.col("best.length") * 1000, F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
