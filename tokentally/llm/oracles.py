@@ -41,3 +41,35 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, b
        sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM texts LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
 """
+
+# Prefixes as lists of turns; sums over a subtree by joining every node with all nodes above it.
+ORACLES["op12_prefix_trie"] = f"""
+WITH RECURSIVE own AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+    FROM conversations WHERE conv_id IS NOT NULL
+),{CRC.format(column="conv_id", table="conversations")},
+plan AS (SELECT id AS conv_id, h % 6 AS h, id - id % 100 AS head FROM crc),
+lent AS (SELECT plan.conv_id, i, role, text FROM plan JOIN own ON own.conv_id = head AND i < h),
+counts AS (SELECT conv_id, count(*) AS taken FROM lent GROUP BY conv_id),
+kept AS (SELECT conv_id, i - h + coalesce(taken, 0) AS i, role, text FROM own JOIN plan USING (conv_id) LEFT JOIN counts USING (conv_id) WHERE i >= h),
+turns AS (SELECT * FROM lent UNION ALL SELECT * FROM kept),
+lengths AS (SELECT plan.conv_id, count(i) AS n FROM plan LEFT JOIN turns USING (conv_id) GROUP BY plan.conv_id),
+steps AS (SELECT conv_id, i + 1 AS depth, list({{'role': role, 'text': text}}) OVER (PARTITION BY conv_id ORDER BY i) AS prefix, length(text) AS size FROM turns),
+prefixes AS (SELECT conv_id, 0 AS depth, []::STRUCT(role VARCHAR, text VARCHAR)[] AS prefix, 0 AS size FROM plan UNION ALL SELECT * FROM steps),
+placed AS (SELECT prefixes.*, min(conv_id) OVER (PARTITION BY prefix) AS owner, depth = n AS ends FROM prefixes JOIN lengths USING (conv_id)),
+nodes AS (
+    SELECT owner, depth, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS ends
+    FROM placed GROUP BY owner, depth
+),
+parents AS (SELECT nodes.*, placed.owner AS parent FROM nodes LEFT JOIN placed ON placed.conv_id = nodes.owner AND placed.depth = nodes.depth - 1),
+children AS (SELECT parent AS owner, depth - 1 AS depth, count(*) AS n_children FROM parents WHERE depth > 0 GROUP BY ALL),
+whole AS (SELECT parents.*, coalesce(n_children, 0) AS n_children FROM parents LEFT JOIN children USING (owner, depth)),
+sums AS (
+    SELECT placed.owner, placed.depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+    FROM whole JOIN placed ON placed.conv_id = whole.owner AND placed.depth <= whole.depth GROUP BY placed.owner, placed.depth
+)
+SELECT owner AS conv_id, depth::BIGINT AS depth, parent AS parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM whole JOIN sums USING (owner, depth)
+"""

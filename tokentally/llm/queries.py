@@ -124,3 +124,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.call_function("div", F.col("best.length") * 1000, F.col("best.period")).alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.prefix_trie import grafted, ordered_turns, prefix_trie
+
+    return prefix_trie(*grafted(ordered_turns(table(spark, sf_dir, "conversations"))))
