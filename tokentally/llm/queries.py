@@ -131,3 +131,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokentally.llm.prefix_trie import grafted, ordered_turns, prefix_trie
 
     return prefix_trie(*grafted(ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
+@query
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.pii import find_personal_data, fit
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_personal_data(documents, fit(documents))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
