@@ -187,8 +187,9 @@ def hub_weight(agreement: float) -> float:
 def marginals(unary: np.ndarray, left: np.ndarray, right: np.ndarray, chain: np.ndarray, hubs: list[tuple[np.ndarray, np.ndarray, float]], known: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Log probabilities of the labels of all tokens, by rounds of messages.
 
-    ``left`` and ``right`` are the tokens of chain edges. A hub is (token, group, weight): its members and their groups. The open
-    members of a group count as one observation of it, so that many equal unsure tokens do not outvote a known one.
+    ``left`` and ``right`` are the tokens of chain edges. A hub is (token, group, weight): its members and their groups. Open
+    members look alike, so each counts its own looks only; they tell their group what reached them over other edges, together
+    as one observation. Many equal unsure tokens thus do not outvote a known one.
     """
     n = len(unary)
     forward, backward = np.zeros((len(left), LABELS)), np.zeros((len(left), LABELS))
@@ -212,7 +213,8 @@ def marginals(unary: np.ndarray, left: np.ndarray, right: np.ndarray, chain: np.
             if not len(token):
                 continue
             agree = np.eye(LABELS) * weight
-            to_hub[k] = _normal(_through(belief[token] - from_hub[k], agree)) * share[k]
+            told = belief[token] - from_hub[k] - np.where(known[token, None], 0.0, unary[token])
+            to_hub[k] = _normal(_through(told, agree)) * share[k]
             total = np.zeros((group.max() + 1, LABELS))
             np.add.at(total, group, to_hub[k])
             from_hub[k] = _normal(_through(total[group] - to_hub[k], agree))
@@ -304,7 +306,7 @@ def _examples(texts: list[str]) -> tuple[list[list[Token]], list[list[int]]]:
     return documents, truth
 
 
-def train(texts: list[str], steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Field:
+def train(texts: list[str], steps: int = 600, rate: float = 0.05, decay: float = 1e-5) -> Field:
     """Weights by gradient descent on the pseudo-likelihood of open tokens, given the labels of all they are linked to."""
     documents, truth = _examples(texts)
     tokens = [t for d in documents for t in d]
