@@ -15,7 +15,7 @@ from tokentally import rates
 from tokentally.operators import pricing
 from tokentally.operators.scans import running_sum
 from tokentally.runtime import prepare
-from tokentally.sources import schemas
+from tokentally.sources import editor, schemas
 from tokentally.sources.files import parse_records
 
 # Model of a line item, by l_partkey % 12; the last one is not recorded.
@@ -282,6 +282,29 @@ class Tables:
     def otel_records(self) -> DataFrame:
         return parse_records(self.otel_lines, schemas.OTEL)
 
+    @cached_property
+    def editor_records(self) -> DataFrame:
+        """Editor files, one line per order: a transcript, a session state or a debug log of each customer."""
+        rows = self.table("orders").selectExpr(
+            "o_custkey AS c", "o_orderkey AS k", "o_orderkey % 7 AS e", "cast(floor(o_totalprice / 100) AS bigint) AS v", "unix_seconds(cast(o_orderdate AS timestamp)) AS sec",
+            "concat('ed', o_custkey div 3) AS sid", "date_format(cast(o_orderdate AS timestamp), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS t",
+        )
+        tools = """array(named_struct('name', 'run_in_terminal', 'arguments', '{}'), named_struct('name', 'Read_thing', 'arguments', '{"command":"x"}'), named_struct('name', NULL, 'arguments', 'apply edit'))"""
+        picked = pick_sql("k", ["auto", "copilot/gpt-4.1", "claude-opus-4-8"])
+        attributes = f"map('gen_ai.conversation.id', sid, 'gen_ai.response.model', {pick_sql('k', ['gpt-5.4', 'claude-opus-4-8'])}, 'gen_ai.usage.input_tokens', '100', 'gen_ai.usage.output_tokens', cast(v AS string))"
+        said = "to_json(named_struct('sid', NULL, 'data', named_struct('role', if(k % 2 = 0, 'user', 'assistant'), 'content', 'more  to say', 'startTime', sec)))"
+        line = f"""CASE e WHEN 0 THEN to_json(named_struct('type', 'session.start', 'timestamp', t, 'data', named_struct('sessionId', if(c % 4 = 1, NULL, sid), 'title', concat('Chat ', k), 'context', named_struct('cwd', concat('/w/', c % 11)))))
+          WHEN 1 THEN to_json(named_struct('type', 'user.message', 'ts', sec, 'data', named_struct('content', 'ask  it')))
+          WHEN 2 THEN to_json(named_struct('type', 'assistant.message', 'data', named_struct('content', 'ok', 'outputTokens', v, 'toolRequests', {tools})))
+          WHEN 3 THEN to_json(named_struct('type', 'session.model_change', 'timestamp', t, 'data', named_struct('newModel', {picked}))) WHEN 5 THEN '{{oops'
+          WHEN 6 THEN if(c % 6 IN (2, 3), to_json(named_struct('type', 'span', 'name', 'chat x', 'traceId', concat('et', k), 'spanId', '1', 'startTime', array(sec, 0L), 'endTime', array(sec + 1, 0L), 'attributes', {attributes})), {said})
+          ELSE {said} END"""
+        file = """CASE c % 3 WHEN 0 THEN concat('/c/workspaceStorage/w', c % 7, '/GitHub.copilot-chat/transcripts/', c, '.jsonl') WHEN 1 THEN concat('/c/session-state/s', c, '/events.jsonl')
+          ELSE concat('/c/workspaceStorage/w', c % 7, '/GitHub.copilot-chat/debug-logs/', c, '.jsonl') END"""
+        lines = rows.selectExpr("'h0' AS host", f"{file} AS file", "k AS ord", f"{line} AS line", "1700000000000 + c * 1000 AS mtime_ms")
+        folders = self.table("customer").where("c_custkey < 5").selectExpr("concat('/c/workspaceStorage/w', c_custkey) AS owner", "concat('/w/ws', c_custkey) AS fallback_cwd")
+        return parse_records(editor.tagged(lines, folders), schemas.OTEL)
+
     @cached_property
     def key_values(self) -> DataFrame:
         """Key-value rows, one per conversation turn."""

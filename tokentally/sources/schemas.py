@@ -58,7 +58,7 @@ OTEL = (
 )
     + ", startTime: VARIANT, endTime: VARIANT, hrTime: VARIANT, _hrTime: VARIANT, spanContext: STRUCT<traceId: STRING, spanId: STRING>, attributes: MAP<STRING, STRING>"
     + ", content: VARIANT, cwd: STRING, data: STRUCT<" + _fields("sessionId", "cwd", "role", "startTime", "newModel", "currentModel", "model", "title", "outputTokens")
-    + ", content: VARIANT, context: STRUCT<cwd: STRING, gitRoot: STRING>, toolRequests: ARRAY<STRUCT<name: STRING, arguments: STRING>>>, _corrupt: STRING>"
+    + ", content: VARIANT, context: STRUCT<cwd: STRING, gitRoot: STRING>, toolRequests: ARRAY<STRUCT<name: STRING, arguments: VARIANT>>>, _corrupt: STRING>"
 )
 _SELECTED = "STRUCT<id: STRING, identifier: STRING, metadata: STRUCT<version: STRING, family: STRING>>"
 _CHAT = f"sessionId: STRING, inputState: STRUCT<selectedModel: {_SELECTED}>, selectedModel: {_SELECTED}, metadata: STRUCT<sessionId: STRING, resolvedModel: STRING>, response: STRUCT<metadata: STRUCT<resolvedModel: STRING>>"

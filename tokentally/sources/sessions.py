@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tokentally.functions import models as M
 from tokentally.functions import records as R
-from tokentally.operators import friction, otel, paths, pricing, rollout, transcripts, workspace
+from tokentally.operators import events, friction, otel, paths, pricing, rollout, transcripts, workspace
 from tokentally.operators.rollout import FILE
 from tokentally.operators.sessions import cost_warnings, service_tier_summary
 from tokentally.runtime import reliable_checkpoint
@@ -121,29 +121,48 @@ def transcript_sessions(records: DataFrame, cards: DataFrame, roots: DataFrame |
 
 def otel_sessions(records: DataFrame, cards: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     """Sessions of telemetry files (records parsed as OTEL); no folder is logged there."""
-    events = otel.file_events(records)
-    sessions = otel.merged_sessions(events)
+    found = otel.file_events(records)
+    sessions = otel.merged_sessions(found)
     if hints is not None:
         sessions = otel.apply_hints(sessions, hints)
+    named = sessions.withColumns({
+        "message_count": F.col("events"), "assistant_message_count": F.col("events"), "parse_status": F.lit("ok"), "surface": F.lit("cli"), "cwd": F.lit(None).cast("string"),
+    })
+    return _assistant_sessions(named, otel.merge_events(found), cards, False)
+
+
+def editor_sessions(records: DataFrame, cards: DataFrame, hints: DataFrame | None = None, roots: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """Sessions of telemetry, debug logs, transcripts and session states together (records of ``sources.editor``)."""
+    sessions, merged = events.merged_sessions(records, hints)
+    return _assistant_sessions(sessions, merged, cards, True, roots, aliases)
+
+
+def _assistant_sessions(sessions: DataFrame, merged: DataFrame, cards: DataFrame, located: bool, roots: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """Priced sessions from their merged rows and token events; those without input tokens have no price."""
     key = ["host", "session_id"]
-    known = F.when(M.known_copilot_model(F.col("model")), M.pricing_model_id(F.col("model")))
-    requests = otel.merge_events(events).withColumn("model", known)
+    requests = merged.withColumn("model", events.known_model(F.col("model")))
     total = F.col("input_tokens") + F.col("output_tokens") + F.col("reasoning_tokens")
     models = sessions.select(*key, M.pricing_model_id(F.col("model")).alias("session_model"))
     costs = _priced(requests.withColumn("total_tokens", total), cards, key, models).select(*key, "cost_micro", "price_warnings", "price_assumptions")
     priced = (total > 0) & (F.col("input_tokens") > 0)
+    some = F.col("cwd").isNotNull()
     notes = F.array_compact(F.array(
-        F.lit("repo_unverified_no_git_root"), F.lit("copilot_missing_cwd"), F.when((total > 0) & ~priced, "copilot_partial_token_breakdown"), F.when(total <= 0, "missing_token_breakdown")
+        F.when(~some, "repo_unverified_no_git_root"), F.when(~some, "copilot_missing_cwd"), F.when((total > 0) & ~priced, "copilot_partial_token_breakdown"), F.when(total <= 0, "missing_token_breakdown")
     ))
+    editor = F.col("surface") == "vscode"
     joined = _bucket_defaults(sessions.join(costs, key, "left").withColumns({
         "cost_micro": F.when(priced, F.col("cost_micro")), "total_tokens": total, "id": F.col("session_id"), "file": F.col("source_path"), "source_client": F.lit("copilot"),
-        "source_app": F.lit("Copilot CLI"), "source_app_raw": F.lit("cli"), "repo_root": F.lit("unknown-copilot-repo"), "repo_name": F.lit("Unknown repo/folder"), "cwd": F.lit(""),
-        "provider": M.copilot_provider(F.col("model")), "model": M.pricing_model_id(F.col("model")), "detected_surface": F.lit("terminal_cli"), "surface_confidence": F.lit("high"),
-        "surface_reason": F.lit("GitHub Copilot OpenTelemetry export"), "token_aggregation_method": F.when(total > 0, "direct_usage").otherwise("unknown"),
-        "token_confidence": F.when(total > 0, "high").otherwise("low"), "token_snapshot_count": F.col("events"), "message_count": F.col("events"),
-        "assistant_message_count": F.col("events"), "parse_status": F.lit("ok"), "warnings": F.array_distinct(F.concat(notes, "warnings")), "_priced": priced,
+        "source_app": F.when(editor, "VS Code").otherwise("Copilot CLI"), "source_app_raw": F.col("surface"),
+        "provider": M.copilot_provider(F.col("model")), "model": M.pricing_model_id(F.col("model")), "detected_surface": F.when(editor, "vscode_extension").otherwise("terminal_cli"),
+        "surface_confidence": F.lit("high"), "surface_reason": F.when(editor, "GitHub Copilot VS Code workspace storage").otherwise("GitHub Copilot OpenTelemetry export"),
+        "token_aggregation_method": F.when(total > 0, "direct_usage").otherwise("unknown"),
+        "token_confidence": F.when(total > 0, "high").otherwise("low"), "token_snapshot_count": F.col("events"), "warnings": F.array_distinct(F.concat(notes, "warnings")), "_priced": priced,
     }))
-    return _finish(joined.withColumn("warnings", cost_warnings("copilot", F.col("_priced"))).withColumns(_zero(*NO_FRICTION)))
+    told = joined.withColumn("warnings", cost_warnings("copilot", F.col("_priced"))).withColumns(_zero(*NO_FRICTION))
+    unknown = {"repo_root": F.lit("unknown-copilot-repo"), "repo_name": F.lit("Unknown repo/folder"), "cwd": F.lit("")}
+    if not located:
+        return _finish(told.withColumns(unknown))
+    return _finish(told.where(~some).withColumns(unknown)).unionByName(_finish(_with_repo(told.where(some), roots, aliases)))
 
 
 def workspace_sessions(parts: DataFrame, cards: DataFrame, order: str, roots: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
