@@ -62,7 +62,7 @@ def pricing_model_id(model: Column) -> Column:
     return F.array_join(F.array_compact(marked), "-")
 
 
-def _line_and_version(model_id: Column) -> Column:
+def line_and_version(model_id: Column) -> Column:
     """STRUCT<tier, version>: the line an id belongs to and major * 100 + minor; NULL without one."""
     parts = F.split(model_id, "-")
 
@@ -93,35 +93,37 @@ def _line_and_version(model_id: Column) -> Column:
     return F.when(special, None).when(is_claude, claude).when(is_gpt, gpt)
 
 
+def head(model_id: Column) -> Column:
+    """The first part of an id: ids of one line or family share it."""
+    return F.get(F.split(model_id, "-"), F.lit(0))
+
+
+def heads(card: Column, model_id: Column) -> Column:
+    """First parts of all ids that may be billed by a card: its own, and those of other spellings."""
+    others = [F.when(card == target, F.lit(alias.split("-")[0])) for alias, target in COPILOT_ALIASES.items()]
+    return F.array_distinct(F.array_compact(F.array(head(model_id), head(card), *others)))
+
+
 def model_tier(model_id: Column) -> Column:
     """Version line a normalized id belongs to; NULL when it has none."""
-    return _line_and_version(model_id)["tier"]
+    return line_and_version(model_id)["tier"]
 
 
 def model_version(model_id: Column) -> Column:
     """Comparable version: major * 100 + minor."""
-    return _line_and_version(model_id)["version"]
+    return line_and_version(model_id)["version"]
 
 
-def family_candidates(model_id: Column) -> Column:
-    """ARRAY<STRUCT<priority, card>>: every family card the normalized id may use."""
-    fast = model_id.contains("fast-mode")
+def family_candidates(model_id: str) -> str:
+    """ARRAY<STRUCT<priority, card>>, as SQL over a column: every family card the normalized id may use."""
     options = []
     for rank, family in enumerate(CLAUDE_FAMILIES):
-        named = (model_id == family) | model_id.startswith(family + "-") | model_id.startswith(family + ".")
-        usable = named & ~model_id.contains("-long-context")
-        if "fast-mode" not in family:
-            usable = usable & ~fast
-        options.append((200 + rank, family, usable))
+        slow = "" if "fast-mode" in family else f" AND NOT contains({model_id}, 'fast-mode')"
+        options.append((200 + rank, family, f"({model_id} = '{family}' OR startswith({model_id}, '{family}-') OR startswith({model_id}, '{family}.')) AND NOT contains({model_id}, '-long-context'){slow}"))
     for rank, family in enumerate(COPILOT_FAMILIES):
-        named = (model_id == family) | model_id.startswith(family + "-")
-        for alias, target in COPILOT_ALIASES.items():
-            if target == family:
-                named = named | model_id.startswith(alias)
-        options.append((300 + rank, family, named))
-    return F.array_compact(F.array(*[
-        F.when(test, F.struct(F.lit(rank).alias("priority"), F.lit(card).alias("card"))) for rank, card, test in options
-    ]))
+        aliases = "".join(f" OR startswith({model_id}, '{alias}')" for alias, target in COPILOT_ALIASES.items() if target == family)
+        options.append((300 + rank, family, f"{model_id} = '{family}' OR startswith({model_id}, '{family}-'){aliases}"))
+    return "array_compact(array(" + ", ".join(f"if({test}, named_struct('priority', {rank}, 'card', '{card}'), NULL)" for rank, card, test in options) + "))"
 
 
 def rollout_provider(model: Column) -> Column:

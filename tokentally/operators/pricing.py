@@ -7,7 +7,7 @@ whole micro-USD, per session or slice.
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,13 +16,14 @@ from pyspark.sql import types as T
 
 from tokentally import rates
 from tokentally.functions import models as M
-from tokentally.runtime import local_table, small_table
+from tokentally.runtime import BROADCAST_ROW_LIMIT, local_table
 
 BUCKETS = [
     "input_tokens", "cached_input_tokens", "cache_write_tokens", "cache_write_5m", "cache_write_1h",
     "cache_write_30m", "cache_write_12h", "output_tokens", "reasoning_tokens", "total_tokens",
 ]
 BILLED = ["fresh", "cached", "write_5m", "write_1h", "write_30m", "write_12h", "write", "output", "reasoning"]
+HAIKU = "claude-haiku-5-5"
 THRESHOLDS = sorted({r[1] for r in rates.context_rules()})
 
 
@@ -94,124 +95,94 @@ def _effective_rates() -> Column:
     return F.struct(*[_micro(picked[b]).alias(b) for b in BILLED])
 
 
-def resolve_models(models: DataFrame, cards: DataFrame) -> DataFrame:
-    """One row per model id: the card it is billed by and how it was found.
+def _literal(rows: list[dict], schema: str) -> Column:
+    """Fixed rows as one constant array."""
+    return F.from_json(F.lit(json.dumps(rows, default=str)), f"array<{schema}>")
 
-    Order: the id itself, its normal form, the newest older version of the same
-    line, a Claude family, a Copilot family. Unusable cards are passed over.
-    """
-    ids = (
-        models.select("model").where("model is not null").distinct()
-        .withColumn("model_id", M.pricing_model_id(F.col("model")))
-        .withColumn("tier", M.model_tier(F.col("model_id")))
-        .withColumn("version", M.model_version(F.col("model_id")))
-    )
-    card_ids = (
-        cards.select(F.col("model").alias("card"), usable_card().alias("usable"), "position")
-        .withColumn("card_id", M.pricing_model_id(F.col("card")))
-        .withColumn("tier", M.model_tier(F.col("card_id")))
-        .withColumn("card_version", M.model_version(F.col("card_id")))
-        .drop("card_id")
-    )
-    names = ids.select("model", F.explode(F.array(
-        F.struct(F.lit(0).alias("priority"), F.col("model").alias("card")),
-        F.struct(F.lit(1).alias("priority"), F.col("model_id").alias("card")),
-    )).alias("n")).select("model", "n.*")
-    # The first existing spelling is the exact card even when it is unusable.
-    exact = (
-        names.join(card_ids.select("card", "usable"), "card")
-        .groupBy("model").agg(F.min_by(F.struct("card", "usable", "priority"), "priority").alias("x"))
-        .select("model", "x.*")
-    )
-    versioned = (
-        ids.join(card_ids.where("usable"), "tier").where("card_version <= version")
-        .select("model", "card", (F.lit(100.0) + (F.lit(1.0) - F.col("card_version") / 1e6)).alias("priority"), "position")
-    )
-    families = (
-        ids.select("model", F.explode(M.family_candidates(F.col("model_id"))).alias("f"))
-        .select("model", F.col("f.card").alias("card"), F.col("f.priority").cast("double").alias("priority"), F.lit(0).alias("position"))
-        .join(card_ids.where("usable").select("card"), "card", "left_semi")
-    )
-    best = (
-        exact.where("usable").select("model", "card", F.col("priority").cast("double").alias("priority"), F.lit(0).alias("position"))
-        .unionByName(versioned).unionByName(families)
-        .groupBy("model").agg(F.min_by(F.struct("card", "priority"), F.struct("priority", "position")).alias("x"))
-        .select("model", F.col("x.card").alias("card"), (F.col("x.priority") >= 100).alias("fallback"))
-    )
-    return (
-        ids.select("model", "model_id").join(best, "model", "left")
-        .join(exact.select("model", F.col("card").alias("exact_card")), "model", "left")
-        .select(
-            "model", "model_id",
-            F.coalesce("card", "exact_card").alias("source_model"),
-            F.coalesce(F.col("fallback") & (F.col("card") != F.col("model")) & (F.col("card") != F.col("model_id")), F.lit(False)).alias("inherited"),
-            F.col("card").isNotNull().alias("priced"),
-        )
-    )
 
+def card_table(cards: DataFrame) -> DataFrame:
+    """Each card with its normal id, version line, the rates it bills at, its request-size rule, and Haiku's rule, which later Haiku models inherit.
 
-def resolve_rates(models: DataFrame, cards: DataFrame) -> DataFrame:
-    """Resolved models with the rates, request-size tier and policies to bill by."""
-    spark = models.sparkSession
-    bundled = rates.bundled_cards_df(spark)
-    rules = rates.context_rules_df(spark)
-    custom = changed_cards(cards, bundled).select("model")
-    billed = cards.where(usable_card()).select("model", _effective_rates().alias("rates"))
+    The cards are put into one row and taken out again, so that each can look at the others; more than
+    BROADCAST_ROW_LIMIT are an error, so that what is broadcast of a rate card has a bound.
+    """
+    bundled = _literal([{k: c[k] for k in ("model", *rates.RATE_COLUMNS)} for c in rates.bundled_cards()], "struct<model: string, " + ", ".join(f"{c}: decimal(12,6)" for c in rates.RATE_COLUMNS) + ">")
+    listed = _literal([dict(zip(rates.RULE_SCHEMA.names, r)) for r in rates.context_rules()], rates.RULE_SCHEMA.simpleString())
+    same = " AND ".join(f"b.{c} <=> c.{c}" for c in ("model", *rates.RATE_COLUMNS))
+    named = cards.select("model", *rates.RATE_COLUMNS, "position", usable_card().alias("usable"), F.when(usable_card(), _effective_rates()).alias("rates"), M.pricing_model_id(F.col("model")).alias("model_id"))
+    lined = named.withColumn("line", M.line_and_version(F.col("model_id")))
+    raw = F.when(F.count("*") <= BROADCAST_ROW_LIMIT, F.collect_list(F.struct(*lined.columns))).otherwise(F.raise_error(F.lit("too many rate cards")))
+    one = lined.agg(raw.alias("raw")).withColumns({"bundled": bundled, "listed": listed})
+    one = one.withColumn("custom", F.expr(f"transform(filter(raw, c -> NOT exists(bundled, b -> {same})), c -> c.model)"))
     # A base card its user re-priced stays flat while the long card is untouched.
-    flat = (
-        rules.where("flat_override")
-        .join(custom.withColumnRenamed("model", "base_model"), "base_model", "left_semi")
-        .join(custom.withColumnRenamed("model", "long_model"), "long_model", "left_anti")
-        .join(cards.select(F.col("model").alias("long_model")), "long_model", "left_semi")
-        .select("base_model", F.lit(True).alias("flat"))
-    )
-    rules = (
-        rules.drop("flat_override").join(flat, "base_model", "left")
-        .join(billed.select(F.col("model").alias("base_model"), F.col("rates").alias("rule_rates")), "base_model", "left")
-        .join(billed.select(F.col("model").alias("long_model"), F.col("rates").alias("long_rates")), "long_model", "left")
-    )
-    resolved = resolve_models(models, cards).join(
-        billed.select(F.col("model").alias("source_model"), "rates"), "source_model", "left"
-    )
-    rule_key = F.when(
-        F.col("inherited") & M.is_family(F.col("model_id"), "claude-haiku-5-5"), F.lit("claude-haiku-5-5")
-    ).otherwise(F.col("source_model"))
-    return (
-        resolved.withColumn("base_model", rule_key).join(rules, "base_model", "left")
-        .withColumn("tiered", F.col("threshold").isNotNull())
-        .withColumn("base_rates", F.when(F.col("tiered") & (F.col("base_model") != F.col("source_model")), F.col("rule_rates")).otherwise(F.col("rates")))
-        .withColumn("threshold", F.when(F.col("flat").isNull(), F.col("threshold")))
-        .select("model", "model_id", "source_model", "inherited", "priced", "tiered", "base_model", "threshold",
-                "long_model", "unknown_size", "missing_long", "base_rates", "long_rates")
-    )
+    flat = "r.flat_override AND array_contains(custom, r.base_model) AND NOT array_contains(custom, r.long_model) AND exists(raw, c -> c.model = r.long_model)"
+
+    def rates_of(model: str) -> str:
+        return f"get(filter(raw, c -> c.model = r.{model}), 0).rates"
 
+    rules = f"""transform(listed, r -> struct(r.base_model, if({flat}, NULL, r.threshold) AS threshold, r.long_model, r.unknown_size, r.missing_long,
+        {rates_of('base_model')} AS rule_rates, {rates_of('long_model')} AS long_rates))"""
+    ruled = one.withColumn("rules", F.expr(rules)).selectExpr("rules", f"get(filter(rules, r -> r.base_model = '{HAIKU}'), 0) AS haiku", "explode(raw) AS c")
+    return ruled.selectExpr("c.model AS card", "c.model_id", "c.line", "c.usable", "c.position", "c.rates", "get(filter(rules, r -> r.base_model = c.model), 0) AS rule", "haiku")
 
-# The last few resolutions, by the ids and the full content of the cards.
-_resolved: OrderedDict[tuple, DataFrame] = OrderedDict()
 
+def with_rates(df: DataFrame, cards: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Rows with ``_r``: what their model is billed by, in the plan of the query that asks.
 
-def resolved_dimension(requests: DataFrame, cards: DataFrame) -> DataFrame:
-    """resolve_rates over the distinct ids in use, broadcast after a size check.
+    Order: the id itself, its normal form, the newest older version of the same line, a
+    Claude family, a Copilot family. Unusable cards are passed over.
 
-    Ids and cards are read anew each time, up to the limit of a broadcast, so an edited
-    card always takes effect; only the same ids with the same cards are not resolved twice.
+    ``ids`` is a table whose column model holds the ids in use, for callers that can read it at
+    little cost: they are resolved once each and broadcast, and more than BROADCAST_ROW_LIMIT are an error
+    that asks for the way without. Without ``ids``, each row is resolved where it is.
     """
-    spark = requests.sparkSession
-    models = requests.select("model").where("model is not null").distinct()
-    ids = small_table(models)
     if ids is None:
-        return resolve_rates(models, cards)
-    lazy = resolve_rates(spark.createDataFrame(ids, models.schema), cards)
-    rows = small_table(cards)
-    if rows is None:
-        return F.broadcast(lazy)
-    content = frozenset(tuple(r.values()) for r in rows.to_pylist())
-    key = (spark.sparkContext.applicationId, frozenset(ids["model"].to_pylist()), content)
-    if key not in _resolved:
-        _resolved[key] = spark.createDataFrame(lazy.toArrow(), lazy.schema)
-        if len(_resolved) > 8:
-            _resolved.popitem(last=False)
-    return F.broadcast(_resolved[key])
+        return _rates_by_row(df, cards)
+    few = ids.select("model").where("model is not null").distinct().limit(BROADCAST_ROW_LIMIT + 1)
+    # A limit leaves one partition, so this numbers its rows.
+    beyond = F.monotonically_increasing_id() >= BROADCAST_ROW_LIMIT
+    counted = few.withColumn("model", F.when(beyond, F.raise_error(F.lit("too many model ids: leave out ids")).cast("string")).otherwise(F.col("model")))
+    known = _rates_by_row(counted, cards).withColumnRenamed("model", "_m")
+    return df.join(F.broadcast(known), F.col("model") == F.col("_m"), "left").drop("_m")
+
+
+def _rates_by_row(df: DataFrame, cards: DataFrame) -> DataFrame:
+    """Rows with ``_r``. The normal form and all later steps are only worked out for ids that no
+    usable card spells the same way; they look at the names of the cards that share the id's first part.
+    Rates are met last, by the card that was found.
+    """
+    table, model = card_table(cards), F.col("model")
+    direct = df.join(F.broadcast(table.select(F.col("card").alias("_n1"), F.col("usable").alias("_u1"))), model == F.col("_n1"), "left")
+    named = direct.withColumn("_id", F.when(model.isNotNull() & ~F.coalesce("_u1", F.lit(False)), M.pricing_model_id(model)))
+    heads = table.withColumn("_head", F.explode(M.heads(F.col("card"), F.col("model_id")))).groupBy("_head").agg(F.collect_list(F.struct("card", "usable", "line", "position")).alias("_cards"))
+    headed = named.withColumn("_h", M.head(F.col("_id"))).join(F.broadcast(heads), F.col("_h") == F.col("_head"), "left")
+    # A name that exists is the exact card even when it is unusable.
+    normal = headed.withColumn("_e", F.when(F.col("_n1").isNotNull(), F.struct(F.col("_n1").alias("card"), F.col("_u1").alias("usable"))).otherwise(F.expr("get(transform(filter(_cards, x -> x.card = _id), x -> struct(x.card, x.usable)), 0)")))
+    sound = F.coalesce(F.col("_e.usable"), F.lit(False))
+    open_id = F.col("_cards").isNotNull() & ~sound
+    told = normal.withColumns({"_line": F.when(open_id, M.line_and_version(F.col("_id"))), "_families": F.when(open_id, F.expr(M.family_candidates("_id")))})
+    newest = F.expr("array_min(transform(filter(_cards, x -> x.usable AND x.line.tier = _line.tier AND x.line.version <= _line.version), x -> struct(-x.line.version AS v, x.position AS p, x.card AS card))).card")
+    family = F.expr("array_min(filter(transform(_cards, x -> struct(if(x.usable, get(filter(_families, f -> f.card = x.card), 0).priority, NULL) AS v, x.card AS card)), o -> o.v IS NOT NULL)).card")
+    found = told.withColumn("_found", F.when(sound, F.col("_e.card")).when(F.col("_families").isNotNull(), F.coalesce(newest, family)))
+    inherited = F.coalesce(~sound & (F.col("_found") != model) & (F.col("_found") != F.col("_id")), F.lit(False))
+    as_haiku = F.coalesce(inherited & M.is_family(F.col("_id"), HAIKU), F.lit(False))
+    known = found.select(*df.columns, F.coalesce("_found", "_e.card").alias("_card"), F.col("_found").isNotNull().alias("_priced"), inherited.alias("_inherited"), as_haiku.alias("_as_haiku"))
+    met = known.join(F.broadcast(table.select(F.col("card").alias("_n3"), "rates", "rule", "haiku").withColumnsRenamed({"rates": "_own", "rule": "_own_rule", "haiku": "_haiku"})), F.col("_card") == F.col("_n3"), "left")
+    ruled = met.withColumn("_rule", F.when(F.col("_as_haiku"), F.col("_haiku")).otherwise(F.col("_own_rule")))
+    rule = F.col("_rule")
+    base = F.when(F.col("_as_haiku"), HAIKU).otherwise(F.col("_card"))
+    billed = F.struct(
+        F.col("_card").alias("source_model"), F.col("_inherited").alias("inherited"), F.col("_priced").alias("priced"), rule.isNotNull().alias("tiered"), base.alias("base_model"),
+        *[rule[n].alias(n) for n in ("threshold", "long_model", "unknown_size", "missing_long", "long_rates")],
+        F.when(rule.isNotNull() & (base != F.col("_card")), rule["rule_rates"]).otherwise(F.col("_own")).alias("base_rates"),
+    )
+    return ruled.select(*df.columns, billed.alias("_r"))
+
+
+def resolve_models(models: DataFrame, cards: DataFrame) -> DataFrame:
+    """One row per model id: the card it is billed by and how it was found."""
+    ids = models.select("model").where("model is not null").distinct()
+    return with_rates(ids, cards).select("model", M.pricing_model_id(F.col("model")).alias("model_id"), "_r.source_model", "_r.inherited", "_r.priced", "_r.base_rates")
 
 
 # ---------------------------------------------------------------- request cost
@@ -250,65 +221,68 @@ def billed_buckets() -> dict[str, Column]:
     }
 
 
-def with_cost(df: DataFrame, resolved: DataFrame) -> DataFrame:
+def with_cost(df: DataFrame, cards: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Price rows that carry model, size_class and a struct ``billed``.
 
     The cost is linear in the billed buckets, so a row may be one request or
     the sums of many with the same model and size class.
     """
-    joined = df.join(resolved.withColumnRenamed("model", "_model"), F.col("model") == F.col("_model"), "left")
-    unknown = F.col("tiered") & (F.col("size_class") < 0)
-    above = F.col("tiered") & (F.col("size_class") > _threshold_class(F.col("threshold")))
-    unpriced_size = unknown & (F.col("unknown_size") == "unpriced")
-    no_long = above & F.col("long_rates").isNull()
+    joined = with_rates(df, cards, ids)
+    unknown = F.col("_r.tiered") & (F.col("size_class") < 0)
+    above = F.col("_r.tiered") & (F.col("size_class") > _threshold_class(F.col("_r.threshold")))
+    unpriced_size = unknown & (F.col("_r.unknown_size") == "unpriced")
+    no_long = above & F.col("_r.long_rates").isNull()
     billed_at = (
         F.when(unpriced_size, None)
-        .when(above & F.col("long_rates").isNotNull(), F.col("long_rates"))
-        .when(no_long & (F.col("missing_long") == "unpriced"), None)
-        .otherwise(F.col("base_rates"))
+        .when(above & F.col("_r.long_rates").isNotNull(), F.col("_r.long_rates"))
+        .when(no_long & (F.col("_r.missing_long") == "unpriced"), None)
+        .otherwise(F.col("_r.base_rates"))
     )
-    cost = reduce(lambda a, b: a + b, [
-        F.col(f"billed.{b}").cast("decimal(20,0)") * F.col(f"_rates.{b}") for b in BILLED
-    ]).cast("decimal(38,0)")
+    # Whole numbers of 64 bits hold nine products of these sizes; decimals hold all others.
+    small = (F.greatest(*[F.col(f"billed.{b}") for b in BILLED]) < 1 << 30) & (F.greatest(*[F.col(f"_rates.{b}") for b in BILLED]) < 1 << 29)
+    short = reduce(lambda a, b: a + b, [F.col(f"billed.{b}").cast("bigint") * F.col(f"_rates.{b}").cast("bigint") for b in BILLED]).cast("decimal(38,0)")
+    exact = reduce(lambda a, b: a + b, [F.col(f"billed.{b}").cast("decimal(20,0)") * F.col(f"_rates.{b}") for b in BILLED]).cast("decimal(38,0)")
+    cost = F.when(small, short).otherwise(exact)
     warning = F.when(F.col("cost_pico").isNull(), F.when(F.col("model").isNull(), "unknown_pricing")
                      .when(unpriced_size, "unknown_request_context")
-                     .otherwise(F.concat(F.lit("unknown_pricing_model:"), F.col("model_id"))))
-    assumption = F.when(unknown & (F.col("unknown_size") == "short-context"),
-                        F.concat(F.lit("assumed_short_context_rates:"), F.col("base_model")))
-    assumption = assumption.when(no_long & (F.col("missing_long") == "base"),
-                                 F.concat(F.lit("missing_long_context_pricing:"), F.col("base_model")))
+                     .otherwise(F.concat(F.lit("unknown_pricing_model:"), M.pricing_model_id(F.col("model")))))
+    assumption = F.when(unknown & (F.col("_r.unknown_size") == "short-context"),
+                        F.concat(F.lit("assumed_short_context_rates:"), F.col("_r.base_model")))
+    assumption = assumption.when(no_long & (F.col("_r.missing_long") == "base"),
+                                 F.concat(F.lit("missing_long_context_pricing:"), F.col("_r.base_model")))
     return (
         joined.withColumn("_rates", billed_at)
         .withColumn("cost_pico", cost)
         .withColumn("price_warning", warning)
         .withColumn("price_assumption", assumption)
-        .withColumn("long_context", F.coalesce(above & F.col("long_rates").isNotNull(), F.lit(False)))
-        .select(*df.columns, "source_model", "inherited", "long_context", "cost_pico", "price_warning", "price_assumption")
+        .withColumn("long_context", F.coalesce(above & F.col("_r.long_rates").isNotNull(), F.lit(False)))
+        .select(*df.columns, "_r.source_model", "_r.inherited", "long_context", "cost_pico", "price_warning", "price_assumption")
     )
 
 
 def pico_to_micro(c: Column) -> Column:
     """Round to whole micro-USD, half up (costs are never negative)."""
     half_up = c + F.lit(500_000).cast("decimal(38,0)")
-    return F.call_function("div", half_up, F.lit(1_000_000).cast("decimal(38,0)")).cast("bigint")
+    whole = F.call_function("div", half_up, F.lit(1_000_000).cast("decimal(38,0)")).cast("bigint")
+    return F.when(c < 10**18, F.call_function("div", c.cast("bigint") + 500_000, F.lit(1_000_000))).otherwise(whole)
 
 
 def micro_to_usd(c: Column) -> Column:
     return c.cast("double") / F.lit(1_000_000.0)
 
 
-def price_requests(requests: DataFrame, cards: DataFrame) -> DataFrame:
+def price_requests(requests: DataFrame, cards: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Each request with its unrounded cost, card, warning and assumption."""
     prepared = requests.withColumn("size_class", size_class(F.col("request_input_tokens"))).withColumn(
         "billed", F.struct(*[c.alias(b) for b, c in billed_buckets().items()])
     )
-    priced = with_cost(prepared, resolved_dimension(requests, cards))
+    priced = with_cost(prepared, cards, ids)
     return priced.drop("billed", "size_class")
 
 
 # ---------------------------------------------------------------- session cost
 
-def session_slices(requests: DataFrame, cards: DataFrame, key: list[str], session_models: DataFrame | None = None) -> DataFrame:
+def session_slices(requests: DataFrame, cards: DataFrame, key: list[str], session_models: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
     """One row per (session, model): tokens, request count and cost.
 
     Requests are summed by (session, model, size class) before anything else,
@@ -333,8 +307,7 @@ def session_slices(requests: DataFrame, cards: DataFrame, key: list[str], sessio
         filled = sums.join(session_models.withColumnRenamed("session_model", "_fallback"), key, "left")
     filled = filled.withColumn("model", F.coalesce("model", "_fallback")).drop("_fallback")
     filled = filled.withColumn("billed", F.struct(*[F.col(f"b_{b}").alias(b) for b in BILLED])).drop(*[f"b_{b}" for b in BILLED])
-    models = requests.select("model") if session_models is None else requests.select("model").union(session_models.select("session_model"))
-    priced = with_cost(filled, resolved_dimension(models, cards))
+    priced = with_cost(filled, cards, ids)
     return priced.groupBy(*key, "model").agg(
         F.sum("request_count").alias("request_count"),
         F.min("first_ord").alias("first_ord"),

@@ -90,7 +90,7 @@ class Tables:
 
     @cached_property
     def slices(self) -> DataFrame:
-        return pricing.session_slices(self.requests, self.cards, ["session_id"])
+        return pricing.session_slices(self.requests, self.cards, ["session_id"], ids=self.requests)
 
     @cached_property
     def costs(self) -> DataFrame:

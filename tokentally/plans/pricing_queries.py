@@ -38,13 +38,13 @@ def _(t: Tables) -> DataFrame:
 @query("request_context_tier", """
 SELECT session_id, ord, source_model, long_context, price_warning, price_assumption FROM tt_priced""")
 def _(t: Tables) -> DataFrame:
-    return pricing.price_requests(t.requests, t.cards).select("session_id", "ord", "source_model", "long_context", "price_warning", "price_assumption")
+    return pricing.price_requests(t.requests, t.cards, t.requests).select("session_id", "ord", "source_model", "long_context", "price_warning", "price_assumption")
 
 
 @query("request_cost", """
 SELECT session_id, ord, model, CAST((cost_pico + 500000) // 1000000 AS DOUBLE) / 1000000.0 AS cost_usd FROM tt_priced""")
 def _(t: Tables) -> DataFrame:
-    priced = pricing.price_requests(t.requests, t.cards)
+    priced = pricing.price_requests(t.requests, t.cards, t.requests)
     return priced.select("session_id", "ord", "model", pricing.micro_to_usd(pricing.pico_to_micro(F.col("cost_pico"))).alias("cost_usd"))
 
 

@@ -241,7 +241,7 @@ GAP = f"""CASE WHEN list_has_any(warnings, ['unknown_request_context', 'missing_
 
 @query("pricing_gap_reason", f"SELECT id, {GAP} AS gap_reason FROM tt_sessions WHERE cost_micro IS NULL AND total_tokens > 0")
 def _(t: Tables) -> DataFrame:
-    resolved = pricing.resolved_dimension(t.requests, t.cards).select("model", F.col("base_rates").isNotNull().alias("priced"))
+    resolved = pricing.resolve_models(t.requests, t.cards).select("model", F.col("base_rates").isNotNull().alias("priced"))
     return reports.with_gap_reason(t.sessions.where(X.is_unpriced()), resolved).select("id", "gap_reason")
 
 
@@ -252,7 +252,7 @@ SELECT count(*) AS total, count(*) FILTER (WHERE reason = 'missingPrice') AS mis
   (SELECT string_agg(m, ';' ORDER BY m) FROM (SELECT DISTINCT unnest(CASE WHEN len(unpriced) > 0 THEN unpriced ELSE [model] END) AS m FROM g WHERE reason = 'missingPrice')) AS missing_price_models
 FROM g""")
 def _(t: Tables) -> DataFrame:
-    resolved = pricing.resolved_dimension(t.requests, t.cards).select("model", F.col("base_rates").isNotNull().alias("priced"))
+    resolved = pricing.resolve_models(t.requests, t.cards).select("model", F.col("base_rates").isNotNull().alias("priced"))
     return reports.pricing_gap_summary(t.sessions, resolved).withColumn("missing_price_models", F.array_join("missing_price_models", ";"))
 
 
