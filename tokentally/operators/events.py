@@ -15,6 +15,7 @@ from tokentally.functions import models as M
 from tokentally.functions.records import collapse, file_stem, first_text, scaled_instant
 from tokentally.operators import otel
 from tokentally.operators.rollout import FILE
+from tokentally.runtime import reliable_checkpoint
 
 # File kinds that tell of activity.
 ACTIVITY_KINDS = ("transcript", "session_state")
@@ -30,8 +31,10 @@ def _text_of(variant: str) -> str:
     return f"if(schema_of_variant({variant}) = 'STRING', cast({variant} AS string), NULL)"
 
 
-def activity_rows(records: DataFrame) -> DataFrame:
-    """One row per event of a transcript or session state: time, role, text, session, folder, model, title, tokens, tool use."""
+def event_rows(records: DataFrame) -> DataFrame:
+    """One slim row per line: where it stands, whether it parsed, and for events of a transcript or session state
+    time, role, text, session, folder, model, title, tokens and tool use.
+    """
     arguments = f"lower(coalesce({_text_of('r.arguments')}, ''))"
     name = "lower(coalesce(r.name, ''))"
 
@@ -41,8 +44,8 @@ def activity_rows(records: DataFrame) -> DataFrame:
     output = "try_cast(rec.data.outputTokens AS double)"
     model = first_text(*[f"trim(rec.{n})" for n in ("data.newModel", "data.currentModel", "data.model", "model")])
     kinds = ", ".join(f"'{k}'" for k in ACTIVITY_KINDS)
-    return records.where(f"NOT bad AND kind IN ({kinds})").selectExpr(
-        *FILE, "ord",
+    return records.selectExpr(
+        *FILE, "ord", "kind", "surface", "fallback_cwd", "bad", f"NOT bad AND kind IN ({kinds}) AS active",
         f"coalesce({_instant('rec.timestamp', 'rec.ts', 'rec.data.startTime')}, if(kind = 'transcript', timestamp_millis(mtime_ms), NULL)) AS at",
         "CASE WHEN startswith(trim(rec.type), 'user.') THEN 'user' WHEN startswith(trim(rec.type), 'assistant.') THEN 'assistant' WHEN trim(rec.data.role) IN ('user', 'assistant') THEN trim(rec.data.role) END AS role",
         f"{first_text('trim(rec.data.sessionId)', 'trim(rec.sessionId)', 'trim(rec.sid)')} AS session",
@@ -57,6 +60,11 @@ def activity_rows(records: DataFrame) -> DataFrame:
     )
 
 
+def activity_rows(events: DataFrame) -> DataFrame:
+    """The events that tell of activity."""
+    return events.where("active")
+
+
 def _at(value: str, keep: str, last: bool = False) -> Column:
     """The first or last value, by place in the file, among rows that meet a condition."""
     pick = F.max_by if last else F.min_by
@@ -83,19 +91,19 @@ def prompt_rows(rows: DataFrame) -> DataFrame:
     return rows.where("role is not null and trim(text) <> ''").select(*FILE, "ord", "role", F.expr(collapse("text")).alias("text"), "at")
 
 
-def files_of(records: DataFrame) -> DataFrame:
+def files_of(events: DataFrame) -> DataFrame:
     """One row per file: kind, surface, folder, records, unparsable lines, and its activity."""
-    listed = records.groupBy(*FILE).agg(
+    listed = events.groupBy(*FILE).agg(
         F.max("kind").alias("kind"), F.max("surface").alias("surface"), F.max(F.nullif(F.trim("fallback_cwd"), F.lit(""))).alias("fallback_cwd"),
         F.count_if(~F.col("bad")).alias("raw_event_count"), F.count_if("bad").alias("parse_error_count"),
     )
-    joined = listed.join(file_activity(activity_rows(records)), FILE, "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in COUNTS})
+    joined = listed.join(file_activity(activity_rows(events)), FILE, "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in COUNTS})
     return joined.withColumn("id", F.coalesce("told_id", file_stem(F.col("file")))).withColumn("cwd", F.coalesce("fallback_cwd", "told_cwd")).drop("told_id", "told_cwd", "fallback_cwd")
 
 
-def output_events(records: DataFrame, files: DataFrame, telemetry: DataFrame) -> DataFrame:
+def output_events(events: DataFrame, files: DataFrame, telemetry: DataFrame) -> DataFrame:
     """Token events of activity files without telemetry: output counts alone, so any detailed file of the session replaces them."""
-    some = activity_rows(records).where("output_tokens > 0").select(*FILE, "ord", "at", "output_tokens")
+    some = activity_rows(events).where("output_tokens > 0").select(*FILE, "ord", "at", "output_tokens")
     named = some.join(files.select(*FILE, F.col("id").alias("session_id")), FILE).join(telemetry.select(*FILE).distinct(), FILE, "left_anti")
     zero = {c: F.lit(0).cast("bigint") for c in otel.TOKENS if c != "output_tokens"}
     key = F.concat(F.lit("transcript-output:"), "file", F.lit(":"), F.col("ord").cast("string"))
@@ -105,8 +113,8 @@ def output_events(records: DataFrame, files: DataFrame, telemetry: DataFrame) ->
 EVENT = [*FILE, "ord", "session_id", "dedup_key", "detailed", "at", "model", "duration_ms", "request_input_tokens", *otel.TOKENS]
 
 
-def all_events(records: DataFrame, files: DataFrame, telemetry: DataFrame) -> DataFrame:
-    return telemetry.select(*EVENT).unionByName(output_events(records, files, telemetry).select(*EVENT))
+def all_events(events: DataFrame, files: DataFrame, telemetry: DataFrame) -> DataFrame:
+    return telemetry.select(*EVENT).unionByName(output_events(events, files, telemetry).select(*EVENT))
 
 
 def session_parts(files: DataFrame, telemetry: DataFrame) -> DataFrame:
@@ -141,9 +149,11 @@ def merged_parts(parts: DataFrame) -> DataFrame:
 
 def merged_sessions(records: DataFrame, hints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Sessions of telemetry and event logs, and their token events after the merge."""
-    telemetry = otel.file_events(records)
-    files = files_of(records)
-    events = otel.merge_events(all_events(records, files, telemetry))
+    # Slim rows are kept, so that records are parsed once for telemetry and once for activity.
+    rows = reliable_checkpoint(event_rows(records))
+    telemetry = reliable_checkpoint(otel.file_events(records).select(*EVENT))
+    files = reliable_checkpoint(files_of(rows))
+    events = reliable_checkpoint(otel.merge_events(all_events(rows, files, telemetry)))
     sums = events.groupBy(*otel.SESSION).agg(*[F.sum(c).alias(c) for c in otel.TOKENS], F.count("*").alias("events"), F.max("fragments").alias("fragments"))
     sessions = merged_parts(session_parts(files, telemetry)).join(sums, otel.SESSION, "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in [*otel.TOKENS, "events"]})
     if hints is not None:
