@@ -97,6 +97,37 @@ def declared_total(value: Column) -> Column:
     return F.coalesce(value.try_cast("double").cast("bigint"), *keys, F.lit(0).cast("bigint"))
 
 
+# ---------------------------------------------------------------- nested values
+
+def nested_text(text: str, keys: tuple[str, ...]) -> str:
+    """Text, or a list of texts, under the first of some keys that any object of a JSON document has, at any depth.
+
+    Objects are visited from the document inwards, the last written child first, each before what it holds; in each the keys
+    are tried in their order. A stack of objects and lists as JSON text, which keeps the written order, is
+    worked down one step for each bracket of the text, which bounds their number. NULL without a find.
+    """
+    kind = "schema_of_variant({})"
+    tried = []
+    for key in keys:
+        value = f"try_element_at(x.v, '{key}')"
+        tried.append(
+            f"CASE WHEN {kind.format(value)} = 'STRING' THEN nullif(cast({value} AS string), '') "
+            f"WHEN {kind.format(value)} IN ('ARRAY<STRING>', 'ARRAY<VOID>') AND NOT exists(cast({value} AS array<variant>), i -> is_variant_null(i)) THEN array_join(cast({value} AS array<string>), ' ') END"
+        )
+    inner = f"(t, v) -> if(startswith({kind.format('v')}, 'OBJECT') OR startswith({kind.format('v')}, 'ARRAY'), t, NULL)"
+    children = f"array_compact(zip_with(coalesce(map_values(x.t), x.at), coalesce(map_values(x.v), x.av), {inner}))"
+
+    def read(first: str, form: str) -> str:
+        return f"if(startswith(ltrim(c), '{first}'), from_json(c, '{form}'), NULL)"
+
+    parsed = f"named_struct('t', {read('{', 'map<string, string>')}, 'v', {read('{', 'map<string, variant>')}, 'at', {read('[', 'array<string>')}, 'av', {read('[', 'array<variant>')})"
+    rest = "slice(s.stack, 1, size(s.stack) - 1)"
+    visit = f"x -> named_struct('stack', concat({rest}, coalesce({children}, cast(array() AS array<string>))), 'found', coalesce({', '.join(tried)}))"
+    step = f"get(transform(array(element_at(s.stack, -1)), c -> get(transform(array({parsed}), {visit}), 0)), 0)"
+    steps = f"sequence(1, greatest(1, length({text}) - length(translate({text}, '{{[', ''))))"
+    return f"aggregate({steps}, named_struct('stack', array({text}), 'found', cast(NULL AS string)), (s, i) -> if(s.found IS NOT NULL OR size(s.stack) = 0, s, {step}), s -> s.found)"
+
+
 # ---------------------------------------------------------------- paths
 
 def file_stem(path_column: Column) -> Column:

@@ -213,7 +213,8 @@ class Tables:
         stdin = record("response_item", "'type', 'function_call', 'name', 'write_stdin', 'call_id', concat('c', k % 12), 'arguments', to_json(named_struct('session_id', k % 6))")
         text = "CASE WHEN k % 4 = 0 THEN concat('Process running with session ID ', k % 6) WHEN k % 5 = 1 THEN concat('Process exited with code ', k % 3) ELSE 'done' END"
         output = record("response_item", f"'type', 'function_call_output', 'call_id', concat('c', k % 12), 'exit_code', if(k % 5 = 1, NULL, k % 3), 'output', {text}")
-        loose = record("response_item", "'type', 'function_call_output', 'command', array('find', concat('x', k % 4)), 'exit_code', k % 3")
+        deep = "named_struct('steps', array(named_struct('first', named_struct('inner', named_struct('command', array('find', concat('x', k % 4)))))))"
+        loose = record("response_item", f"'type', 'function_call_output', 'detail', {deep}, 'exit_code', k % 3")
         said = "CASE WHEN k % 20 = 1 THEN '<environment_context> <INSTRUCTIONS> x' WHEN k % 10 = 0 THEN '/compact now' ELSE concat('note  ', k % 4) END"
         user = record("event_msg", f"'type', 'user_message', 'message', {said}")
         reply = record("response_item", "'type', 'message', 'role', 'assistant', 'content', array(named_struct('type', 'output_text', 'text', 'Reply'), named_struct('type', 'output_text', 'text', 'two  words'))")
