@@ -359,8 +359,11 @@ def fit(documents: DataFrame, text_column: str = "text", sample: int = SAMPLE, m
     text = F.col(text_column).cast("string")
     # Java matches these at a given place in a bounded number of steps.
     likely = text.rlike(r"[A-Za-z0-9]@[A-Za-z0-9-]|\+[0-9][ 0-9(]|[0-9]{4}[ -]?[0-9]{4}|[0-9]\.[0-9]{1,3}\.[0-9]")
-    rows = documents.select(text.alias("text")).where((F.length("text") <= most) & likely).distinct().orderBy(F.xxhash64("text"), "text").limit(sample)
-    return train([r.text for r in rows.collect()])
+    hashed = documents.select(text.alias("text")).where((F.length("text") <= most) & likely).withColumn("h", F.xxhash64("text"))
+    # Hashes alone are ordered; the few texts are fetched by them.
+    chosen = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
+    texts = hashed.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("text").alias("text"))
+    return train([r.text for r in sorted(texts.collect())])
 
 
 # ---------------------------------------------------------------- on tables
