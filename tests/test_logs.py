@@ -136,6 +136,24 @@ def test_lines_keep_their_order_and_bad_ones_are_marked(spark, tmp_path):
     assert len({r.ord for r in rows}) == 500 and {r.host for r in rows} == {"box"} and rows[0].file.endswith("/a b.jsonl")
 
 
+def test_line_numbers_do_not_depend_on_the_split(spark, tmp_path):
+    bodies = {"a.jsonl": "".join(f'{{"id": "{i}"}}' + ("\r\n" if i % 3 else "\n\n") for i in range(900)), "b.jsonl": '\n{bad\n{"id": "x"}', "c.log": "", "d.jsonl": '{"id": "' + "long" * 3000 + '"}\n{oops'}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body.encode())
+    found = []
+    for size in ("700", "5000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            records = files.parse_records(files.read_lines(spark, str(tmp_path)), schemas.ROLLOUT)
+            found.append(sorted((r.file[-7:], r.ord, r.line) for r in records.collect()))
+            errors = sorted((r.file[-7:], r.error) for r in files.parse_errors(records).collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert errors == [("b.jsonl", "jsonl_line_2"), ("d.jsonl", "jsonl_line_2")]
+    expected = sorted((name, i, line.strip()) for name, body in bodies.items() for i, line in enumerate(body.replace("\r\n", "\n").split("\n")) if line.strip())
+    assert [[(f.rsplit("/", 1)[-1], o, l) for f, o, l in rows] for rows in found] == [expected] * 3
+
+
 def test_documents_are_lists_objects_or_lines(spark, tmp_path):
     (tmp_path / "list.json").write_text('[{"id": "a"},\n {"id": "b"}]')
     (tmp_path / "one.json").write_text('{\n"id": "c"}')

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokentally.functions.records import file_stem
 
-ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in its low 33 bits
-
 
 def _host(pattern: str) -> Column:
     return F.regexp_extract("file", pattern, 1)
@@ -32,20 +30,23 @@ def read_lines(
 ) -> DataFrame:
     """Lines of every matching file below a path: host, file, ord, line, mtime_ms, size.
 
-    Files are split between tasks, so one huge file is read by many. A line's
-    ordinal is the offset of its block plus its row number in the task, which
-    is below the block length: ordinals rise within a file and never collide.
+    A line's ordinal is its number in the file, from 0, blank lines counted, however the file is split.
+    Files are split between tasks, so one huge file is read by many. A first pass counts the lines of each block, sums of
+    earlier blocks give where each block begins, and the second pass adds the row number in the block.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    lines = reader.text(path).select(
+    rows = reader.text(path).select(
         F.col("_metadata.file_path").alias("_uri"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"),
         F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("line"),
     )
-    if max_bytes is not None:
-        lines = lines.where(F.col("size") <= max_bytes)
-    named = lines.withColumn("file", file_name(F.col("_uri")))
+    # Both passes split the files alike, so a row has the same id in both; ids of a block follow each other.
+    blocks = rows.groupBy("_uri", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_uri").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = blocks.select("_uri", "_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    lines = rows.where(F.col("size") <= max_bytes) if max_bytes is not None else rows
+    named = lines.join(begins, ["_uri", "_block"]).withColumn("file", file_name(F.col("_uri")))
     return named.select(
-        _host(host_pattern).alias("host"), "file", (F.col("_block") + F.col("_id").bitwiseAND(F.lit(ROW_BITS))).alias("ord"),
+        _host(host_pattern).alias("host"), "file", (F.col("_id") + F.col("_shift")).alias("ord"),
         F.regexp_replace("line", r"^\s+|\s+$", "").alias("line"), "mtime_ms", "size",
     ).where("line <> ''")
 
@@ -90,8 +91,8 @@ def parse_records(lines: DataFrame, schema: str) -> DataFrame:
 
 
 def parse_errors(records: DataFrame) -> DataFrame:
-    """One row per line that is not JSON, coded by its place in the file."""
-    return records.where("bad").select("host", "file", "ord", F.concat(F.lit("jsonl_line_"), F.col("ord").cast("string")).alias("error"))
+    """One row per line that is not JSON, coded by its line number, from 1."""
+    return records.where("bad").select("host", "file", "ord", F.concat(F.lit("jsonl_line_"), (F.col("ord") + 1).cast("string")).alias("error"))
 
 
 def listing(lines: DataFrame) -> DataFrame:
