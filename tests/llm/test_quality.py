@@ -1,12 +1,13 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 from helpers import LONG, frame
 from pyspark.sql import functions as F
 
-from tokentally.llm.common import text_buffers
-from tokentally.llm.quality import counts, features, fit, sample, score
+from tokentally.llm.common import _BYTE, _PLACE, U64, mix, span_hashes, text_buffers
+from tokentally.llm.quality import Model, counts, features, fit, sample, score
 
 SF = "/root/testdata/sf0.01"
 
@@ -27,8 +28,8 @@ def test_features_stay_inside_words_and_rows():
     texts = ["abcd abcd", "", "xyz", None, "a  a A", "é" * 3]
     feature, row = features(*text_buffers(pa.array(texts)))
     n = np.bincount(row, minlength=len(texts)).tolist()
-    # Two forms of each word, equal neighbours, 3-grams and 4-grams.
-    assert n == [2 * 2 + 1 + 2 * 2 + 2 * 1, 0, 2 + 1, 0, 2 * 3 + 2, 2 + 4 + 3]
+    # Two forms of each word, 3-grams and 4-grams of characters.
+    assert n == [2 * 2 + 2 * 2 + 2 * 1, 0, 2 + 1, 0, 2 * 3, 2 + 1]
     alone = features(*text_buffers(pa.array(["xyz"])))[0]
     assert sorted(alone) == sorted(feature[row == 2])
     r, f, c = counts(feature, row, 1 << 16)
@@ -54,3 +55,46 @@ def test_sample_takes_six_thousand_texts(spark):
     docs = spark.range(6500).selectExpr("id AS doc_id", "concat('text ', id) AS text")
     labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
     assert sample(docs, labels).count() == 6000
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    rows = [(1, f"text {i}") for i in range(3000)] + [(2, "x " * 40_000), (2, "short"), (3, None), (3, "")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    found = sample(frame(spark, rows), labels).collect()
+    assert sorted((r.doc_id, r.label) for r in found) == [(1, 1), (2, 0), (3, 0)]
+    assert {r.text for r in found if r.doc_id == 2} == {"short"}
+
+
+def plain_features(text, buckets=1 << 16):
+    """Features of one text, word by word and character by character, through hashes of single spans."""
+    words = [w for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+
+    def of(parts, fold=False):
+        data = np.frombuffer("\n".join(parts).encode(), np.uint8)
+        ends = np.cumsum([len(p.encode()) + 1 for p in parts]) - 1
+        starts = ends - np.array([len(p.encode()) for p in parts])
+        return span_hashes(data, starts, ends, fold)
+
+    found = []
+    if words:
+        found += [int(h) for h in of(words, True)] + [int(h) ^ 0x5BD1E995 for h in of(words)]
+    one = lambda c: int(mix(np.array([sum(int(_BYTE[b]) * int(_PLACE[j]) for j, b in enumerate(c.encode())) % 2**64], U64))[0])
+    for n in (3, 4):
+        for w in words:
+            for i in range(len(w) - n + 1):
+                total = (sum(one(c) * int(_PLACE[j]) for j, c in enumerate(w[i : i + n])) + n) % 2**64
+                found.append(int(mix(np.array([total], U64))[0]))
+    return sorted((h * 0x9E3779B97F4A7C15 % 2**64) >> 48 for h in found)
+
+
+def test_features_and_scores_equal_plain_python(spark):
+    texts = ["Ab ab", "", "naïve élève naïve", "日本語です x", "a\tbcd\n efgh", " 😀😀😀 "]
+    for text in texts:
+        feature, row = features(*text_buffers(pa.array([text])))
+        assert sorted(feature.tolist()) == plain_features(text)
+    rng = np.random.default_rng(4)
+    model = Model(rng.normal(size=(1 << 16, 4)).astype(np.float32), rng.normal(size=(2, 4)).astype(np.float32), np.array([0.1, -0.2], np.float32))
+    for r in score(frame(spark, list(enumerate(texts))), model).collect():
+        vectors = [model.vectors[f] for f in plain_features(r.text)]
+        logits = model.weights @ (np.mean(vectors, 0) if vectors else np.zeros(4)) + model.biases
+        assert abs(r.score - np.exp(logits[1]) / np.exp(logits).sum()) < 1e-5

@@ -1,8 +1,7 @@
 """Quality of texts by supervised subword embeddings.
 
-Features of a text are its words (without ASCII case), its words as written, the byte n-grams
-inside each word, and pairs of equal words in a row (one feature, whatever the word), hashed
-into one table of learned vectors. A text is the average of
+Features of a text are its words (without ASCII case), its words as written and the character
+n-grams inside each word, hashed into one table of learned vectors. A text is the average of
 the vectors of all its features; a linear layer and a softmax give the class. The table and
 the layer are trained by stochastic gradient descent on a bounded, stated number of labelled
 texts. Averages are linear, so a trained model scores a text by one number for each feature:
@@ -18,45 +17,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokentally.llm.common import _BYTE, _PLACE, U64, annotate, blocks, map_arrow, mix, span_hashes, word_spans
+from tokentally.llm.common import _BYTE, _PLACE, U64, annotate, blocks, grouped_arange, map_arrow, mix, span_hashes, word_spans
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 GRAMS = (3, 4)
 EPOCHS = 6
 RATE = 0.3
-# Labelled texts that a model is fitted on: the first in the order of a hash of doc_id.
-SAMPLE = 6000
+# Labelled texts that a model is fitted on: the first in the order of a hash of doc_id, one of each id, of at most so many bytes.
+SAMPLE, SAMPLE_BYTES = 6000, 1 << 15
 # Bytes of text whose features are held at once; a byte has about three of them.
 BLOCK = 1 << 20
 
 
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each character of UTF-8 bytes starts, and its hash."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(starts):
+        return starts, np.zeros(0, U64)
+    place = grouped_arange(np.diff(np.append(starts, len(data))))
+    return starts, mix(np.add.reduceat(_BYTE[data[starts[0] :]] * _PLACE[place], starts - starts[0]))
+
+
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS, grams: tuple[int, ...] = GRAMS) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all rows one after another, kind by kind, and the row of each."""
     starts, ends, first_word = word_spans(data, offsets)
     shift = U64(64 - (buckets - 1).bit_length())
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first_word))
-    words = span_hashes(data, starts, ends, fold=True)
-    again = np.flatnonzero((words[1:] == words[:-1]) & (row[1:] == row[:-1])) + 1
-    found = [words, span_hashes(data, starts, ends) ^ U64(0x5BD1E995), np.full(len(again), 0x2127599BF4325C37, U64)]
-    rows = [row, row, row[again]]
+    found = [span_hashes(data, starts, ends, fold=True), span_hashes(data, starts, ends) ^ U64(0x5BD1E995)]
+    rows = [row, row]
     if len(starts):
-        # The end of the word of each byte (0 for white space), to keep n-grams inside words.
-        stop = np.zeros(len(data) + 1, np.int32)
-        stop[starts] = ends
-        inside = np.zeros(len(data) + 1, np.int8)
-        inside[starts] += 1
-        np.add.at(inside, ends, -1)
-        end = np.maximum.accumulate(stop[:-1])
-        end[np.cumsum(inside[:-1]) == 0] = 0
-        values = _BYTE[data]
+        at, values = characters(data)
+        # Words as ranges of characters; an n-gram lies inside one word.
+        first, end = np.searchsorted(at, starts), np.searchsorted(at, ends)
         for n in grams:
-            at = np.flatnonzero(end >= np.arange(n, len(data) + n))
-            total = np.zeros(len(at), U64)
+            many = np.maximum(end - first - n + 1, 0)
+            begin = np.repeat(first, many) + grouped_arange(many)
+            total = np.zeros(len(begin), U64)
             for j in range(n):
-                total += values[at + j] * _PLACE[j]
+                total += values[begin + j] * _PLACE[j]
             found.append(mix(total + U64(n)))
-            rows.append(np.searchsorted(offsets, at, "right") - 1)
+            rows.append(np.repeat(row, many))
     return (np.concatenate(found) * U64(0x9E3779B97F4A7C15) >> shift).astype(np.int32), np.concatenate(rows)
 
 
@@ -110,18 +111,22 @@ def train(texts: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKET
     return model
 
 
-def sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> DataFrame:
-    """(doc_id, text, label) of at most ``size`` labelled texts, the first by a hash of doc_id."""
+def sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", most: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, label) of at most ``size`` labelled texts of at most ``most`` bytes, the first by a hash of doc_id.
+
+    Of several texts with one id, one stays, the first by hash. Longer texts are scored like all others, but not learned from.
+    """
     known = labels.where(F.col(label_column).isin(0, 1)).groupBy(F.col(id_column).cast("long").alias("doc_id")).agg(F.max(label_column).cast("int").alias("label"))
     texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).where("doc_id is not null")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    return texts.join(F.broadcast(chosen), "doc_id")
+    short = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most).join(F.broadcast(chosen), "doc_id")
+    return short.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text", "label")
 
 
 def fit(documents: DataFrame, labels: DataFrame, size: int = SAMPLE, buckets: int = BUCKETS, grams: tuple[int, ...] = GRAMS, **names) -> Model:
     """A model from at most ``size`` labelled texts, whose feature counts come to the driver.
 
-    Features are counted by the executors over whole texts. Labels other than 0 and 1 and null
+    Features are counted by the executors over whole texts, at most SAMPLE_BYTES each. Labels other than 0 and 1 and null
     ids are left out; an id with both labels counts as 1. Without any label all scores are 0.5.
     """
 
