@@ -132,7 +132,7 @@ def with_borders(lines: DataFrame) -> DataFrame:
 
 
 def fit(lines: DataFrame, span: int) -> Markov:
-    """Count over all lines with a known state: columns conv_id, line_no, line, state (0 to 5).
+    """Count over all lines with a known state: columns conv_id, line_no, line, state (0 to 5, null: unknown).
 
     The counts (a few dozen numbers) come to the driver. The step into a chunk's first line
     is not counted.
@@ -144,12 +144,15 @@ def fit(lines: DataFrame, span: int) -> Markov:
         first, steps = np.zeros(STATES), np.zeros((STATES, STATES))
         shows = [np.zeros((STATES, n)) for n in SHOWN]
         for _, rows in _sequences(batches, 2):
-            states = np.array([r[2] for r in rows])
+            states = np.array([-1 if r[2] is None else r[2] for r in rows])
             seen = shown([r[0] for r in rows], None if rows[0][3] else rows[0][1])
-            first[states[0]] += rows[0][3]
-            np.add.at(steps, (states[:-1], states[1:]), 1)
+            known = states >= 0
+            if known[0]:
+                first[states[0]] += rows[0][3]
+            both = known[:-1] & known[1:]
+            np.add.at(steps, (states[:-1][both], states[1:][both]), 1)
             for i, table in enumerate(shows):
-                np.add.at(table, (states, seen[:, i]), 1)
+                np.add.at(table, (states[known], seen[known, i]), 1)
         found = [(what, a, b, int(table[a, b])) for what, table in enumerate([first[None], steps, *shows]) for a, b in zip(*np.nonzero(table))]
         if found:
             yield as_batch(dict(zip(("what", "a", "b", "n"), zip(*found))), schema)
@@ -233,24 +236,38 @@ def turns(lines: DataFrame, model: Markov, span: int = 512) -> DataFrame:
 
 # Ways in which transcripts mark the three roles.
 STYLES = (("System: ", "User: ", "Assistant: "), ("System: ", "Human: ", "AI: "), ("Context: ", "Q: ", "A: "), ("### Instructions: ", "### Prompt: ", "### Response: "), ("[system] ", "[user] ", "[assistant] "))
-# Line numbers of one turn.
-TURN_LINES = 1 << 20
+# Lines of a chunk, and turns whose lines are numbered together.
+SPAN, TURNS = 512, 64
 
 
 def transcript_lines(conversations: DataFrame) -> DataFrame:
     """Lines with known states of transcripts written from (conv_id, turn, role, text).
 
     Each conversation has one of the styles. One later turn in eight has no marker and stands
-    after a blank line. Turns of another role or none are left out; null texts are empty.
+    after a blank line. A turn of any other role is written with that role's name in front, one without a role with nothing; the
+    states of their lines are unknown (null). Null texts are empty; a null turn counts as 0. Turns with one number stand one
+    after another, by role and text, and repeated rows are repeated turns. Lines are numbered from 0 without gaps. Rows without a conv_id belong to no transcript.
     """
     role = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.lower("role")).cast("int") - 1
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), role.alias("r"), F.coalesce("text", F.lit("")).alias("text")).where("r >= 0 and conv_id is not null")
+    rows = conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.coalesce(F.trim("role"), F.lit("")).alias("role"),
+        F.when(role >= 0, role).alias("r"), F.coalesce("text", F.lit("")).alias("text"),
+    ).where("conv_id is not null")
     style = F.get(F.array(*[F.array(*[F.lit(m) for m in s]) for s in STYLES]), F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).cast("int"))
-    bare = (F.col("turn") > 0) & (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0)
-    body = F.split(F.concat(F.when(bare, F.lit("")).otherwise(F.get(style, F.col("r"))), "text"), "\n", -1)
+    bare = (F.col("turn") > 0) & (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0) & F.col("r").isNotNull()
+    name = F.when(F.col("r").isNotNull(), F.get(style, F.col("r"))).when(F.col("role") != "", F.concat(F.initcap("role"), F.lit(": "))).otherwise("")
+    body = F.split(F.concat(F.when(bare, F.lit("")).otherwise(name), "text"), "\n", -1)
+    sized = rows.withColumns({"bare": bare, "body": body}).withColumn("n", F.size("body") + F.col("bare").cast("int")).withColumn("block", F.floor(F.col("turn") / TURNS).cast("long"))
+    # Lines before a turn: those of earlier blocks of turns, and of earlier turns of its own block.
+    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+    totals = sized.groupBy("conv_id", "block").agg(F.sum("n").alias("total"))
+    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = totals.select("conv_id", "block", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, -1)
+    marked = sized.withColumns({"own": F.coalesce(F.sum("n").over(upto), F.lit(0)), "last": F.lag("r").over(inside)}).join(blocks, ["conv_id", "block"]).withColumn("line_no", F.col("base") + F.col("own"))
+    own = marked.select("conv_id", "r", (F.col("line_no") + F.col("bare").cast("int")).alias("line_no"), F.posexplode("body").alias("pos", "line")).select(
+        "conv_id", (F.col("line_no") + F.col("pos")).alias("line_no"), "line", (F.col("r") * 2 + F.when(F.col("pos") > 0, 1).otherwise(0)).alias("state")
+    )
     # A blank line in front belongs to the turn before it.
-    marked = rows.withColumns({"bare": bare, "body": body})
-    own = marked.select("conv_id", "turn", "r", F.posexplode("body").alias("pos", "line")).select("conv_id", (F.col("turn") * TURN_LINES + F.col("pos") + 1).alias("line_no"), "line", (F.col("r") * 2 + F.when(F.col("pos") > 0, 1).otherwise(0)).alias("state"))
-    roles_before = F.lag("r").over(Window.partitionBy("conv_id", F.col("turn") - F.pmod("turn", F.lit(64))).orderBy("turn", "text"))
-    gaps = marked.withColumn("last", roles_before).where("bare").select("conv_id", (F.col("turn") * TURN_LINES).alias("line_no"), F.lit("").alias("line"), (F.coalesce("last", F.col("r")) * 2 + 1).alias("state"))
+    gaps = marked.where("bare").select("conv_id", "line_no", F.lit("").alias("line"), (F.coalesce("last", F.col("r")) * 2 + 1).alias("state"))
     return own.union(gaps)
