@@ -17,7 +17,6 @@ shuffle once a block. Removed positions come back to the texts in one pass sorte
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +28,23 @@ from pyspark.sql import types as T
 from tokentally.llm.common import _PLACE, U64, _arrow_schema, _quoted, as_batch, blocks, grouped_arange, map_arrow, mix, signed, span_hashes, window_hashes, windows, word_spans
 
 MIN_WORDS = 13
-# Bits of a spot: word index, text fingerprint, and which of the windows at an anchor are removed.
-_MASK_BITS, _PRINT_BITS = 8, 20
+# Bits of a spot after the word index: which of the windows at an anchor are meant.
+_MASK_BITS = 8
+# Rows of one doc_id from which on its texts are dealt to several tasks, and to how many.
+HOT_ROWS, HOT_PARTS = 4096, 32
 
 
-def text_prints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Short fingerprints that tell apart texts which share a doc_id."""
-    raw = data.tobytes()
-    return np.array([int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=4).digest(), "little") >> (32 - _PRINT_BITS) for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
+def segment_hashes(key: np.ndarray, low: np.ndarray, high: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """64 bits for what a segment says: its anchor and all its windows, given one after another.
+
+    Whether a window goes depends on its words and its doc_id alone, so a verdict on a segment holds
+    for any text of that doc_id with the same segment at the same place.
+    """
+    if not len(key):
+        return np.zeros(0, U64)
+    count = high - low + 1
+    content = mix(window.astype(U64) + _PLACE[grouped_arange(count)])
+    return mix(key + (low << 4 | high).astype(U64)) + np.add.reduceat(content, np.cumsum(count) - count)
 
 
 def anchors(words: np.ndarray, first_word: np.ndarray, size: int) -> dict[str, np.ndarray]:
@@ -67,7 +75,7 @@ def anchors(words: np.ndarray, first_word: np.ndarray, size: int) -> dict[str, n
 
 
 def _segments(documents: DataFrame, size: int) -> DataFrame:
-    """Rows to compare (key not null) and spots that a block resolves alone (key null)."""
+    """Rows to compare, and spots that a block resolves alone (hashes null; their key is the segment's hash)."""
 
     def run(batch):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -75,13 +83,11 @@ def _segments(documents: DataFrame, size: int) -> DataFrame:
             starts, ends, first_word = word_spans(data, offsets)
             found = anchors(span_hashes(data, starts, ends), first_word, size)
             doc = ids[lo:hi].astype(np.int64)[found["row"]]
-            spot = (found["at"] << _PRINT_BITS | text_prints(data, offsets)[found["row"]]) << _MASK_BITS
+            spot = found["at"] << _MASK_BITS
             low, high = found["low"], found["high"]
             count = high - low + 1
             begin = np.cumsum(count) - count
-            # Sums of mixed window hashes tell segments apart within the block.
-            content = mix(found["window"].astype(U64) + (_PLACE[grouped_arange(count)] if len(count) else U64(0)))
-            whole = mix(found["key"] + (low << 4 | high).astype(U64)) + (np.add.reduceat(content, begin) if len(count) else U64(0))
+            whole = segment_hashes(found["key"], low, high, found["window"])
             order = np.lexsort((doc, whole))
             first = np.ones(len(order), bool)
             first[1:] = whole[order][1:] != whole[order][:-1]
@@ -90,7 +96,7 @@ def _segments(documents: DataFrame, size: int) -> DataFrame:
             done, sent = order[later], order[~later]
             masks = (np.int64(2) << high) - (np.int64(1) << low)
             if len(done):
-                yield {"key": pa.nulls(len(done), pa.int64()), "doc": doc[done], "spot": spot[done] | masks[done], "hashes": pa.nulls(len(done), pa.binary())}
+                yield {"key": signed(whole[done]), "doc": doc[done], "spot": spot[done] | masks[done], "hashes": pa.nulls(len(done), pa.binary())}
             if len(sent):
                 at = np.append(begin, len(found["window"])).astype(np.int32) * 4
                 hashes = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(at), pa.py_buffer(found["window"])])
@@ -115,7 +121,7 @@ class _Group:
         return has, mix(rows["key"].view(U64)[has] + U64(r)) + rows["window"][rows["begin"][has] + high[has] - r]
 
     def __call__(self, key: np.ndarray, doc: np.ndarray, spot: np.ndarray, begin_at: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and spots with removed windows of these rows.
+        """Documents, spots with removed windows, and segment hashes of these rows.
 
         All documents before a row come before it, so its windows can be judged when it is read.
         """
@@ -164,14 +170,18 @@ class _Group:
         first = np.ones(len(joined), bool)
         first[1:] = joined[1:] != joined[:-1]
         self.seen, self.docs = joined[first], of[first]
-        told = removed > 0
-        return rows["doc"][told], rows["spot"][told] >> _MASK_BITS << _MASK_BITS | removed[told]
+        told = np.flatnonzero(removed)
+        low, high = rows["spot"][told] >> 4 & 15, rows["spot"][told] & 15
+        count = high - low + 1
+        own = window[np.repeat(rows["begin"][told], count) + grouped_arange(count)]
+        whole = segment_hashes(rows["key"].view(U64)[told], low, high, own)
+        return rows["doc"][told], rows["spot"][told] >> _MASK_BITS << _MASK_BITS | removed[told], whole
 
 
 def repeated_spots(documents: DataFrame, size: int = MIN_WORDS) -> DataFrame:
-    """(doc, spot) for columns doc and text: anchors with windows that a smaller doc has."""
+    """(doc, spot, whole) for columns doc and text: anchors with windows that a smaller doc has, and their segment's hash."""
     segments = _segments(documents, size)
-    ddl = "doc long, spot long"
+    ddl = "doc long, spot long, whole long"
     schema = _arrow_schema(documents.sparkSession, ddl)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,20 +189,20 @@ def repeated_spots(documents: DataFrame, size: int = MIN_WORDS) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            alone = pa.compute.is_null(batch.column(0))
+            alone = pa.compute.is_null(batch.column(3))
             own = batch.filter(alone)
             if own.num_rows:
-                yield as_batch({"doc": own.column(1), "spot": own.column(2)}, schema)
+                yield as_batch({"doc": own.column(1), "spot": own.column(2), "whole": own.column(0)}, schema)
             rest = batch.filter(pa.compute.invert(alone))
             if rest.num_rows:
                 _, at, window = rest.column(3).buffers()
                 at = np.frombuffer(at, np.int32)[rest.column(3).offset :][: rest.num_rows] // 4
-                doc, spot = group(*(rest.column(i).to_numpy() for i in range(3)), at, np.frombuffer(window, np.uint32))
+                doc, spot, whole = group(*(rest.column(i).to_numpy() for i in range(3)), at, np.frombuffer(window, np.uint32))
                 if len(doc):
-                    yield as_batch({"doc": doc, "spot": spot}, schema)
+                    yield as_batch({"doc": doc, "spot": spot, "whole": signed(whole)}, schema)
 
     # Spots that are settled already are spread by document; the others meet by hash.
-    dealt = segments.repartition(F.coalesce("key", F.xxhash64("doc"))).sortWithinPartitions("key", "doc")
+    dealt = segments.repartition(F.when(F.col("hashes").isNull(), F.xxhash64("doc", "spot")).otherwise(F.col("key"))).sortWithinPartitions("key", "doc")
     return dealt.mapInArrow(extend, ddl)
 
 
@@ -201,7 +211,7 @@ def _removed(first_word: np.ndarray, row: np.ndarray, spots: np.ndarray, size: i
     half = (size + 1) // 2
     n = int(first_word[-1])
     edge = np.zeros(n + 1, np.int32)
-    at = first_word[row] + (spots >> (_PRINT_BITS + _MASK_BITS))
+    at = first_word[row] + (spots >> _MASK_BITS)
     for r in range(size - half + 1):
         begin = at[(spots >> r) & 1 == 1] - r
         np.add.at(edge, begin, 1)
@@ -209,6 +219,28 @@ def _removed(first_word: np.ndarray, row: np.ndarray, spots: np.ndarray, size: i
     return np.cumsum(edge[:-1]) > 0
 
 
+def _own_spots(words: np.ndarray, first_word: np.ndarray, row: np.ndarray, spots: np.ndarray, whole: np.ndarray, size: int) -> np.ndarray:
+    """Which spots of a doc_id belong to the text of their row: it has the same segment at that place."""
+    if not len(spots):
+        return np.zeros(0, bool)
+    # Only texts with spots are looked at again.
+    some = np.unique(row)
+    counts = np.diff(first_word)[some]
+    own = words[np.repeat(first_word[some], counts) + grouped_arange(counts)]
+    found = anchors(own, np.concatenate([[0], np.cumsum(counts)]), size)
+    said = segment_hashes(found["key"], found["low"], found["high"], found["window"])
+    # A text has at most one segment at a place for each range of windows; places repeat only across rows.
+    place = mix((some[found["row"]].astype(U64) << U64(40)) + found["at"].astype(U64)) ^ said
+    return np.isin(mix((row.astype(U64) << U64(40)) + (spots >> _MASK_BITS).astype(U64)) ^ whole.view(U64), place)
+
+
+def _hot_ids(source: DataFrame) -> list[int]:
+    """Ids of so many rows that one task should not hold all their texts; fewer than a thousandth of the rows each stay together."""
+    counts = source.where("doc is not null").groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS)
+    found = counts.orderBy(F.desc("n"), "doc").limit(1000).collect()
+    return [r.doc for r in found]
+
+
 def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of each row's words joined by one space."""
     lengths = ends - starts + 1
@@ -257,7 +289,8 @@ def dedup_substrings(documents: DataFrame, size: int = MIN_WORDS, id_column: str
 
     A word goes if a window of ``size`` words over it also starts in a row with a smaller
     doc_id. A null text has no words. A null doc_id is neither smaller nor larger than any, so
-    such rows stay whole. Rows with the same doc_id and different texts are judged each; rows
+    such rows stay whole. Rows with the same doc_id and different texts are judged each, by 64 bits of
+    the windows at each place, and a doc_id of very many rows is dealt to several tasks by text; rows
     that repeat wholly are each returned. Other columns are ignored, but for those named in
     ``carry``, which come along in a struct ``rest``.
     """
@@ -266,50 +299,65 @@ def dedup_substrings(documents: DataFrame, size: int = MIN_WORDS, id_column: str
     rest = F.struct(*[F.col(_quoted(c)) for c in carry]) if carry else F.lit(0)
     source = documents.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).cast("string").alias("text"))
     spots = repeated_spots(source, size)
-    texts = documents.select(
-        F.coalesce(F.col(id_column).cast("long"), F.xxhash64(text_column)).alias("by"), F.col(id_column).cast("long").alias("doc"), F.lit(None).cast("long").alias("spot"),
-        rest.alias("rest"), F.col(text_column).cast("string").alias("text"),
+    # An id with very many texts is dealt to several tasks by text, and its spots go to each of them.
+    hot = _hot_ids(source)
+    part = F.when(F.col("doc").isin(hot), F.pmod(F.xxhash64("text"), F.lit(HOT_PARTS))).otherwise(0).cast("int") if hot else F.lit(0)
+    parts = F.when(F.col("doc").isin(hot), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+    texts = documents.select(F.col(id_column).cast("long").alias("doc"), rest.alias("rest"), F.col(text_column).cast("string").alias("text")).select(
+        F.coalesce("doc", F.xxhash64("text")).alias("by"), F.coalesce(part, F.lit(0)).alias("part"), "doc", F.lit(None).cast("long").alias("spot"), F.lit(None).cast("long").alias("whole"), "rest", "text"
     )
     packed = _compressed(texts)
     of_spots = [F.lit(None).cast(packed.schema[c].dataType).alias(c) for c in ("rest", "packed", "bytes")]
+    spread = spots.withColumn("part", F.explode(parts)) if hot else spots.withColumn("part", F.lit(0))
     # Spots come before the texts of their document.
-    both = spots.select(F.col("doc").alias("by"), "doc", "spot", *of_spots).union(packed)
-    dealt = both.repartition("by").sortWithinPartitions("by", F.col("spot").asc_nulls_last())
+    both = spread.select(F.col("doc").alias("by"), "part", "doc", "spot", "whole", *of_spots).union(packed)
+    dealt = both.repartition("by", "part").sortWithinPartitions("by", "part", F.col("spot").asc_nulls_last())
     kinds = T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept string, text string").add("rest", packed.schema["rest"].dataType)
     schema = _arrow_schema(documents.sparkSession, kinds)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, spot = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        by, spot, whole = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
+            # A task may hold several parts of one id; their spots are the same.
             key = batch.column(0).to_numpy()
-            is_spot = pa.compute.is_valid(batch.column(2)).to_numpy(zero_copy_only=False)
+            is_spot = pa.compute.is_valid(batch.column(3)).to_numpy(zero_copy_only=False)
             by = np.concatenate([by, key[is_spot]])
-            spot = np.concatenate([spot, batch.column(2).to_numpy(zero_copy_only=False)[is_spot].astype(np.int64)])
+            # Without the nulls of other rows, which would turn 64 bits into floating point.
+            spot = np.concatenate([spot, batch.column(3).filter(pa.array(is_spot)).to_numpy()])
+            whole = np.concatenate([whole, batch.column(4).filter(pa.array(is_spot)).to_numpy()])
             rows = batch.filter(pa.array(~is_spot))
+            # Spots of an id with one text are its own; others are looked up. Neighbours of a batch's ends are not known.
+            many = np.ones(rows.num_rows, bool)
+            next_is_new = np.diff(rows.column(0).to_numpy()) != 0
+            many[1:-1] = ~(next_is_new[:-1] & next_is_new[1:]) if rows.num_rows > 2 else True
+            many |= np.isin(rows.column(0).to_numpy(), hot)
             # A bounded number of compressed texts is opened at once.
             for at in range(0, rows.num_rows, 1024):
                 part = rows.slice(at, 1024)
-                column = _texts(part.column(4), part.column(5))
+                column = _texts(part.column(6), part.column(7))
                 for lo, hi, data, offsets in blocks(column):
                     keys = part.column(0).to_numpy()[lo:hi]
-                    known = pa.compute.is_valid(part.column(1)).to_numpy(zero_copy_only=False)[lo:hi]
+                    known = pa.compute.is_valid(part.column(2)).to_numpy(zero_copy_only=False)[lo:hi]
                     starts, ends, first_word = word_spans(data, offsets)
                     begin, end = np.searchsorted(by, keys, "left"), np.searchsorted(by, keys, "right")
                     count = np.where(known, end - begin, 0)
                     row = np.repeat(np.arange(hi - lo), count)
-                    own = spot[np.repeat(begin, count) + grouped_arange(count)]
-                    fits = (own >> _MASK_BITS) & (1 << _PRINT_BITS) - 1 == text_prints(data, offsets)[row] if len(own) else np.zeros(0, bool)
-                    gone = _removed(first_word, row[fits], own[fits], size)
+                    mine = np.repeat(begin, count) + grouped_arange(count)
+                    check = many[at : at + 1024][lo:hi][row]
+                    fits = ~check
+                    if check.any():
+                        fits[check] = _own_spots(span_hashes(data, starts, ends), first_word, row[check], spot[mine][check], whole[mine][check], size)
+                    gone = _removed(first_word, row[fits], spot[mine][fits], size)
                     of = np.repeat(np.arange(hi - lo), np.diff(first_word))
                     kept = joined_words(data, starts[~gone], ends[~gone], of[~gone], hi - lo)
                     yield as_batch({
-                        "doc_id": part.column(1).slice(lo, hi - lo), "n_words": np.diff(first_word), "n_removed": np.bincount(of[gone], minlength=hi - lo),
-                        "kept": string_array(*kept), "text": column.slice(lo, hi - lo), "rest": part.column(3).slice(lo, hi - lo),
+                        "doc_id": part.column(2).slice(lo, hi - lo), "n_words": np.diff(first_word), "n_removed": np.bincount(of[gone], minlength=hi - lo),
+                        "kept": string_array(*kept), "text": column.slice(lo, hi - lo), "rest": part.column(5).slice(lo, hi - lo),
                     }, schema)
             last = by == key[-1]
-            by, spot = by[last], spot[last]
+            by, spot, whole = by[last], spot[last], whole[last]
 
     found = dealt.mapInArrow(apply, kinds)
     return found if carry else found.drop("rest")
