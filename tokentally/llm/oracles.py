@@ -73,3 +73,42 @@ SELECT owner AS conv_id, depth::BIGINT AS depth, parent AS parent_conv_id, n_con
        saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
 FROM whole JOIN sums USING (owner, depth)
 """
+
+# Windows of thirteen words by their text, the smallest document of each, and the words that later ones cover.
+ORACLES["op2_substring_dedup"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+windows AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS said FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM docs) WHERE doc_id IS NOT NULL),
+firsts AS (SELECT said, min(doc_id) AS doc_id FROM windows GROUP BY said),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS i FROM windows w JOIN firsts f ON f.said = w.said AND f.doc_id < w.doc_id),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM docs),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (r)
+"""
+
+# All pairs of sound vectors with one label, and whatever they reach.
+ORACLES["op5_embedding_dedup"] = """
+WITH RECURSIVE sound AS (
+    SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (SELECT a.r AS a, b.r AS b, b.vec_id AS id FROM sound a JOIN sound b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reached AS (SELECT r, r AS at, vec_id AS id FROM sound UNION SELECT reached.r, links.b, links.id FROM reached JOIN links ON links.a = reached.at),
+least AS (SELECT vec_id, min(reached.id) AS component_id, any_value(n) AS n FROM sound JOIN reached USING (r) LEFT JOIN (SELECT a AS r, count(*) AS n FROM links GROUP BY a) USING (r) GROUP BY sound.r, vec_id)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, e.vec_id) AS component_id, coalesce(component_id, e.vec_id) = e.vec_id AS kept FROM embeddings e LEFT JOIN least ON least.vec_id = e.vec_id
+"""
+
+# Distinct runs of five words (all words of a shorter text) by their text, every pair that shares one, and whatever pairs reach.
+ORACLES["op8_minhash"] = f"""
+WITH RECURSIVE texts AS (SELECT DISTINCT doc_id, text FROM documents),
+split AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM texts),
+shingles AS (
+    SELECT DISTINCT r, doc_id, CASE WHEN len(w) < 5 THEN md5('short' || array_to_string(w, ' ')) ELSE md5(array_to_string(w[i:i + 4], ' ')) END AS shingle
+    FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM split WHERE len(w) > 0 AND doc_id IS NOT NULL)
+),
+sizes AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM shingles GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (SELECT a, b, y.doc_id AS id FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE shared.n::DOUBLE / (x.n + y.n - shared.n) >= 0.8),
+reached AS (SELECT r, r AS at, doc_id AS id FROM sizes UNION SELECT reached.r, links.b, links.id FROM reached JOIN links ON links.a = reached.at),
+least AS (SELECT r, min(id) AS class_id FROM reached GROUP BY r)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(class_id, doc_id) = doc_id AS kept FROM split LEFT JOIN least USING (r)
+"""
