@@ -177,14 +177,17 @@ def distinct_messages(found: DataFrame, chunk: int = folds.CHUNK) -> DataFrame:
     return kept.where("kept").select(*FILE, "ord", "role", "text", "at")
 
 
-def timeline_of(found: DataFrame, limit: int | None = 80, shown: int = 1000) -> DataFrame:
-    """The messages of each file in order; the report displays the first ``limit`` (None: all), ``shown`` characters each."""
+def timeline_of(found: DataFrame, limit: int | None = 80, shown: int | None = 1000) -> DataFrame:
+    """The messages of each file in order; the report displays the first ``limit`` of them, ``shown`` characters each (None: all)."""
+    items = distinct_messages(found)
+    cut = items if shown is None else items.withColumn("text", F.substring("text", 1, shown))
+    if limit is None:
+        return cut
     order = Window.partitionBy(*FILE).orderBy("ord")
-    items = distinct_messages(found).withColumn("place", F.row_number().over(order)).withColumn("text", F.substring("text", 1, shown))
-    return items if limit is None else items.where(F.col("place") <= limit)
+    return cut.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
-def prompt_timeline(records: DataFrame, limit: int | None = 80, shown: int = 1000) -> DataFrame:
+def prompt_timeline(records: DataFrame, limit: int | None = 80, shown: int | None = 1000) -> DataFrame:
     return timeline_of(messages(records), limit, shown)
 
 

@@ -16,9 +16,10 @@ def _reports(t: Tables) -> DataFrame:
         "'Token Savings'", "concat('Total commands:    ', format_number(c_custkey * 3 + 1000, 0))", "concat('Input tokens:      ', c_custkey + 1, 'K')", "concat('Output tokens:     ', c_custkey div 2, 'K')",
         "concat('Tokens saved:      ', c_custkey + 1, '00 (', c_custkey % 90, '.5%)')", "concat('Total exec time:   ', c_custkey % 50, 'm3s (avg ', c_custkey % 9, 'ms)')", "''", "'By Command'", "'------'",
         "concat('1.  git  diff', '')", "concat('2.  pnpm test   ', c_custkey % 7, '   ', c_custkey % 11, 'K   ', c_custkey % 100, '.0%   ', c_custkey % 60, 's')",
-        "concat('3.  ls -la   ', c_custkey % 5, '   ', c_custkey % 13, 'K   ', c_custkey % 70, '.5%   2m1s')", "''", "'Recent Commands'", "'──────'", "concat('12:0', c_custkey % 10, ' • cargo  test -', c_custkey % 30, '% (1.2K)')",
+        "concat('3.  ls -la   ', c_custkey % 5, '   ', c_custkey % 13, 'K   ', c_custkey % 70, '.5%   2m1s')",
         "''", "'MISSED SAVINGS'", "'h1'", "'h2'", "concat('cat file   ', c_custkey % 8, '   proxy read   existing   ~', c_custkey % 9, 'K tokens')", "'Total: x'", "'TOP UNHANDLED COMMANDS'", "'h1'", "'h2'",
         "concat('make all   ', c_custkey % 6, '   make all -j8')", "'-> add'",
+        "''", "'Recent Commands'", "'──────'", "concat('12:0', c_custkey % 10, ' • cargo  test -', c_custkey % 30, '% (1.2K)')", "array_join(transform(sequence(1, 4 + c_custkey % 6), i -> concat('13:', 10 + i, ' • make t', i, ' -1% (', i, 'K)')), '\\n')",
     ]
     return t.table("customer").selectExpr("concat('h', c_custkey % 3) AS host", "concat('/r/', c_custkey, '.txt') AS file", f"concat_ws('\\n', {', '.join(lines)}) AS body")
 
@@ -45,9 +46,10 @@ def _(t: Tables) -> DataFrame:
     return sorts.with_position(sorts.sort_saved_commands(savings.saved_commands(_reports(t)).drop("host"), "saved", descending=True))
 
 
-@query("recent_saved_commands", f"SELECT {KEY}, '12:0' || (c_custkey % 10) AS time, 'cargo test' AS command, '-' || (c_custkey % 30) || '% (1.2K)' AS savings FROM customer")
+@query("recent_saved_commands", f"""SELECT {KEY}, 0 AS place, '12:0' || (c_custkey % 10) AS time, 'cargo test' AS command, '-' || (c_custkey % 30) || '% (1.2K)' AS savings FROM customer
+UNION ALL SELECT file, i::INTEGER, '13:' || (10 + i), 'make t' || i, '-1% (' || i || 'K)' FROM (SELECT {KEY}, unnest(range(1, 5 + c_custkey % 6)) AS i FROM customer)""")
 def _(t: Tables) -> DataFrame:
-    return savings.recent_commands(_reports(t)).where("place = 0").select("file", "time", "command", "savings")
+    return savings.recent_commands(_reports(t), limit=None).select("file", "place", "time", "command", "savings")
 
 
 @query("savings_coverage_gaps", f"SELECT {KEY}, 'cat file' AS command, c_custkey % 8 AS count, 'proxy read' AS equivalent, 'existing' AS status, (c_custkey % 9) || 'K tokens' AS estimated_savings FROM customer")
