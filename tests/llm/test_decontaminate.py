@@ -1,6 +1,8 @@
 import collections
 import random
 
+import numpy as np
+
 from helpers import LONG, contained, frame, words
 
 from tokentally.llm import decontaminate
@@ -101,3 +103,23 @@ def test_radius_holds_similar_windows():
         sized = decontaminate.Sized(44, np.array([0]), prints[0])
         assert len(sized.within_radius(prints[1])[0]) == (d <= decontaminate.RADIUS)
     assert far == 0
+
+
+def test_lookup_finds_all_pairs_within_the_radius(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(decontaminate, "CANDIDATES", 700)
+    items = rng.integers(0, 256, (300, 8), dtype=np.uint8)
+    near = items[rng.integers(0, 300, 200)] ^ np.packbits(rng.random((200, 64)) < rng.random((200, 1)) * 0.5, axis=1)
+    prints = np.concatenate([near, rng.integers(0, 256, (50, 8), dtype=np.uint8), items[:3]])
+    w, m = decontaminate.Sized(9, np.arange(300), items).within_radius(prints)
+    expected = np.argwhere(decontaminate.distance(prints[:, None], items[None]) <= decontaminate.RADIUS)
+    assert sorted(zip(w.tolist(), m.tolist())) == [tuple(p) for p in expected.tolist()]
+    assert decontaminate.Sized(9, np.arange(300), items).within_radius(prints[:0])[0].tolist() == []
+
+
+def test_many_short_items():
+    """30,000 items of eight words against a thousand windows, in bounded memory and time."""
+    rng = np.random.default_rng(5)
+    items = rng.integers(0, 256, (30_000, 8), dtype=np.uint8)
+    w, m = decontaminate.Sized(8, np.arange(30_000), items).within_radius(items[:1000] ^ np.packbits(rng.random((1000, 64)) < 0.05, axis=1))
+    assert {(i, i) for i in range(1000)} <= set(zip(w.tolist(), m.tolist()))

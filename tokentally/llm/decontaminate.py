@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokentally.llm.common import U64, annotate, grouped_arange, span_hashes, text_buffers, window_hashes, windows, word_spans
+from tokentally.llm.common import U64, annotate, grouped_arange, span_hashes, stored, text_buffers, window_hashes, windows, word_spans
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -30,7 +30,11 @@ BLOCKS = 8
 PASS_BYTES = 16 << 20
 # Shingles whose bit sums are held at once.
 SPAN = 1 << 16
+# Pairs of a window and an item that are looked at at once.
+CANDIDATES = 1 << 20
 _BITS = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+# The values of a block that differ from each value in at most RADIUS // BLOCKS bits.
+NEAR_VALUES = np.array([np.flatnonzero(_BITS[np.arange(256) ^ v] <= RADIUS // BLOCKS) for v in range(256)])
 
 
 def simhash(ones: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -55,17 +59,30 @@ class Sized:
     prints: np.ndarray
 
     def __post_init__(self):
-        near = _BITS[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= RADIUS // BLOCKS
-        self.near = [near[:, self.prints[:, j]] for j in range(BLOCKS)]
+        # For each block, the items in the order of its value, and where each value begins.
+        self.order = [np.argsort(self.prints[:, j], kind="stable") for j in range(BLOCKS)]
+        self.first = [np.searchsorted(self.prints[o, j], np.arange(257)) for j, o in enumerate(self.order)]
 
     def within_radius(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (window, item) whose fingerprints differ in at most RADIUS bits."""
-        found = np.zeros((len(prints), len(self.items)), bool)
+        """Pairs (window, item) whose fingerprints differ in at most RADIUS bits.
+
+        Fingerprints that near differ in at most RADIUS // BLOCKS bits of some block, so each block is looked up under all
+        values that near; a bounded number of candidates is held at once.
+        """
+        step = max(1, CANDIDATES // max(len(self.items), 1))
+        out = [self._pairs(prints[lo : lo + step], lo) for lo in range(0, len(prints), step)] or [(np.zeros(0, np.int64),) * 2]
+        return np.concatenate([w for w, _ in out]), np.concatenate([m for _, m in out])
+
+    def _pairs(self, prints: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+        seen = np.zeros(0, np.int64)
         for j in range(BLOCKS):
-            found |= self.near[j][prints[:, j]]
-        w, m = np.nonzero(found)
-        close = distance(prints[w], self.prints[m]) <= RADIUS
-        return w[close], m[close]
+            values = NEAR_VALUES[prints[:, j]]
+            begin, size = self.first[j][values].ravel(), (self.first[j][values + 1] - self.first[j][values]).ravel()
+            window = np.repeat(np.repeat(np.arange(len(prints)), NEAR_VALUES.shape[1]), size)
+            pair = window * len(self.items) + self.order[j][np.repeat(begin, size) + grouped_arange(size)]
+            new = pair[distance(prints[window], self.prints[pair % len(self.items)]) <= RADIUS]
+            seen = np.union1d(seen, new)
+        return seen // len(self.items) + at, seen % len(self.items)
 
 
 class Index:
@@ -179,7 +196,8 @@ def mark_contaminated(documents: DataFrame, benchmark: DataFrame, similarity: fl
     An entry has item_id, start_word, n_words and similarity of the best window; entries are
     sorted by item_id. A text of fewer words than an item is compared with it as a whole. Null and empty texts hold nothing, null and empty items are held by
     none, items that repeat are reported by each item_id. A column named ``into`` is replaced.
-    Items go to the executors in blocks of bounded bytes, one pass over the documents each.
+    Items go to the executors in blocks of bounded bytes, one pass over the documents each. With several passes, what
+    one has found is stored before the next begins, so the driver and the executors hold the items of one pass alone.
     """
     items = benchmark.select(F.col(item_column).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -203,6 +221,8 @@ def mark_contaminated(documents: DataFrame, benchmark: DataFrame, similarity: fl
 
         parts.append(f"{into}{p}" if passes > 1 else into)
         result = annotate(result, text_column, run, f"`{parts[-1]}` {kind}")
+        if passes > 1:
+            result = stored(result)
     if passes > 1:
         result = result.withColumn(into, F.concat(*parts)).drop(*parts)
     return result.withColumn(into, F.array_sort(into))
