@@ -353,12 +353,38 @@ def standalone_files(files: DataFrame, imported: DataFrame) -> DataFrame:
 
 
 def import_votes(records: DataFrame) -> DataFrame:
-    """Most frequent assistant model of each imported transcript (host, file, rec as TRANSCRIPT)."""
-    rows = records.selectExpr(*FILE, "rec.type AS t", f"{first_text('rec.message.model')} AS model")
+    """Most frequent assistant model of each imported transcript (host, file, rec as TRANSCRIPT); the first by name on ties."""
+    kind, model = first_text("trim(rec.type)", "trim(rec.payload.type)"), first_text("trim(rec.message.model)", "trim(rec.payload.message.model)", "trim(rec.model)")
+    rows = records.where("NOT bad").selectExpr(*FILE, f"{kind} AS t", f"{model} AS model")
     counts = keep_where(rows, "model <> '<synthetic>' AND (t IS NULL OR t = 'assistant')").groupBy(*FILE, "model").agg(F.count("*").alias("n"))
     return counts.groupBy(*FILE).agg(F.min_by("model", F.struct(-F.col("n"), F.col("model"))).alias("model"))
 
 
+def import_entries(documents: DataFrame) -> DataFrame:
+    """(host, id, source_path, place) of the entries of import index documents (host, file, body), in their order.
+
+    Entries without an id or a path are passed over; a document that does not parse has none (see ``import_index_errors``).
+    """
+    listed = "try_cast(variant_get(doc, '$.records', 'variant') AS array<variant>)"
+    parsed = documents.select("host", "file", F.try_parse_json("body").alias("doc")).where("doc is not null")
+    entries = parsed.selectExpr("host", "file", f"posexplode({listed}) AS (place, entry)").selectExpr(
+        "host", "file", "place", "nullif(trim(try_variant_get(entry, '$.imported_thread_id', 'string')), '') AS id", "nullif(trim(try_variant_get(entry, '$.source_path', 'string')), '') AS source_path"
+    )
+    return entries.where("id is not null and source_path is not null").select("host", "id", "source_path", F.struct("file", "place").alias("place"))
+
+
+def import_index_errors(documents: DataFrame) -> DataFrame:
+    """One row per index document that is not JSON."""
+    return documents.where(F.try_parse_json("body").isNull()).select("host", "file", F.lit("unreadable_import_index").alias("error"))
+
+
+def imported_models(entries: DataFrame, records: DataFrame) -> DataFrame:
+    """(host, id, imported_model): the voted model of the last entry of each id whose transcript is there and names one."""
+    votes = import_votes(records).withColumn("_path", R.comparable_path(F.col("file")))
+    named = entries.withColumn("_path", R.comparable_path(F.col("source_path"))).join(votes.select("host", "_path", F.col("model").alias("imported_model")), ["host", "_path"])
+    return named.groupBy("host", "id").agg(F.max_by("imported_model", "place").alias("imported_model"))
+
+
 def fill_imported_models(sessions: DataFrame, votes: DataFrame) -> DataFrame:
     """Sessions without a model take the voted one (host, id, imported_model), with a warning."""
     joined = sessions.join(votes.select("host", "id", "imported_model"), ["host", "id"], "left")

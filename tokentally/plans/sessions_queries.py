@@ -243,7 +243,9 @@ def _(t: Tables) -> DataFrame:
     return rollout.standalone_files(_thread_logs(t), imported).select("path")
 
 
-VOTES = """SELECT o, arg_min(model, r) AS model FROM (SELECT o, model, row_number() OVER (PARTITION BY o ORDER BY count(*) DESC, model) AS r FROM tt_turns WHERE model IS NOT NULL GROUP BY o, model) GROUP BY 1"""
+# The index of an order names two files; the later counts where its file is there and names a model.
+VOTES = """SELECT o, coalesce(max(model) FILTER (WHERE ends_with(file, '-1.jsonl')), max(model)) AS model FROM (
+  SELECT o, file, arg_min(model, r) AS model FROM (SELECT o, file, model, row_number() OVER (PARTITION BY file ORDER BY count(*) DESC, model) AS r FROM tt_turns WHERE model IS NOT NULL GROUP BY o, file, model) GROUP BY 1, 2) GROUP BY 1"""
 
 
 @query("scan_import_index", f"SELECT 's' || o AS id, model FROM ({VOTES})")
@@ -252,9 +254,14 @@ def _(t: Tables) -> DataFrame:
 
 
 def _votes(t: Tables) -> DataFrame:
-    """Imported transcripts: all lines of an order count as one source."""
-    records = t.transcript_records.withColumn("file", F.regexp_extract("file", r"/(\d+)-\d\.jsonl$", 1))
-    return rollout.import_votes(records).select("host", F.concat(F.lit("s"), "file").alias("id"), F.col("model").alias("imported_model"))
+    """Index documents of a hundred orders each, with entries that lack a path or a file, and their transcripts."""
+    path = "concat(if(o_orderkey % 7 = 0, '\\\\\\\\?\\\\', ''), '/p/projects/-w-p', o_orderkey % 97, '/', o_orderkey, '-', n, '.jsonl')"
+    entries = t.table("orders").selectExpr("concat('h', o_orderkey % 3) AS host", "o_orderkey", "explode(array(0, 1, 2, 3)) AS n").selectExpr(
+        "host", "o_orderkey div 100 AS part", f"named_struct('o', o_orderkey, 'n', n, 'entry', named_struct('imported_thread_id', concat('s', o_orderkey), 'source_path', if(n = 3, NULL, {path}))) AS e"
+    )
+    documents = entries.groupBy("host", "part").agg(F.array_sort(F.collect_list("e")).alias("es")).selectExpr("host", "concat('/home/', part, '/index.json') AS file", "to_json(named_struct('records', es.entry)) AS body")
+    broken = documents.limit(1).withColumns({"file": F.lit("/home/x/index.json"), "body": F.lit("{cut")})
+    return rollout.imported_models(rollout.import_entries(documents.unionByName(broken)), t.transcript_records)
 
 
 @query("imported_model", f"""

@@ -79,6 +79,13 @@ def read_documents(spark: SparkSession, path: str | list[str], glob: str = "*.js
     return whole.unionByName(lines).select(_host(host_pattern).alias("host"), "*")
 
 
+def read_bodies(spark: SparkSession, path: str | list[str], glob: str, host_pattern: str = r"/host=([^/]+)/") -> DataFrame:
+    """Small files as a whole: host, file, body."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    texts = reader.text(path, wholetext=True).select(file_name(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("body"))
+    return texts.select(_host(host_pattern).alias("host"), "file", "body")
+
+
 def parse_records(lines: DataFrame, schema: str) -> DataFrame:
     """Lines with rec, parsed once by a schema, and ``bad`` where a line is not JSON.
 

@@ -45,8 +45,8 @@ ROLLOUT = f"STRUCT<{COMMON}, payload: {ROLLOUT_PAYLOAD}, response: STRUCT<usage:
 CACHE_SPLIT = "STRUCT<ephemeral_5m_input_tokens: STRING, ephemeral_1h_input_tokens: STRING>"
 CLAUDE_USAGE = "STRUCT<" + _fields("input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "output_tokens", "service_tier", "speed") + f", cache_creation: {CACHE_SPLIT}>"
 TRANSCRIPT = (
-    "STRUCT<" + _fields("type", "sessionId", "timestamp", "requestId", "cwd", "gitBranch", "entrypoint", "version", "aiTitle")
-    + f", message: STRUCT<id: STRING, role: STRING, model: STRING, content: VARIANT, usage: {CLAUDE_USAGE}>"
+    "STRUCT<" + _fields("type", "sessionId", "timestamp", "requestId", "cwd", "gitBranch", "entrypoint", "version", "aiTitle", "model")
+    + f", payload: STRUCT<type: STRING, message: STRUCT<model: STRING>>, message: STRUCT<id: STRING, role: STRING, model: STRING, content: VARIANT, usage: {CLAUDE_USAGE}>"
     + ", toolUseResult: STRUCT<" + _fields("is_error", "error", "exit_code", "exitCode", "status_code", "statusCode", "status") + ">, _corrupt: STRING>"
 )
 
