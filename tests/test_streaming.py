@@ -1,9 +1,13 @@
 """Incremental ingest and streaming queries."""
 
+import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
+from tokentally.operators import transcripts
+from tokentally.sources import files, schemas
 from tokentally.streaming import ingest, usage
 
 
@@ -69,3 +73,36 @@ def test_hours_of_a_stream(spark, tmp_path):
     usage.run_available(stream, str(tmp_path / "out"), str(tmp_path / "check"))
     got = spark.read.parquet(str(tmp_path / "out")).agg(F.sum("requests"), F.sum("total_tokens")).first()
     assert tuple(got) == (3, 30)
+
+
+def _copies(rng, n):
+    """Transcript lines: streamed copies of requests with rising and falling counts, in several files, some without ids."""
+    rows = []
+    for i in range(n):
+        counts = {k: rng.randint(0, 50) for k in ("input_tokens", "cache_read_input_tokens", "output_tokens")}
+        if rng.random() < 0.5:
+            counts["service_tier"] = rng.choice(["standard", "priority"])
+        request = rng.choice([None, *(f"r{j}" for j in range(25))])
+        record = {"type": "assistant", "requestId": request, "timestamp": f"2026-05-0{rng.randint(1, 9)}T10:00:00Z", "message": {"id": "m", "role": "assistant", "model": rng.choice(["a", "b"]), "usage": counts}}
+        rows.append(("h", f"/p/{rng.randint(0, 4)}.jsonl", i, json.dumps(record), rng.randint(1, 3)))
+    return rows
+
+
+def test_streamed_usage_equals_the_batch_in_any_order_and_after_a_restart(spark, tmp_path):
+    rng = random.Random(2)
+    rows = _copies(rng, 240)
+    everything = spark.createDataFrame(rows, usage.LINES)
+    expected = sorted(map(str, transcripts.distinct_usage(transcripts.usage_rows(files.parse_records(everything, schemas.TRANSCRIPT))).select("file", "ord", "model", *transcripts.RAW, "service_tier", "copies", "request_key").collect()))
+    rng.shuffle(rows)
+    source, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+    for i in range(0, 240, 80):
+        spark.createDataFrame(rows[i : i + 80], usage.LINES).coalesce(1).write.mode("append").parquet(source)
+        usage.keep_usage(usage.stream_transcript_usage(spark, source), out, check)
+    # A batch whose commit was lost runs again, over the same rows.
+    commits = sorted(p for p in (tmp_path / "check" / "commits").iterdir() if p.name.isdigit())
+    for path in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        path.unlink(missing_ok=True)
+    usage.keep_usage(usage.stream_transcript_usage(spark, source), out, check)
+    found = usage.usage_so_far(spark, out)
+    assert sorted(map(str, found.select("file", "ord", "model", *transcripts.RAW, "service_tier", "copies", "request_key").collect())) == expected
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 3

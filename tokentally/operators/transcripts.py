@@ -42,24 +42,53 @@ def with_buckets(usages: DataFrame) -> DataFrame:
     )
 
 
+PART = ["host", "request_key", "first", *RAW, "has_input", "tier", "pace", "copies"]
+
+
+def usage_parts(usages: DataFrame) -> DataFrame:
+    """What some of the copies of each request say of it: the first copy, the largest counts, the first
+    known tier and speed, each with its place, and how many copies there are.
+
+    Parts of any shares of the copies, made in any order, merge to the part of all of them. Usage without a key is a part of its own.
+    """
+    place = ["mtime_ms", "file", "ord"]
+
+    def placed(name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), F.struct(*place, F.col(name).alias("value")))
+
+    own = F.concat(F.lit("\u0000"), "file", F.lit(":"), F.col("ord").cast("string"))
+    return usages.select(
+        "host", F.coalesce("request_key", own).alias("request_key"), F.struct(*place, "at", "model").alias("first"), *RAW, "has_input",
+        placed("service_tier").alias("tier"), placed("speed").alias("pace"), F.lit(1).cast("bigint").alias("copies"),
+    )
+
+
+def merge_usage(parts: DataFrame) -> DataFrame:
+    """One part of each request. Copies are reduced by aggregates with map-side partials, so a request logged
+    any number of times, in any number of files, costs one row per task."""
+    place = F.struct("first.mtime_ms", "first.file", "first.ord")
+    return parts.groupBy("host", "request_key").agg(
+        F.min_by("first", place).alias("first"), *[F.max(c).alias(c) for c in RAW], F.max("has_input").alias("has_input"),
+        F.min("tier").alias("tier"), F.min("pace").alias("pace"), F.sum("copies").alias("copies"),
+    ).select(*PART)
+
+
 def distinct_usage(usages: DataFrame) -> DataFrame:
     """Each request once: the largest value of every count over its streamed copies, the
     first known tier and speed, credited to the first copy (oldest file, then line).
-
-    Copies are reduced by aggregates with map-side partials, so a request logged
-    any number of times, in any number of files, costs one row per task.
     """
-    place = F.struct("mtime_ms", "file", "ord")
+    keyed = merged_usage(merge_usage(usage_parts(usages.where("request_key is not null"))))
+    alone = usages.where("request_key is null").withColumn("copies", F.lit(1).cast("bigint"))
+    return keyed.unionByName(alone.select(keyed.columns))
 
-    def first_known(name: str) -> Column:
-        return F.min_by(name, F.when(F.col(name).isNotNull(), place)).alias(name)
 
-    keyed = usages.where("request_key is not null").groupBy("host", "request_key").agg(
-        F.min_by(F.struct("file", "ord", "mtime_ms", "at", "model"), place).alias("_first"), *[F.max(c).alias(c) for c in RAW],
-        F.max("has_input").alias("has_input"), first_known("service_tier"), first_known("speed"), F.count("*").alias("copies"),
+def merged_usage(parts: DataFrame) -> DataFrame:
+    """Requests from their merged parts."""
+    key = F.when(~F.col("request_key").startswith("\u0000"), F.col("request_key"))
+    return parts.select(
+        "host", "first.file", "first.ord", "first.mtime_ms", "first.at", "first.model", key.alias("request_key"), *RAW, "has_input",
+        F.col("tier.value").alias("service_tier"), F.col("pace.value").alias("speed"), "copies",
     )
-    once = keyed.select("host", "_first.*", "request_key", *RAW, "has_input", "service_tier", "speed", "copies")
-    return once.unionByName(usages.where("request_key is null").withColumn("copies", F.lit(1).cast("bigint")).select(once.columns))
 
 
 def _sums() -> list[Column]:
