@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,25 +49,39 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the folder the cluster names.
-
-    ``spark.checkpoint.dir`` is read from the session. A folder of our own is
-    made only where none is set and Spark runs inside this process.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names; one of our own only where none is set and Spark runs inside this process."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="tokentally-checkpoint-"))
+    return _own[0]
+
+
+_own: list[str] = []
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage with a checkpoint in the folder the cluster names."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if configured:
-            context.setCheckpointDir(configured)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tokentally-checkpoint-"))
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def parsed_once(records: DataFrame) -> DataFrame:
+    """A table that many parts of a query read, written as columns to the folder the cluster names.
+
+    Records are parsed once; each part then reads the fields it needs, and no plan holds the parser.
+    """
+    path = f"{checkpoint_folder(records.sparkSession).rstrip('/')}/tokentally-{uuid.uuid4().hex}"
+    records.write.parquet(path)
+    return records.sparkSession.read.schema(records.schema).parquet(path)
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """A small literal table the optimizer knows the size of."""
     table = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], to_arrow_schema(schema))

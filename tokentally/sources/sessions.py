@@ -12,7 +12,7 @@ from tokentally.functions import records as R
 from tokentally.operators import events, friction, otel, paths, pricing, rollout, transcripts, workspace
 from tokentally.operators.rollout import FILE
 from tokentally.operators.sessions import cost_warnings, service_tier_summary
-from tokentally.runtime import reliable_checkpoint
+from tokentally.runtime import parsed_once, reliable_checkpoint
 
 THREAD_COLUMNS = [
     "id", "rollout_path", "created_at", "updated_at", "cwd", "title", "model_provider", "model", "tokens_used", "source", "thread_source",
@@ -56,6 +56,7 @@ NO_FRICTION = [
 
 def rollout_sessions(records: DataFrame, cards: DataFrame, roots: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """Sessions of rollout logs, one per file (records parsed as ROLLOUT)."""
+    records = parsed_once(records)
     facts, totals = rollout.session_fold(records), reliable_checkpoint(rollout.token_totals(records))
     issues = friction.issue_rollup(friction.command_issues(records, totals))
     models = facts.select(*FILE, F.col("model").alias("session_model"))
@@ -81,6 +82,7 @@ def rollout_sessions(records: DataFrame, cards: DataFrame, roots: DataFrame | No
 
 def transcript_sessions(records: DataFrame, cards: DataFrame, roots: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """Sessions of project transcripts, split by day and model (records parsed as TRANSCRIPT)."""
+    records = parsed_once(records)
     events = reliable_checkpoint(transcripts.with_buckets(transcripts.distinct_usage(transcripts.usage_rows(records))))
     pieces = transcripts.split_sessions(events)
     flags = pieces.select(*FILE, "split").distinct()
