@@ -7,7 +7,7 @@ from helpers import LONG, frame
 from pyspark.sql import functions as F
 
 from tokentally.llm.common import _BYTE, _PLACE, U64, mix, span_hashes, text_buffers
-from tokentally.llm.quality import Model, counts, features, fit, sample, score
+from tokentally.llm.quality import AGAIN, Model, counts, features, fit, sample, score
 
 SF = "/root/testdata/sf0.01"
 
@@ -28,8 +28,8 @@ def test_features_stay_inside_words_and_rows():
     texts = ["abcd abcd", "", "xyz", None, "a  a A", "é" * 3]
     feature, row = features(*text_buffers(pa.array(texts)))
     n = np.bincount(row, minlength=len(texts)).tolist()
-    # Two forms of each word, 3-grams and 4-grams of characters.
-    assert n == [2 * 2 + 2 * 2 + 2 * 1, 0, 2 + 1, 0, 2 * 3, 2 + 1]
+    # Two forms of each word, words that repeat the one before, 3-grams and 4-grams of characters.
+    assert n == [2 * 2 + 1 + 2 * 2 + 2 * 1, 0, 2 + 1, 0, 2 * 3 + 2, 2 + 1]
     alone = features(*text_buffers(pa.array(["xyz"])))[0]
     assert sorted(alone) == sorted(feature[row == 2])
     r, f, c = counts(feature, row, 1 << 16)
@@ -77,7 +77,8 @@ def plain_features(text, buckets=1 << 16):
 
     found = []
     if words:
-        found += [int(h) for h in of(words, True)] + [int(h) ^ 0x5BD1E995 for h in of(words)]
+        low = [int(h) for h in of(words, True)]
+        found += low + [int(h) ^ 0x5BD1E995 for h in of(words)] + [int(AGAIN) for a, b in zip(low, low[1:]) if a == b]
     one = lambda c: int(mix(np.array([sum(int(_BYTE[b]) * int(_PLACE[j]) for j, b in enumerate(c.encode())) % 2**64], U64))[0])
     for n in (3, 4):
         for w in words:

@@ -1,7 +1,8 @@
 """Quality of texts by supervised subword embeddings.
 
-Features of a text are its words (without ASCII case), its words as written and the character
-n-grams inside each word, hashed into one table of learned vectors. A text is the average of
+Features of a text are its words (without ASCII case), its words as written, the character
+n-grams inside each word, and "the same word again" for each word that repeats the one before it (words of a text
+that stutters need not occur in any other), hashed into one table of learned vectors. A text is the average of
 the vectors of all its features; a linear layer and a softmax give the class. The table and
 the layer are trained by stochastic gradient descent on a bounded, stated number of labelled
 texts. Averages are linear, so a trained model scores a text by one number for each feature:
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from tokentally.llm.common import _BYTE, _PLACE, U64, annotate, blocks, grouped_arange, map_arrow, mix, span_hashes, word_spans
 
 BUCKETS = 1 << 16
+# Feature of a word that repeats the one before it.
+AGAIN = U64(0x2127599BF4325C37)
 DIMENSIONS = 16
 GRAMS = (3, 4)
 EPOCHS = 6
@@ -44,8 +47,10 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS, gram
     starts, ends, first_word = word_spans(data, offsets)
     shift = U64(64 - (buckets - 1).bit_length())
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first_word))
-    found = [span_hashes(data, starts, ends, fold=True), span_hashes(data, starts, ends) ^ U64(0x5BD1E995)]
-    rows = [row, row]
+    words = span_hashes(data, starts, ends, fold=True)
+    again = np.flatnonzero((words[1:] == words[:-1]) & (row[1:] == row[:-1])) + 1
+    found = [words, span_hashes(data, starts, ends) ^ U64(0x5BD1E995), np.full(len(again), AGAIN)]
+    rows = [row, row, row[again]]
     if len(starts):
         at, values = characters(data)
         # Words as ranges of characters; an n-gram lies inside one word.
