@@ -139,9 +139,8 @@ def with_rates(df: DataFrame, cards: DataFrame, ids: DataFrame | None = None) ->
     if ids is None:
         return _rates_by_row(df, cards)
     few = ids.select("model").where("model is not null").distinct().limit(BROADCAST_ROW_LIMIT + 1)
-    # A limit leaves one partition, so this numbers its rows.
-    beyond = F.monotonically_increasing_id() >= BROADCAST_ROW_LIMIT
-    counted = few.withColumn("model", F.when(beyond, F.raise_error(F.lit("too many model ids: leave out ids")).cast("string")).otherwise(F.col("model")))
+    listed = F.when(F.count("*") <= BROADCAST_ROW_LIMIT, F.collect_list("model")).otherwise(F.raise_error(F.lit("too many model ids: leave out ids")))
+    counted = few.agg(listed.alias("models")).select(F.explode("models").alias("model"))
     known = _rates_by_row(counted, cards).withColumnRenamed("model", "_m")
     return df.join(F.broadcast(known), F.col("model") == F.col("_m"), "left").drop("_m")
 
