@@ -1,0 +1,49 @@
+"""Inputs are read once, and nothing is broadcast because its size was estimated too low."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from tokentally.operators import otel, rollout, transcripts
+from tokentally.plans import registry
+from tokentally.runtime import prepare
+from tokentally.sources import schemas
+from tokentally.sources.files import parse_records
+
+registry.load()
+
+
+def executed(df) -> str:
+    """The plan as it ran."""
+    query = df._jdf.queryExecution()
+    df._jdf.rdd().count()
+    return query.executedPlan().toString()
+
+
+def leaves(df) -> int:
+    """How often the plan reads its input, a range."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Range (")
+
+
+def telemetry(spark, n):
+    attributes = "map('gen_ai.response.model', 'gpt-5', 'gen_ai.usage.input_tokens', '10')"
+    line = f"to_json(named_struct('name', 'chat x', 'type', 'span', 'traceId', concat('a-rather-long-trace-id-', id), 'spanId', 's', 'attributes', {attributes}))"
+    return parse_records(spark.range(n).selectExpr("'h' AS host", "concat('/f', id % 7) AS file", "id AS ord", f"{line} AS line"), schemas.OTEL)
+
+
+def test_trace_contexts_are_not_broadcast_by_an_estimate(spark):
+    prepare(spark)
+    found = otel.candidates(telemetry(spark, 30_000))
+    assert "BroadcastExchange" not in executed(found)
+    assert found.count() == 30_000
+    assert "BroadcastExchange" not in executed(otel.suppress_weaker(found))
+
+
+def test_usage_rows_are_not_broadcast_by_an_estimate(spark):
+    prepare(spark)
+    counts = "named_struct('input_tokens', 5, 'output_tokens', 1)"
+    line = f"to_json(named_struct('type', 'event_msg', 'payload', named_struct('type', 'token_count', 'info', named_struct('last_token_usage', {counts}))))"
+    records = parse_records(spark.range(30_000).selectExpr("'h' AS host", "concat('/a-rather-long-file-name-', id) AS file", "id AS ord", f"{line} AS line"), schemas.ROLLOUT)
+    requests = rollout.token_requests(records)
+    assert "BroadcastExchange" not in executed(requests)
+    assert requests.count() == 30_000
