@@ -47,3 +47,16 @@ def test_usage_rows_are_not_broadcast_by_an_estimate(spark):
     requests = rollout.token_requests(records)
     assert "BroadcastExchange" not in executed(requests)
     assert requests.count() == 30_000
+
+
+def test_fold_reads_its_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = spark.range(40).selectExpr("'h' AS host", "'f' AS file", "id AS ord", "'user' AS role", "concat('t', id % 2) AS text", "timestamp_millis(id * 2000) AS at")
+    kept = rollout.distinct_messages(rows.withColumn("text", F.udf(seen).asNondeterministic()("text").alias("text")), chunk=3)
+    assert kept.count() == 20
+    assert read.value == 40
