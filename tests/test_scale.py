@@ -60,3 +60,22 @@ def test_fold_reads_its_input_once(spark):
     kept = rollout.distinct_messages(rows.withColumn("text", F.udf(seen).asNondeterministic()("text").alias("text")), chunk=3)
     assert kept.count() == 20
     assert read.value == 40
+
+
+def test_requests_are_merged_in_one_pass_and_unkeyed_copies_stay(spark):
+    line = "to_json(named_struct('requestId', if(id < 4, 'r', NULL), 'timestamp', '2026-01-01T00:00:00Z', 'message', named_struct('id', 'm', 'model', 'claude-x', 'usage', named_struct('input_tokens', id))))"
+    lines = spark.range(1, 7).selectExpr("'h' AS host", "'/f' AS file", "if(id > 4, 5L, id) AS ord", "0L AS mtime_ms", f"{line} AS line")
+    once = transcripts.distinct_usage(transcripts.usage_rows(parse_records(lines, schemas.TRANSCRIPT)))
+    rows = sorted((r.request_key or "", r.raw_input, r.copies) for r in once.collect())
+    assert rows == [("", 4, 1), ("", 5, 1), ("", 6, 1), ("r:m", 3, 3)]
+    assert leaves(once) == 1
+    assert leaves(transcripts.split_sessions(transcripts.with_buckets(once))) == 1
+
+
+def test_transcript_facts_take_one_pass(spark):
+    tool = json.dumps({"message": {"role": "assistant", "content": [{"type": "tool_use", "name": "Bash"}]}, "toolUseResult": {"exit_code": 1}})
+    lines = spark.range(4).selectExpr("'h' AS host", "if(id < 3, '/a', '/b') AS file", "id AS ord", f"if(id < 2, '{tool}', '{{cut') AS line")
+    facts = transcripts.session_facts(parse_records(lines, schemas.TRANSCRIPT))
+    got = {r.file: (r.tool_call_count, r.shell_command_count, r.failed_tool_call_count, r.assistant_message_count, r.parse_error_count, r.parse_status, r.session_outcome) for r in facts.collect()}
+    assert got == {"/a": (2, 2, 2, 2, 1, "partial", "partial"), "/b": (None, None, None, None, 1, "failed", "failed")}
+    assert leaves(facts) == 1
