@@ -79,3 +79,11 @@ def test_transcript_facts_take_one_pass(spark):
     got = {r.file: (r.tool_call_count, r.shell_command_count, r.failed_tool_call_count, r.assistant_message_count, r.parse_error_count, r.parse_status, r.session_outcome) for r in facts.collect()}
     assert got == {"/a": (2, 2, 2, 2, 1, "partial", "partial"), "/b": (None, None, None, None, 1, "failed", "failed")}
     assert leaves(facts) == 1
+
+
+def test_lines_are_not_built_again_below_the_parse(spark):
+    line = "to_json(named_struct('type', cast(id AS string)))"
+    records = parse_records(spark.range(9).selectExpr("'h' AS host", "'/f' AS file", "id AS ord", f"if(id < 8, {line}, '{{cut') AS line"), schemas.TRANSCRIPT)
+    good = records.where("not bad").select("file", "ord", "rec.type")
+    assert good.count() == 8
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("StructsToJsonEvaluator") == 1
