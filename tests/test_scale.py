@@ -2,9 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from tokentally.operators import otel, rollout, transcripts
+from tokentally.operators import otel, rollout, scans, transcripts
 from tokentally.plans import registry
 from tokentally.runtime import prepare
 from tokentally.sources import schemas
@@ -87,3 +88,19 @@ def test_lines_are_not_built_again_below_the_parse(spark):
     good = records.where("not bad").select("file", "ord", "rec.type")
     assert good.count() == 8
     assert good._jdf.queryExecution().optimizedPlan().toString().count("StructsToJsonEvaluator") == 1
+
+
+def test_prompt_timeline_numbers_all_whole_messages(spark, tmp_path):
+    turns = spark.range(100).selectExpr("if(id < 95, 7L, 8L) AS conv_id", "cast(id AS int) AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat(cast(id AS string), 600) AS text")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = registry.QUERIES["prompt_timeline"](spark, str(tmp_path)).collect()
+    long = sorted((r.place, r.turn, len(r.text)) for r in rows if r.conv_id == 7)
+    assert long == [(i + 1, i, 600 * len(str(i))) for i in range(95)]
+    assert sorted(r.place for r in rows if r.conv_id == 8) == [1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1000])
+def test_row_places(spark, chunk):
+    rows = spark.range(20).selectExpr("id % 3 AS k", "id div 6 AS ord", "id")
+    got = [(r.id, r.n) for r in scans.row_places(rows, ["k"], "ord", "n", ("id",), chunk).orderBy("id").collect()]
+    assert got == [(i, i // 3 + 1) for i in range(20)]
