@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tokentally.operators import otel, rollout, scans, transcripts
+from tokentally.operators import otel, reports, rollout, scans, transcripts
 from tokentally.plans import registry
 from tokentally.runtime import prepare
 from tokentally.sources import schemas
@@ -104,3 +104,26 @@ def test_row_places(spark, chunk):
     rows = spark.range(20).selectExpr("id % 3 AS k", "id div 6 AS ord", "id")
     got = [(r.id, r.n) for r in scans.row_places(rows, ["k"], "ord", "n", ("id",), chunk).orderBy("id").collect()]
     assert got == [(i, i // 3 + 1) for i in range(20)]
+
+
+def test_split_pieces_without_ordinals_keep_their_model(spark):
+    line = "to_json(named_struct('timestamp', concat('2026-01-0', id, 'T00:00:00Z'), 'message', named_struct('model', concat('claude-', id), 'usage', named_struct('input_tokens', 1))))"
+    lines = spark.range(1, 4).selectExpr("'h' AS host", "'/f' AS file", "cast(NULL AS bigint) AS ord", "0L AS mtime_ms", f"{line} AS line")
+    events = transcripts.with_buckets(transcripts.distinct_usage(transcripts.usage_rows(parse_records(lines, schemas.TRANSCRIPT))))
+    assert sorted(r.model for r in transcripts.split_sessions(events).collect()) == ["claude-1", "claude-2", "claude-3"]
+
+
+def test_records_of_one_ordinal_are_told_apart_by_their_place(spark):
+    attributes = "map('gen_ai.usage.input_tokens', cast(id AS string), 'gen_ai.conversation.id', concat('c', id))"
+    line = f"to_json(named_struct('name', 'chat x', 'type', 'span', 'traceId', 't', 'spanId', 's', 'attributes', {attributes}))"
+    lines = spark.range(1, 9, 1, 4).selectExpr("'h' AS host", "'/f' AS file", "5L AS ord", f"{line} AS line")
+    rows = otel.file_events(parse_records(lines, schemas.OTEL)).collect()
+    assert [(r.session_id, r.input_tokens) for r in rows] == [("c8", 8)]
+
+
+def test_groups_are_worked_out_once(spark):
+    table = spark.range(20).selectExpr("concat('g', id) AS id", "concat('G', id) AS label", "id AS total_tokens")
+    assert leaves(reports.model_share(table, "total_tokens", 8)) == 0
+    rows = reports.filter_options(table, "label", ["G1", "H"])
+    assert leaves(rows) == 1  # the one row of wanted values
+    assert sorted((r.value, r.usage) for r in rows.collect())[-1] == ("H", 0)
