@@ -12,6 +12,7 @@ from tokentally.operators import filters as X
 from tokentally.operators import groups as G
 from tokentally.operators.groups import important_failures, ratio, total
 from tokentally.operators.sorts import with_position
+from tokentally.runtime import reliable_checkpoint
 
 
 def source_stats(sessions: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def model_leaders(rows: DataFrame) -> DataFrame:
 
 def model_share(rows: DataFrame, metric: str, n: int) -> DataFrame:
     """The n largest models and their share of the positive total."""
-    positive = rows.where(F.col(metric) > 0)
+    positive = reliable_checkpoint(rows.where(F.col(metric) > 0))
     whole = positive.agg(F.sum(metric)).scalar()
     return positive.orderBy(F.col(metric).desc(), "id").limit(n).select(
         "id", "label", F.col(metric).alias("value"), (F.col(metric).cast("double") / whole.cast("double")).alias("share")
@@ -388,6 +389,7 @@ def filter_options(groups: DataFrame, value: str, selected: list[str]) -> DataFr
     found = groups.select(F.col(value).alias("value"), "label", F.col("total_tokens").alias("usage"))
     if not selected:
         return found
+    found = reliable_checkpoint(found)  # once for the list and once for what it lacks
     wanted = groups.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in selected])).alias("value"))
     absent = wanted.join(found, "value", "left_anti").select("value", F.col("value").alias("label"), F.lit(0).cast("bigint").alias("usage"))
     return found.unionByName(absent)

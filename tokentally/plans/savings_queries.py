@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tokentally.operators import reports, sorts
 from tokentally.plans.binding import Tables
 from tokentally.plans.registry import query
+from tokentally.runtime import parsed_once
 from tokentally.sources import savings
 
 
@@ -43,7 +44,8 @@ SAVED_ORDER = "coalesce(replace(saved, 'K', '')::BIGINT * 1000, 0) DESC, command
 
 @query("sort_saved_commands", f"SELECT *, row_number() OVER (ORDER BY {SAVED_ORDER}) - 1 AS position FROM ({COMMANDS.replace('NULL AS saved', 'NULL::VARCHAR AS saved')})")
 def _(t: Tables) -> DataFrame:
-    return sorts.with_position(sorts.sort_saved_commands(savings.saved_commands(_reports(t)).drop("host"), "saved", descending=True))
+    # A sort reads its rows twice, first to find the ranges; reports are parsed once.
+    return sorts.with_position(sorts.sort_saved_commands(parsed_once(savings.saved_commands(_reports(t)).drop("host")), "saved", descending=True))
 
 
 @query("recent_saved_commands", f"""SELECT {KEY}, 0 AS place, '12:0' || (c_custkey % 10) AS time, 'cargo test' AS command, '-' || (c_custkey % 30) || '% (1.2K)' AS savings FROM customer
