@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tokentally.operators import otel, reports, rollout, scans, transcripts
+from tokentally.operators import friction, otel, reports, rollout, scans, transcripts
 from tokentally.plans import registry
 from tokentally.runtime import prepare
 from tokentally.sources import schemas
@@ -127,3 +127,12 @@ def test_groups_are_worked_out_once(spark):
     rows = reports.filter_options(table, "label", ["G1", "H"])
     assert leaves(rows) == 1  # the one row of wanted values
     assert sorted((r.value, r.usage) for r in rows.collect())[-1] == ("H", 0)
+
+
+def test_issues_are_worked_out_once(spark):
+    rows = spark.range(6).selectExpr(
+        "'h' AS host", "'/f' AS file", "id AS ord", "'make' AS command", "'unknown' AS category", "false AS harmless", "'unknown' AS classification", "'info' AS severity", "'low' AS impact"
+    )
+    found = friction.repeat_failures(rows)
+    assert leaves(found) == 0
+    assert [r.clustered for r in found.collect()] == [True] * 6
