@@ -50,6 +50,29 @@ def test_usage_rows_are_not_broadcast_by_an_estimate(spark):
     assert requests.count() == 30_000
 
 
+@pytest.fixture
+def broadcasts_by_estimate(spark):
+    """A caller's settings, under which a plan built earlier is run."""
+    prepare(spark)
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {n: spark.conf.get(n) for n in names}
+    for n in names:
+        spark.conf.set(n, "1g")
+    yield
+    for n, value in before.items():
+        spark.conf.set(n, value)
+
+
+def test_telemetry_joins_do_not_depend_on_the_callers_broadcast_settings(spark, broadcasts_by_estimate):
+    records = telemetry(spark, 200)
+    found = otel.candidates(records)
+    assert "BroadcastExchange" not in executed(found)
+    assert found.count() == 200
+    merged = otel.merged_sessions(otel.file_events(records))
+    assert "BroadcastExchange" not in executed(merged)
+    assert merged.agg(F.sum("events")).first()[0] == 200
+
+
 def test_fold_reads_its_input_once(spark):
     read = spark.sparkContext.accumulator(0)
 
