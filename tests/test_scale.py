@@ -73,6 +73,30 @@ def test_telemetry_joins_do_not_depend_on_the_callers_broadcast_settings(spark,
     assert merged.agg(F.sum("events")).first()[0] == 200
 
 
+@pytest.mark.parametrize("method", ["delta_sum", "final_snapshot"])
+def test_rollout_joins_do_not_depend_on_the_callers_broadcast_settings(spark, broadcasts_by_estimate, method):
+    kind = "last_token_usage" if method == "delta_sum" else "total_token_usage"
+    line = f"to_json(named_struct('type', 'event_msg', 'payload', named_struct('type', 'token_count', 'info', named_struct('{kind}', named_struct('input_tokens', 5, 'output_tokens', 1)))))"
+    records = parse_records(spark.range(200).selectExpr("'h' AS host", "concat('/f', id) AS file", "id AS ord", f"{line} AS line"), schemas.ROLLOUT)
+    requests, totals = rollout.token_requests(records), rollout.token_totals(records)
+    assert "BroadcastExchange" not in executed(requests)
+    assert "BroadcastExchange" not in executed(totals)
+    assert {(r.method, r.n) for r in requests.groupBy("method").agg(F.count("*").alias("n")).collect()} == {(method, 200)}
+    assert totals.where("token_confidence = 'high' AND input_tokens = 5").count() == 200
+
+
+def test_scans_do_not_depend_on_the_callers_broadcast_settings(spark, broadcasts_by_estimate):
+    rows = spark.range(40).selectExpr("'h' AS host", "id AS ord", "if(id % 7 = 0, id, NULL) AS v")
+    key = ["host"]
+    summed = scans.running_sum(rows, key, "ord", F.lit(1), "n", chunk=9)
+    placed = scans.row_places(rows, key, "ord", "n", chunk=9)
+    filled = scans.forward_fill(rows, key, "ord", {"last": F.col("v")}, chunk=9)
+    for made in (summed, placed, filled):
+        assert "BroadcastExchange" not in executed(made)
+    assert {r.ord + 1 - r.n for r in summed.collect() + placed.collect()} == {0}
+    assert all(r.last == r.ord // 7 * 7 for r in filled.collect())
+
+
 def test_fold_reads_its_input_once(spark):
     read = spark.sparkContext.accumulator(0)
 
