@@ -184,3 +184,18 @@ def test_issues_are_worked_out_once(spark):
     found = friction.repeat_failures(rows)
     assert leaves(found) == 0
     assert [r.clustered for r in found.collect()] == [True] * 6
+
+
+def test_model_rows_gather_no_warnings(spark):
+    from tokentally.operators import groups
+
+    slices = "array(named_struct('model', 'a', 'cost_micro', 5L, " + ", ".join(f"'{c}', 2L" for c in groups.TOKENS) + "))"
+    sessions = spark.range(4).selectExpr(
+        "cast(id AS string) AS id", "concat('/r', id % 2) AS repo_root", "timestamp_millis(id) AS started_at", "timestamp_millis(id) AS ended_at", "'a' AS model", f"{slices} AS model_usage",
+        *[f"2L AS {c}" for c in groups.TOKENS], "5L AS cost_micro", "3L AS message_count", "array('w', cast(id AS string)) AS warnings",
+    )
+    made = reports.model_usage(sessions)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "_code" not in plan
+    row = made.first()
+    assert (row.id, row.cost_micro, row.session_count, row.message_count, row.total_tokens, row.top_repo, row.latest_session) == ("a", 20, 4, 12, 8, "/r0", "3")

@@ -91,12 +91,12 @@ def model_usage(sessions: DataFrame) -> DataFrame:
     """Model rows with provider, cache rate, mean cost, top repo and latest session.
 
     Slices are summed by (model, repo) first; everything else is a sum or a
-    best-of over those rows.
+    best-of over those rows. No column names warnings, so none are gathered.
     """
     activity = F.coalesce("started_at", "ended_at")
-    slices = G.with_codes(G.model_slices(sessions).withColumn("_model", F.coalesce("model", F.lit("unknown-model"))), ["_model", "repo_root"])
+    slices = G.model_slices(sessions).withColumn("_model", F.coalesce("model", F.lit("unknown-model"))).withColumn("_one", F.lit(1))
     per_repo = slices.groupBy(F.col("_model").alias("id"), "repo_root").agg(
-        *G.usage_aggregates(), F.max_by(F.struct("id", activity.alias("at")), F.struct(activity, F.col("id"))).alias("latest"),
+        *G.usage_sums(), F.max_by(F.struct("id", activity.alias("at")), F.struct(activity, F.col("id"))).alias("latest"),
     )
     used = (F.col("total_tokens") > 0) | (F.coalesce("cost_micro", F.lit(0)) > 0)
     best = F.struct(-F.coalesce("cost_micro", F.lit(0)), -F.col("total_tokens"), F.col("repo_root"))
