@@ -103,3 +103,12 @@ def test_stale_full_table_rows_are_dropped(spark):
 def test_rounding_is_half_up_once_per_session(spark):
     rows = [("s", "half", 1, 1, 0, 0, 0, 0)] * 3
     assert cost_of(spark, rows, card("half", input=0.5, output=1)).cost_micro == 2
+
+
+def test_slices_are_summed_in_hash_aggregates(spark):
+    rows = [("s", "mystery-1", 10, 10, 0, 0, 1, 0), ("s", "mystery-1", None, 10, 0, 0, 1, 0), ("t", None, 10, 10, 0, 0, 1, 0), ("u", "gpt-6.1-sol", 10, 10, 0, 0, 1, 0)]
+    slices = pricing.session_slices(requests(spark, rows), cards(spark), ["session_id"])
+    plan = slices._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate(keys=[session_id" not in plan and "SortAggregate(keys=[session_id" not in plan
+    found = {r.session_id: (r.model, r.request_count, r.price_warnings) for r in slices.collect()}
+    assert found == {"s": ("mystery-1", 2, ["unknown_pricing_model:mystery-1"]), "t": (None, 1, ["unknown_pricing"]), "u": ("gpt-6.1-sol", 1, [])}

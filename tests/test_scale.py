@@ -199,3 +199,25 @@ def test_model_rows_gather_no_warnings(spark):
     assert "collect_set" not in plan and "_code" not in plan
     row = made.first()
     assert (row.id, row.cost_micro, row.session_count, row.message_count, row.total_tokens, row.top_repo, row.latest_session) == ("a", 20, 4, 12, 8, "/r0", "3")
+
+
+def usage_sessions(spark, n):
+    from tokentally.operators import groups
+
+    return spark.range(n).selectExpr(
+        "cast(id AS string) AS id", "concat('t', id) AS title", "concat('/r', id % 2) AS repo_root", "concat('a', id % 3) AS source_app", "'codex' AS source_client", "'a' AS model",
+        "array(named_struct('model', 'a', 'cost_micro', 5L, " + ", ".join(f"'{c}', 2L" for c in groups.TOKENS) + ")) AS model_usage",
+        *[f"2L AS {c}" for c in groups.TOKENS], "if(id = 1, 50L, 5L) AS cost_micro", "3L AS message_count", "array('w', concat('v', id % 2)) AS warnings", "'ok' AS parse_status", "0L AS parse_error_count",
+        "'cli' AS detected_surface", "1L AS file_edit_count", "9L AS shell_command_count", "0L AS important_command_failures", "0L AS failed_tool_call_count",
+    )
+
+
+def test_model_groups_sum_slices_in_a_hash_aggregate(spark):
+    from tokentally.operators import groups
+
+    made = groups.by_model(usage_sessions(spark, 4))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    spread = [line for line in plan.splitlines() if "Aggregate [_id" in line]
+    assert len(spread) == 1 and "_code" in spread[0].split("]")[0] and "collect_set" not in spread[0]
+    row = made.first()
+    assert (row.id, row.cost_micro, row.session_count, row.message_count, row.total_tokens, row.warnings) == ("a", 20, 4, 12, 8, ["v0", "v1", "w"])
