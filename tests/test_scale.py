@@ -221,3 +221,14 @@ def test_model_groups_sum_slices_in_a_hash_aggregate(spark):
     assert len(spread) == 1 and "_code" in spread[0].split("]")[0] and "collect_set" not in spread[0]
     row = made.first()
     assert (row.id, row.cost_micro, row.session_count, row.message_count, row.total_tokens, row.warnings) == ("a", 20, 4, 12, 8, ["v0", "v1", "w"])
+
+
+def test_health_facts_are_summed_in_numbers(spark):
+    from tokentally.operators import rules
+
+    made = rules.health_signals(usage_sessions(spark, 4))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan and "Aggregate [repo_root" in plan
+    rows = {r.id: r.metric for r in made.collect()}
+    assert rows["cost-concentration"] == "76.9%" and rows["app-attribution"] == "3 apps" and rows["repo-grouping"] == "4 sessions"
+    assert [r.id for r in rules.health_affected(usage_sessions(spark, 4)).where("signal = 'cost-concentration'").collect()] == ["1"]

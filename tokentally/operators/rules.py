@@ -61,7 +61,11 @@ def session_flags() -> dict[str, Column]:
 
 
 def health_facts(sessions: DataFrame, in_view: Column) -> DataFrame:
-    """One row: what was scanned, and sums over the visible sessions in view."""
+    """One row: what was scanned, and sums over the visible sessions in view.
+
+    Sessions are summed once, by (repo, app), in numbers alone unless a caller reads ``top``; repos and apps
+    are counted over those cells.
+    """
     seen = G.is_visible()
     view = seen & in_view
 
@@ -70,17 +74,24 @@ def health_facts(sessions: DataFrame, in_view: Column) -> DataFrame:
 
     dearest = F.struct(-c("cost_micro"), c("id"))
     flags = [F.count_if(view & test).alias(f"n_{name}") for name, test in session_flags().items()]
-    return sessions.agg(
+    cells = sessions.groupBy("repo_root", "source_app").agg(
         F.count_if(seen).alias("scan_sessions"), F.count_if(~seen).alias("scan_zero_tokens"),
-        F.countDistinct(F.when(seen, c("repo_root"))).alias("scan_repos"), F.countDistinct(F.when(seen, c("source_app"))).alias("scan_apps"),
         F.count_if(view).alias("sessions"),
         *[add(name).alias(name) for name in ("input_tokens", "cached_input_tokens", "output_tokens", "total_tokens", "shell_command_count",
                                              "important_command_failures", "failed_tool_call_count", "file_edit_count")],
         F.count_if(view & (F.coalesce("file_edit_count", F.lit(0)) == 0)).alias("no_code_change"),
-        F.coalesce(F.sum(F.when(view, c("cost_micro"))), F.lit(0)).alias("cost_micro"),
+        F.sum(F.when(view, c("cost_micro"))).alias("cost_micro"), F.max(F.when(view, c("cost_micro"))).alias("top_cost"),
         F.min_by(F.struct("id", "title", "cost_micro"), F.when(view & c("cost_micro").isNotNull(), dearest)).alias("top"),
         *flags,
     )
+    kept = ("repo_root", "source_app", "top_cost", "top")
+    top_of = F.when(c("top").isNotNull(), F.struct(-c("top.cost_micro"), c("top.id")))
+    return cells.agg(
+        F.countDistinct(F.when(c("scan_sessions") > 0, c("repo_root"))).alias("scan_repos"),
+        F.countDistinct(F.when(c("scan_sessions") > 0, c("source_app"))).alias("scan_apps"),
+        *[total(name).alias(name) for name in cells.columns if name not in kept],
+        F.max("top_cost").alias("top_cost"), F.min_by("top", top_of).alias("top"),
+    )
 
 
 def health_signals_list() -> list[Signal]:
@@ -96,7 +107,7 @@ def health_signals_list() -> list[Signal]:
         return Signal(signal, title, "attention", n > 0, "count", n, word=word, affected=flags[flag], critical=critical)
 
     per_edit = F.round(tokens.cast("double") / F.nullif(edits, F.lit(0)).cast("double")).cast("bigint")
-    top_cost = F.coalesce("top.cost_micro", F.lit(0))
+    top_cost = F.coalesce("top_cost", F.lit(0))
     return [
         Signal("repo-grouping", "Repo grouping is working", "good", c("scan_repos") > 0, "count", c("scan_sessions"), word="session"),
         Signal("app-attribution", "App attribution is visible", "good", c("scan_apps") > 1, "count", c("scan_apps"), word="app"),
