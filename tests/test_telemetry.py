@@ -2,11 +2,13 @@
 
 import json
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tokentally.operators import otel
-from tokentally.runtime import prepare
+from tokentally.runtime import FREED, parsed_once, prepare
 from tokentally.sources import schemas
 from tokentally.sources.files import parse_records
 
@@ -111,3 +113,39 @@ def test_first_occurrences_shuffle_what_is_read_once_by_trace(spark):
     assert "ReusedExchange" in plan and "SortMergeJoin" not in plan
     # Counts of tokens are no part of the answer: they end below the first shuffle.
     assert "input_tokens" not in optimized.split("RepartitionByExpression")[0]
+
+
+def shuffled_files(spark) -> int:
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+    return sum(str(blocks.apply(i)).startswith("shuffle_") for i in range(blocks.size()))
+
+
+def test_what_a_stored_table_shuffled_leaves_the_disk(spark):
+    before, setting = shuffled_files(spark), spark.conf.get(FREED, None)
+    table = parsed_once(spark.range(1000).repartition(5, F.col("id") % 5))
+    for _ in range(50):  # they are deleted in the background
+        if shuffled_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled_files(spark) <= before
+    assert (table.count(), table.agg(F.sum("id")).first()[0]) == (1000, 499_500)
+    assert spark.conf.get(FREED, None) == setting
+    with pytest.raises(Exception):
+        parsed_once(spark.range(3).select(F.raise_error(F.lit("no")).alias("x")))
+    assert spark.conf.get(FREED, None) == setting
+
+
+def test_detailed_events_are_not_joined_with_their_files(spark):
+    prepare(spark)
+    events = spark.range(12).selectExpr(
+        "'h' AS host", "concat('/f', id % 3) AS file", "id AS ord", "concat('s', id % 2) AS session_id", "concat('k', id div 3) AS dedup_key", "id % 3 < 2 AS detailed", "id AS input_tokens"
+    )
+    made = otel.merge_events(events)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == plan.count("Join LeftSemi") == 1
+    left = plan.split("Join LeftSemi")[1]
+    assert "NOT" in left and "detailed" in left.split("Range (")[0]
+    rows = made.collect()
+    assert all(r.detailed for r in rows)
+    # Of the files of a key, the first by path.
+    assert sorted((r.session_id, r.dedup_key, r.file) for r in rows) == sorted({(f"s{i % 2}", f"k{i // 3}", f"/f{i % 3}") for i in range(12) if i % 3 < 2 and not (i % 3 == 1 and (i - 1) % 2 == i % 2)})
