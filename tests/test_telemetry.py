@@ -3,13 +3,15 @@
 import json
 import random
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from tokentally import rates
 from tokentally.operators import otel
 from tokentally.runtime import FREED, parsed_once, prepare
-from tokentally.sources import schemas
+from tokentally.sources import schemas, sessions
 from tokentally.sources.files import parse_records
 
 BODIES = {"chat_span": {"name": "chat x", "type": "span"}, "inference_log": {"body": "GenAI inference: m"}, "agent_turn_log": {"body": "copilot_chat.agent.turn: 1"}, "other": {"body": "x"}}
@@ -149,3 +151,26 @@ def test_detailed_events_are_not_joined_with_their_files(spark):
     assert all(r.detailed for r in rows)
     # Of the files of a key, the first by path.
     assert sorted((r.session_id, r.dedup_key, r.file) for r in rows) == sorted({(f"s{i % 2}", f"k{i // 3}", f"/f{i % 3}") for i in range(12) if i % 3 < 2 and not (i % 3 == 1 and (i - 1) % 2 == i % 2)})
+
+
+def stored_columns(df) -> list[set[str]]:
+    """Columns of each stored table that a plan reads, as they lie in the files."""
+    spark = df.sparkSession
+    folders = {str(Path(f.removeprefix("file://").removeprefix("file:")).parent) for f in df.inputFiles() if "tokentally-" in f}
+    return [set(spark.read.parquet(folder).columns) for folder in sorted(folders)]
+
+
+def test_session_tables_store_events_and_no_lines(spark):
+    prepare(spark)
+    cards = rates.bundled_cards_df(spark)
+    telemetry = sessions.otel_sessions(records(spark, odd_lines(60, 2)), cards)
+    stored = stored_columns(telemetry)
+    assert len(stored) == 2 and all("dedup_key" in c and "span_id" not in c for c in stored)
+    assert "from_json" not in telemetry._jdf.queryExecution().optimizedPlan().toString()
+    usage = json.dumps({"sessionId": "x", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "assistant", "model": "claude-x", "usage": {"input_tokens": 5, "output_tokens": 2}}})
+    lines = spark.createDataFrame([("h", "/p/a.jsonl", i, 0, usage) for i in range(3)], "host string, file string, ord bigint, mtime_ms bigint, line string")
+    transcripts = sessions.transcript_sessions(parse_records(lines, schemas.TRANSCRIPT), cards)
+    found = stored_columns(transcripts)
+    assert {"rec", "bad"} <= set().union(*found) and not any("line" in c for c in found)
+    assert "Scan ExistingRDD" not in transcripts._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.id, r.input_tokens, r.output_tokens, r.message_count) for r in transcripts.collect()] == [("x", 15, 6, 3)]
